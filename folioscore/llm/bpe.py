@@ -5,11 +5,12 @@ corpus has far fewer distinct words than words. So texts are never shuffled:
 
 1. Each partition of the documents (a *block*) cuts its texts into words and
    sends its distinct words: one row for each (block, word).
-2. Those rows are dealt by word. Each distinct word is encoded once; its ids are
-   exploded and joined to the vocabulary's id-to-piece table (broadcast: it has
-   the vocabulary's size, whatever the corpus), which gives the decoded bytes.
-3. The word table is joined back to the (block, word) rows and written to the
-   shared folder, partitioned by block: each block's own dictionary.
+2. Those rows are grouped by word, with a word's blocks as a list. Each distinct
+   word is encoded once; its ids are exploded and joined to the vocabulary's
+   id-to-piece table (broadcast: it has the vocabulary's size, whatever the
+   corpus), which gives the decoded bytes.
+3. The word table goes back to the words' blocks and is written to the shared
+   folder, partitioned by block: each block's own dictionary.
 4. Each block cuts its texts again and lays its dictionary's ids and bytes out by
    position.
 
@@ -73,8 +74,9 @@ def block_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(word, ids, piece) for distinct ``words`` (word binary): packed little-endian
-    ids, and the decoded bytes from the id-to-piece join, null where they are the word's."""
+    """(word, blocks, ids, piece) for distinct ``words`` (word binary, blocks array<int>):
+    packed little-endian ids, and the decoded bytes from the id-to-piece join, null where
+    they are the word's own."""
     width = id_width(tokenizer_path)
     kind = np.dtype("<u2" if width == 2 else "<u4")
 
@@ -85,8 +87,10 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
             found = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast([w.decode() for w in words.to_pylist()], add_special_tokens=False)]
             n = np.array([len(x) for x in found], np.int64)
             if n.sum():
-                at = np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array((np.arange(n.sum()) - at).astype(np.int32)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(found))], names=["word", "pos", "n", "id"])
+                row = np.repeat(np.arange(len(n)), n)
+                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                head = pa.array(np.where(pos == 0, row, 0), mask=pos > 0)  # a word and its blocks stand in its first row only
+                yield pa.RecordBatch.from_arrays([words.take(head), batch.column(1).take(head), pa.array(pos.astype(np.int32)), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(found))], names=["word", "blocks", "pos", "n", "id"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A broadcast join keeps its stream's order: a word's rows stay together, by position.
@@ -108,20 +112,19 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
             piece = part["piece"].combine_chunks().cast(pa.large_binary()).slice(0, whole).take(pa.array(np.arange(whole)))
             at = np.frombuffer(piece.buffers()[1], np.int64)[: whole + 1]
             joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(at[ends].copy()), piece.buffers()[2]])
-            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), packed.cast(pa.binary()), pc.if_else(pc.equal(words, joined), pa.scalar(None, pa.large_binary()), joined).cast(pa.binary())], names=["word", "ids", "piece"])
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), part["blocks"].combine_chunks().take(pa.array(first)), packed.cast(pa.binary()), pc.if_else(pc.equal(words, joined), pa.scalar(None, pa.large_binary()), joined).cast(pa.binary())], names=["word", "blocks", "ids", "piece"])
 
-    long = words.mapInArrow(encode, "word binary, pos int, n int, id int")
-    return long.join(F.broadcast(pieces(words.sparkSession, tokenizer_path)), "id").select("word", "pos", "n", "id", "piece").mapInArrow(assemble, "word binary, ids binary, piece binary")
+    long = words.select("word", "blocks").mapInArrow(encode, "word binary, blocks array<int>, pos int, n int, id int")
+    return long.join(F.broadcast(pieces(words.sparkSession, tokenizer_path)), "id").select("word", "blocks", "pos", "n", "id", "piece").mapInArrow(assemble, "word binary, blocks array<int>, ids binary, piece binary")
 
 
 def write_dictionaries(docs: DataFrame, tokenizer_path: str) -> str:
     """Write each block's dictionary (word, ids, piece) and return the folder."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    dealt = block_words(docs, tokenizer_path).repartition(n, "word")
     out = new_path(spark, "block-dictionaries")
-    found = dealt.join(word_table(dealt.select("word").distinct(), tokenizer_path), "word").select("block", "word", "ids", "piece")
-    found.repartition(n, "block").sortWithinPartitions("block").write.partitionBy("block").parquet(out)
+    words = block_words(docs, tokenizer_path).groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    found = word_table(words, tokenizer_path).select(F.explode("blocks").alias("block"), "word", "ids", "piece")
+    found.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").write.partitionBy("block").parquet(out)
     return out
 
 
@@ -153,6 +156,7 @@ def lay_out(docs: DataFrame, tokenizer_path: str, dictionaries: str) -> DataFram
                 known = _read_dictionary(dictionaries, TaskContext.get().partitionId())
                 known_words, known_ids = (known[c].combine_chunks().cast(pa.large_binary()) for c in ("word", "ids"))
                 known_piece = pc.coalesce(known["piece"], known["word"]).combine_chunks().cast(pa.large_binary())
+                known = True
             for lo, hi in text_groups(batch.column(1)):
                 words, first = split_words(batch.column(1).slice(lo, hi - lo), specials)
                 coded = words.dictionary_encode()
@@ -172,6 +176,7 @@ def lay_out(docs: DataFrame, tokenizer_path: str, dictionaries: str) -> DataFram
                     ],
                     names=["doc_id", "ids", "decoded"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lay, "doc_id long, ids array<int>, decoded string")
 

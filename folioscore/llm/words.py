@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 LETTER, DIGIT, SIGN, SPACE, OUTSIDE = range(5)
 #: Texts are cut in groups of about so many bytes, which bounds the arrays' size.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Distinct words that one generation of an encoder's memory holds.
 MEMORY_WORDS = 200_000
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitslice, bpe, quality, simhash, token_files
+from . import ann, bitslice, bpe, mixing, quality, simhash, token_files
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -50,8 +50,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, budget=4)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(mixing.plan(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most=3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op5_quality, op6_exact_top_k, op8_simhash)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op5_quality, op6_exact_top_k, op8_simhash, op9_mixing)}
 
 
 OP6_SQL = """

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitslice, bpe, mixing, quality, simhash, token_files
+from . import ann, bitslice, bpe, mixing, quality, quotes, secrets, simhash, token_files
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -46,6 +46,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_inner_products(table(spark, sf_dir, "embeddings"), k=20, query_every=20, scale=64.0)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(secrets.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.digest("base"), 256).alias("base_sha256"), secrets.digest("spans").alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, budget=4)
 
@@ -54,8 +60,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(mixing.plan(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most=3))
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op5_quality, op6_exact_top_k, op8_simhash, op9_mixing)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op5_quality, op6_exact_top_k, op7_secrets, op8_simhash, op9_mixing, op10_quotation_linking)}
 
 
 OP6_SQL = """

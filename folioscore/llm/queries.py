@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitslice, bpe, mixing, quality, quotes, secrets, simhash, token_files
+from . import ann, bitslice, bpe, edits, mixing, quality, quotes, secrets, simhash, token_files
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -36,6 +36,12 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    todo = docs.withColumn("edits", edits.sample_edits(F.col("text"), F.col("doc_id")))
+    return edits.edited_counts(todo, public_tokenizers.path(BYTE_BPE)).select("doc_id", "n_tokens", "edited_tokens", "n_edits", "reencoded_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -65,7 +71,7 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op5_quality, op6_exact_top_k, op7_secrets, op8_simhash, op9_mixing, op10_quotation_linking)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op4_token_counts, op5_quality, op6_exact_top_k, op7_secrets, op8_simhash, op9_mixing, op10_quotation_linking)}
 
 
 OP6_SQL = """

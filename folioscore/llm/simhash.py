@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_partitions, staged
 
@@ -69,15 +70,18 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp) of every row; the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int, *carry: Column) -> DataFrame:
+    """(doc_id, fp) of every row and the columns ``carry``; the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py() or b"", width) for t in texts], pa.int64())], names=["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py() or b"", width) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], schema=pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *list(batch.schema)[2:]]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), *rows.schema.fields[2:]])
+    return rows.mapInArrow(run, schema)
 
 
 class Forest:
@@ -231,13 +235,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def rooted(docs: DataFrame, width: int, budget: int, *carry: Column) -> DataFrame:
+    """(doc_id, fp, root) of every row and the columns ``carry``; rows of a component share the root."""
+    prints = staged(fingerprints(docs, width, *carry), "fingerprints")
+    roots = components(star_edges(prints.select("fp").distinct(), budget))
+    return staged(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*prints.columns, F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
-    prints = staged(fingerprints(docs, width), "fingerprints")
-    roots = components(star_edges(prints.select("fp").distinct(), budget))
-    rooted = staged(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root")), "roots")
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+    rows = rooted(docs, width, budget)
+    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(smallest, "root").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id's (null ids only where
+    there is no other), of repeated ids the text with the smallest hash."""
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = rooted(docs, width, budget, text_hash.alias("h"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("m")).select(F.struct("m.doc_id", "m.h").alias("_key")).distinct()
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("h")).alias("_key"), F.struct(*docs.columns).alias("_all"))
+    # A struct's null fields are equal in joins and here, so null ids need no case of their own.
+    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(*[F.col("_all")[c].alias(c) for c in docs.columns])
 
 
 def hex_of(fp: str) -> Column:

@@ -75,7 +75,8 @@ def in_reading_order(rows: DataFrame, text: str = "transcription") -> DataFrame:
 def sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """SNK-02: key and section, a map of a page's items by section, sections in the order they
     are first seen, items in reading order."""
-    zipped = F.arrays_zip(F.col("reading_order").alias("n"), F.col("ro_text").alias("t"), F.col("ro_boxes").alias("b"), F.col("ro_section").alias("s"), F.col("ro_label").alias("l"), F.col("ro_bio").alias("o"))
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))  # noqa: E731  a zip with a null list would be null
+    zipped = F.arrays_zip(F.col("reading_order").alias("n"), F.col("ro_text").alias("t"), F.col("ro_boxes").alias("b"), F.col("ro_section").alias("s"), texts("ro_label").alias("l"), texts("ro_bio").alias("o"))
     item = lambda z: F.struct(z["l"].alias("item"), z["o"].alias("bio"), z["n"].alias("reading_order_number"), z["b"].alias("bbox"), z["t"].alias("transcription"))
     names = F.array_distinct(F.transform("_z", lambda z: z["s"]))
     entry = lambda name: F.struct(name.alias("key"), F.transform(F.filter("_z", lambda z: z["s"] == name), item).alias("value"))

@@ -235,26 +235,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def rooted(docs: DataFrame, width: int, budget: int, *carry: Column) -> DataFrame:
-    """(doc_id, fp, root) of every row and the columns ``carry``; rows of a component share the root."""
+def linked(docs: DataFrame, width: int, budget: int, *carry: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row with the columns ``carry``, and (node, root) of the
+    fingerprints that aren't their component's root."""
     prints = staged(fingerprints(docs, width, *carry), "fingerprints")
-    roots = components(star_edges(prints.select("fp").distinct(), budget))
-    return staged(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*prints.columns, F.coalesce("root", "fp").alias("root")), "roots")
+    return prints, components(star_edges(prints.select("fp").distinct(), budget))
+
+
+def _by_root(prints: DataFrame, roots: DataFrame, least: Column) -> DataFrame:
+    """(fp, root, least): one row for each fingerprint. Copies combine before any shuffle
+    by root, so a component's rows there are its different texts."""
+    per_fp = prints.groupBy("fp").agg(F.min(least).alias("least"))
+    return per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
-    rows = rooted(docs, width, budget)
-    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(smallest, "root").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+    prints, roots = linked(docs, width, budget)
+    per_fp = staged(_by_root(prints, roots, F.col("doc_id")), "roots")
+    smallest = per_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = per_fp.join(smallest, "root").select("fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id's (null ids only where
     there is no other), of repeated ids the text with the smallest hash."""
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rooted(docs, width, budget, text_hash.alias("h"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("m")).select(F.struct("m.doc_id", "m.h").alias("_key")).distinct()
+    prints, roots = linked(docs, width, budget, text_hash.alias("h"))
+    per_fp = _by_root(prints, roots, F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
+    first = per_fp.groupBy("root").agg(F.min("least").alias("m")).select(F.struct("m.doc_id", "m.h").alias("_key")).distinct()
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("h")).alias("_key"), F.struct(*docs.columns).alias("_all"))
     # A struct's null fields are equal in joins and here, so null ids need no case of their own.
     kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"])

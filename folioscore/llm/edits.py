@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +105,19 @@ class Counter:
     def leaves(self, texts: pa.Array) -> list[np.ndarray]:
         words, first = split_words(texts, self.enc.specials)
         coded = words.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        sizes = np.array([(len(w.decode()), len(p) // self.enc.width) for w, p in zip(known, self.enc.encode_words(known), strict=True)], np.int64).reshape(-1, 2)
+        packed = pa.array(self.enc.encode_words(coded.dictionary.to_pylist()), pa.large_binary())
+        sizes = np.stack((pc.utf8_length(coded.dictionary.cast(pa.large_string())).to_numpy(), pc.binary_length(packed).to_numpy() // self.enc.width), 1).astype(np.int64)
         every = sizes[coded.indices.to_numpy()] if len(coded) else np.zeros((0, 2), np.int64)
         return [every[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
+    def region_leaves(self, region: str) -> np.ndarray:
+        """Leaves of a short text: the library's own cut, where no special string is in it."""
+        if any(x in region for x in self.enc.specials):
+            return self.leaves(pa.array([region], pa.large_string()))[0]
+        spans = [at for _, at in self.enc.tok.pre_tokenizer.pre_tokenize_str(region)]
+        packed = self.enc.encode_words([region[a:b].encode() for a, b in spans])
+        return np.array([(b - a, len(p) // self.enc.width) for (a, b), p in zip(spans, packed, strict=True)], np.int64).reshape(-1, 2)
+
     def apply(self, tree: SumTree, text: str, start: int, length: int, put: str) -> tuple[str, int]:
         """The edited text, and how many characters were encoded again. ``tree`` is updated."""
         start = min(max(0, start), len(text))
@@ -124,7 +133,7 @@ class Counter:
                 hi += int(tree.chunks[c1][l1, 0])
                 l1 += 1
             region = edited[lo : hi + shift]
-            leaves = self.leaves(pa.array([region], pa.large_string()))[0]
+            leaves = self.region_leaves(region)
             ends = np.cumsum(leaves[:, 0])
             # Settled where the outermost words lie outside the edit and were words before.
             left = lo == 0 or (len(leaves) and ends[0] <= start - lo and ends[0] == tree.chunks[c0][l0, 0] and self._calm(edited, lo, lo + int(ends[0])))

@@ -43,7 +43,7 @@ def test_greedy_match_against_brute_force(spark):
         u = a[2] * a[3] + b[2] * b[3] - w * h
         return w * h / u if u > 0 else 0
 
-    truth = {r["l_orderkey"]: [list(x["b"]) for x in r["r"]] for r in Q._pages(spark, SF).collect()}
+    truth = {r["l_orderkey"]: [[v / 100 * 100.0 for v in x["b"]] for x in r["r"]] for r in Q._pages(spark, SF).collect()}
     for page in Q._matched(spark, SF).collect():
         gt, pred = truth[page["l_orderkey"]], page["bbox_in_line"]
         if not pred:

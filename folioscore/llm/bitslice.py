@@ -12,8 +12,8 @@ slice have equal scores and are taken by smallest id.
 
 Rows: vectors that are null, hold null or non-finite components, have a null id or
 another length than the table's commonest take no part; an empty or zero vector
-scores 0. Quantised components must lie within +-2^31 (a ValueError names the
-limit) so that scores fit 64 bits. Rows with a query's id aren't its candidates; a
+scores 0. Scores must fit 63 bits: a ValueError says so where quantised components
+are so large that they might not. Rows with a query's id aren't its candidates; a
 repeated query row is answered each time. Extra columns are ignored.
 """
 
@@ -29,13 +29,12 @@ from . import grid
 
 BLOCK_ROWS = 32_768
 GROUP_QUERIES = 512
-_LIMIT = 1 << 31
 
 
 def quantised(vecs: np.ndarray, scale: float) -> np.ndarray:
     q = np.floor(vecs * scale)
-    if len(q) and q.size and np.abs(q).max() > _LIMIT:
-        raise ValueError("a quantised component lies outside +-2^31")
+    if q.size and np.abs(q).max() >= (2.0**61 / q.shape[1]) ** 0.5:
+        raise ValueError("quantised components are so large that scores might not fit 63 bits")
     return q.astype(np.int64)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def _d(x) -> Column:
     return (F.lit(x) if not isinstance(x, Column) else x).cast("double")
@@ -129,9 +131,13 @@ def polygon_to_rect(polygon: Column, extent: Column) -> Column:
 
 def by_reading_order(numbers: Column, values: Column) -> Column:
     """G-16: values by their number, both cut to the shorter list; equal numbers keep their order."""
-    n = F.least(F.size(numbers), F.size(values))
-    placed = F.transform(F.arrays_zip(F.slice(numbers, 1, n).alias("no"), F.slice(values, 1, n).alias("v")), lambda p, i: F.struct(p["no"].alias("no"), i.alias("i"), p["v"].alias("v")))
-    return F.transform(F.array_sort(placed), lambda p: p["v"])
+
+    def ordered(p: Column) -> Column:
+        n = F.least(F.size(p["n"]), F.size(p["v"]))
+        placed = F.transform(F.arrays_zip(F.slice(p["n"], 1, n).alias("no"), F.slice(p["v"], 1, n).alias("v")), lambda x, i: F.struct(x["no"].alias("no"), i.alias("i"), x["v"].alias("v")))
+        return F.transform(F.array_sort(placed), lambda x: x["v"])
+
+    return let(F.struct(numbers.alias("n"), values.alias("v")), ordered)
 
 
 def renumbered(values: Column) -> Column:

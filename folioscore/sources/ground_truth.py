@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..functions import unicode as U
+from ..functions.binding import let
 from ..operators.relational import keep_first
 
 _BOX = "struct<x:double,y:double,width:double,height:double,w:double,h:double,X:double,Y:double,number:int>"
@@ -78,6 +79,10 @@ def sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
     texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))  # noqa: E731  a zip with a null list would be null
     zipped = F.arrays_zip(F.col("reading_order").alias("n"), F.col("ro_text").alias("t"), F.col("ro_boxes").alias("b"), F.col("ro_section").alias("s"), texts("ro_label").alias("l"), texts("ro_bio").alias("o"))
     item = lambda z: F.struct(z["l"].alias("item"), z["o"].alias("bio"), z["n"].alias("reading_order_number"), z["b"].alias("bbox"), z["t"].alias("transcription"))
-    names = F.array_distinct(F.transform("_z", lambda z: z["s"]))
-    entry = lambda name: F.struct(name.alias("key"), F.transform(F.filter("_z", lambda z: z["s"] == name), item).alias("value"))
-    return pages.withColumn("_z", zipped).select(key, F.map_from_entries(F.transform(F.filter(names, lambda n: n.isNotNull()), entry)).alias("section"))
+
+    def by_section(z):
+        names = F.array_distinct(F.transform(z, lambda x: x["s"]))
+        entry = lambda name: F.struct(name.alias("key"), F.transform(F.filter(z, lambda x: x["s"] == name), item).alias("value"))
+        return F.map_from_entries(F.transform(F.filter(names, lambda n: n.isNotNull()), entry))
+
+    return pages.select(key, let(zipped, by_section).alias("section"))

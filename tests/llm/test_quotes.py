@@ -101,3 +101,19 @@ def test_no_quotes_and_empty(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b > c")]
     assert sorted(map(tuple, Q.conversations(frame(spark, rows)).collect())) == sorted(brute(rows))
     assert Q.conversations(frame(spark, [])).count() == 0
+
+
+def test_sql(spark, tmp_path):
+    """The query and its SQL over the fixture, which has quotes of every kind."""
+    import duckdb
+
+    from folioscore.llm import queries
+
+    frame(spark, ROWS).select("conv_id", "turn", "role", "text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cur = con.execute(queries.oracle_sql()["op10_quotation_linking"])
+    names = [c[0] for c in cur.description]
+    got = queries.op10_quotation_linking(spark, str(tmp_path)).select(*names)
+    for g, w in zip(sorted(map(tuple, got.collect()), key=str), sorted(cur.fetchall(), key=str), strict=True):
+        assert g == w

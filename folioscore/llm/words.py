@@ -53,15 +53,17 @@ def char_classes() -> np.ndarray:
     engine so that its Unicode version is the one that counts."""
     from tokenizers import Regex, pre_tokenizers
 
-    points = [chr(i) if not 0xD800 <= i < 0xE000 else "a" for i in range(0x110000)]
-    text = "".join(points)
     table = np.full(0x110000, SIGN, dtype=np.uint8)
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\s+", SPACE)):
-        rest = np.zeros(0x110000, dtype=bool)
-        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(text):
-            rest[a:b] = True
-        table[~rest] = kind
-    table[0xD800:0xE000] = SIGN
+    cuts = [(pre_tokenizers.Split(Regex(pattern), "removed"), kind) for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\s+", SPACE))]
+    for lo in range(0, 0x110000, 0x800):  # in pieces: the library keeps a good deal for every character
+        if 0xD800 <= lo < 0xE000:
+            continue
+        text = "".join(map(chr, range(lo, lo + 0x800)))
+        for cut, kind in cuts:
+            rest = np.zeros(0x800, dtype=bool)
+            for _, (a, b) in cut.pre_tokenize_str(text):
+                rest[a:b] = True
+            table[lo : lo + 0x800][~rest] = kind
     return table
 
 

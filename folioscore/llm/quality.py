@@ -33,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
-STRENGTH = 8.0
-POOLED = 0.05
-DIAGONAL = 0.1
+STRENGTH = 40.0
+POOLED = 0.3
+DIAGONAL = 0.3
 #: Log odds beyond which a density difference says no more; labels aren't free of error.
 MOST = 12.0
 COUNTS = ("repeats", "upper", "digit", "pipe", "bang", "sign", "stop", "high", "line_repeats", "chars", "distinct", "top")

@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, shuffle_partitions
-from .words import encoder, id_width, load_tokenizer, piece_bytes, special_strings, split_words, text_groups
+from .common import filesystem, new_path, shuffle_partitions, staged
+from .words import encoder, id_width, load_tokenizer, piece_bytes, special_strings, split_words, text_groups, tidy
 
 #: Distinct words a block gathers before it sends them; more words go in several rounds.
 BLOCK_WORDS = 400_000
@@ -68,7 +68,10 @@ def block_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 if len(seen) >= BLOCK_WORDS:
                     yield from sent()
                     seen.clear()
+            tidy()
         yield from sent()
+        seen.clear()
+        tidy()
 
     return docs.select("text").mapInArrow(cut, "block int, word binary")
 
@@ -76,21 +79,16 @@ def block_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
     """(word, blocks, ids, piece) for distinct ``words`` (word binary, blocks array<int>):
     packed little-endian ids, and the decoded bytes from the id-to-piece join, null where
-    they are the word's own."""
+    they are the word's own. The encoded words are written before the join, so that a task
+    never has two Python workers."""
     width = id_width(tokenizer_path)
     kind = np.dtype("<u2" if width == 2 else "<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(tokenizer_path)
         for batch in batches:
-            words = batch.column(0)
-            found = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast([w.decode() for w in words.to_pylist()], add_special_tokens=False)]
-            n = np.array([len(x) for x in found], np.int64)
-            if n.sum():
-                row = np.repeat(np.arange(len(n)), n)
-                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                head = pa.array(np.where(pos == 0, row, 0), mask=pos > 0)  # a word and its blocks stand in its first row only
-                yield pa.RecordBatch.from_arrays([words.take(head), batch.column(1).take(head), pa.array(pos.astype(np.int32)), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(found))], names=["word", "blocks", "pos", "n", "id"])
+            found = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast([w.decode() for w in batch.column(0).to_pylist()], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["word", "blocks", "ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A broadcast join keeps its stream's order: a word's rows stay together, by position.
@@ -114,7 +112,10 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
             joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(at[ends].copy()), piece.buffers()[2]])
             yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), part["blocks"].combine_chunks().take(pa.array(first)), packed.cast(pa.binary()), pc.if_else(pc.equal(words, joined), pa.scalar(None, pa.large_binary()), joined).cast(pa.binary())], names=["word", "blocks", "ids", "piece"])
 
-    long = words.select("word", "blocks").mapInArrow(encode, "word binary, blocks array<int>, pos int, n int, id int")
+    encoded = staged(words.select("word", "blocks").mapInArrow(encode, "word binary, blocks array<int>, ids array<int>"), "encoded-words")
+    # A word and its blocks stand in the first of its rows only.
+    first = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    long = encoded.select("word", "blocks", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "id")).select(first("word"), first("blocks"), "pos", "n", "id")
     return long.join(F.broadcast(pieces(words.sparkSession, tokenizer_path)), "id").select("word", "blocks", "pos", "n", "id", "piece").mapInArrow(assemble, "word binary, blocks array<int>, ids binary, piece binary")
 
 
@@ -151,6 +152,7 @@ def lay_out(docs: DataFrame, tokenizer_path: str, dictionaries: str) -> DataFram
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials, known = special_strings(tokenizer_path), None
+        tidy()
         for batch in batches:
             if known is None:
                 known = _read_dictionary(dictionaries, TaskContext.get().partitionId())
@@ -176,7 +178,7 @@ def lay_out(docs: DataFrame, tokenizer_path: str, dictionaries: str) -> DataFram
                     ],
                     names=["doc_id", "ids", "decoded"],
                 )
-            pa.default_memory_pool().release_unused()
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lay, "doc_id long, ids array<int>, decoded string")
 

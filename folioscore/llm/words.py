@@ -9,6 +9,7 @@ a whole Arrow batch with NumPy, and only distinct words reach the tokenizer.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 
 LETTER, DIGIT, SIGN, SPACE, OUTSIDE = range(5)
 #: Texts are cut in groups of about so many bytes, which bounds the arrays' size.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Distinct words that one generation of an encoder's memory holds.
 MEMORY_WORDS = 200_000
 
@@ -156,6 +157,20 @@ def split_words(texts: pa.Array, specials: tuple[str, ...] = ()) -> tuple[pa.Arr
     return words, first
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not the GNU library
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Give free memory back: a Python worker lives on from stage to stage beside others."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 class WordEncoder:
     """Ids of words as packed little-endian integers, each distinct word encoded
     once while it stays in memory (two generations of ``MEMORY_WORDS``)."""

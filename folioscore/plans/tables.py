@@ -5,3 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt in turn over all cores, where the scan has fewer splits than there are
+    cores (a small file); larger inputs stay where they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * n) if df.rdd.getNumPartitions() < n else df

@@ -11,7 +11,7 @@ from ..operators import edit_distance as D
 from ..operators import evaluate as E
 from ..operators import relational as R
 from .registry import register
-from .tables import table
+from .tables import spread, table
 
 #: SQL of T-01 without normal forms, of ASCII text.
 _PUNCT = r"[!-/:-@\[-`{-~¿¡“”«»—–·…]"
@@ -36,7 +36,7 @@ def ascii_only(text: Column) -> Column:
 
 def _lines(spark, sf):
     """Every line of every document with its garbled reading."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return docs.select("doc_id", "lang", "pos", ascii_only(F.col("line")).alias("gt")).withColumn("hyp", garbled(F.col("gt")))
 
 
@@ -64,7 +64,7 @@ def q_cer_by_lang(spark, sf):
 
 @register("q_wer_by_lang")
 def q_wer_by_lang(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", F.coalesce("text", F.lit("")).alias("gt")).withColumn("hyp", garbled(F.col("gt")))
+    docs = spread(table(spark, sf, "documents")).select("lang", F.coalesce("text", F.lit("")).alias("gt")).withColumn("hyp", garbled(F.col("gt")))
     return docs.select("lang", D.wer(F.col("gt"), F.col("hyp"), exact=False).alias("wer"), D.cer(F.col("gt"), F.col("hyp"), exact=False).alias("cer")).groupBy("lang").agg(six(F.avg("wer")).alias("wer"), six(F.avg("cer")).alias("cer"), F.count("*").alias("pages"))
 
 
@@ -78,7 +78,7 @@ def q_ndld_char(spark, sf):
 
 @register("q_ndld_word")
 def q_ndld_word(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    t = spread(table(spark, sf, "documents")).select("doc_id", "lang", "text")
     seq = [T.word_sequence(c, False, exact=False) for c in (F.col("text"), garbled(F.col("text")))]
     n = t.select("lang", D.ndld(*seq).alias("n"))
     return n.groupBy("lang").agg(six(F.avg("n.ndld")).alias("ndld"), F.sum("n.distance").cast("long").alias("distance"))
@@ -125,7 +125,7 @@ def q_bleu_corpus(spark, sf):
 
 @register("q_bleu_documents")
 def q_bleu_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("hyp", garbled(F.col("text")))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "lang", "text").withColumn("hyp", garbled(F.col("text")))
     tokens = lambda c: T.split_words(T.normalize_text(F.col(c), exact=False))
     pairs = docs.select("lang", "doc_id", tokens("text").alias("ref_tokens"), tokens("hyp").alias("hyp_tokens"))
     return E.corpus_bleu(pairs, ["lang"], ["doc_id"])

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscore.llm import bpe, mixing, quality, secrets, simhash
+from folioscore.llm import bpe, jaccard, mixing, quality, secrets
 from folioscore.llm.common import staged, table
 from folioscore.llm.queries import BYTE_BPE, QUALITY_CUT
 
@@ -30,8 +30,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup over five-word shingles: one document of each group stays."""
-    return simhash.deduplicated(docs, width=5, budget=4)
+    """Near-dedup: of documents with a Jaccard similarity of 0.8 or more over five-word shingles, and chains of such, one stays."""
+    return jaccard.deduplicated(docs, width=5)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near_dedup", drop_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("bpe", encode)]
 
-#: SQL can't express the classifier, the trie join, the splitting tree or BPE.
+#: SQL can't express the classifier, the similarity join, the splitting tree or BPE.
 ORACLE_SQL = None
 
 

@@ -258,11 +258,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFra
     return prints.join(classes, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id's (null ids only where
-    there is no other), of repeated ids the text with the smallest hash."""
+def one_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``prints`` (doc_id, fp, h: the text's hash):
+    the smallest doc_id's (null ids only where there is no other), of repeated ids the text
+    with the smallest hash."""
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    prints, roots = linked(docs, width, budget, text_hash.alias("h"))
     per_fp = _by_root(prints, roots, F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
     first = per_fp.groupBy("root").agg(F.min("least").alias("m")).select(F.struct("m.doc_id", "m.h").alias("_key")).distinct()
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("h")).alias("_key"), F.struct(*docs.columns).alias("_all"))

@@ -5,8 +5,8 @@ name, a sign, a value of 8 or more characters), ``access`` (an access key id of
 or more), ``hex`` (32 or more hexadecimal digits).
 
 Added spans, kind ``random``: runs of 20 or more base64 characters that look drawn
-at random from the alphabet their characters infer (decimal, hex, base32, base64,
-URL base64 or letters and digits). The battery has three tests of that: chi-squared
+at random from the smallest alphabet that has their characters (decimal, hex, base32,
+Crockford's base32 and base36 of either case, letters and digits, base64 or URL base64). The battery has three tests of that: chi-squared
 of the characters' counts against a uniform alphabet, the number of runs above and
 below the alphabet's middle, and the correlation of neighbours. A run for which the
 least of the three p-values, corrected for their number, is below ``ALPHA`` isn't
@@ -48,14 +48,21 @@ BANDS = (20, 32, 48, 96)
 #: Histogram steps for a factor of ten, and the last step.
 STEPS, LAST = 4, 400
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_CROCKFORD = "abcdefghjkmnpqrstvwxyz"
 #: Letters of English prose, a to z, in parts of 1000.
 _FREQUENCY = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 #: Parts of 1000 of other characters in ordinary writing: a capital is so much rarer than its small letter; a digit; a sign.
 _CAPITAL, _DIGIT, _SIGN = 0.05, 5, 5
+#: By size: the first that has all of a token's characters is the smallest.
 ALPHABETS = {
     "decimal": (r"^[0-9]+$", _DIGITS),
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef"),
     "base32": (r"^[A-Z2-7]+$", _LETTERS.upper() + "234567"),
+    "base32lower": (r"^[a-z2-7]+$", _LETTERS + "234567"),
+    "crockford": (r"^[0-9A-HJKMNP-TV-Z]+$", _DIGITS + _CROCKFORD.upper()),
+    "crockfordlower": (r"^[0-9a-hjkmnp-tv-z]+$", _DIGITS + _CROCKFORD),
+    "base36": (r"^[0-9A-Z]+$", _DIGITS + _LETTERS.upper()),
+    "base36lower": (r"^[0-9a-z]+$", _DIGITS + _LETTERS),
     "alnum": (r"^[A-Za-z0-9]+$", _LETTERS.upper() + _LETTERS + _DIGITS),
     "base64": (r"^[A-Za-z0-9+/]+$", _LETTERS.upper() + _LETTERS + _DIGITS + "+/"),
     "base64url": (r"^[A-Za-z0-9_-]+$", _LETTERS.upper() + _LETTERS + _DIGITS + "-_"),

@@ -135,3 +135,16 @@ def test_upper_tail(spark, z):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(S.upper_tail(F.lit(z))).collect()[0][0] == pytest.approx(tail(z), abs=1e-7)
+
+
+LOW, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+CROCKFORD = DIGITS + "abcdefghjkmnpqrstvwxyz"
+
+
+@pytest.mark.parametrize("alphabet", [LOW + "234567", LOW.upper() + "234567", DIGITS + LOW, DIGITS + LOW.upper(), CROCKFORD, CROCKFORD.upper(), B64[:62], B64])
+def test_random_tokens_of_every_alphabet(spark, alphabet):
+    rnd = random.Random(alphabet)
+    tokens = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (24, 40, 64, 96, 128, 200) for _ in range(50)]
+    rows = S.scan(frame(spark, [f"a {t} z" for t in tokens])).select("doc_id", S.digest("spans").alias("s")).collect()
+    for n in (24, 40, 64, 96, 128, 200):
+        assert sum(f"random:2:{n + 2}" == r["s"] for r in rows if len(tokens[r["doc_id"]]) == n) >= 47

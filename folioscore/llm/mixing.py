@@ -17,7 +17,8 @@ a splitting tree: the shards are halved again and again, and a node's blocks of
 each source are divided between its halves as a draw without replacement
 (multivariate hypergeometric). A shard's share of a source is a run of the
 source's order, so shards are disjoint and together exhaust the draw. Inside a
-shard, blocks are shuffled by a hash.
+shard, blocks are shuffled by a hash; a text's blocks of one shard and epoch stay
+together, at the place of the first.
 
 The list of sources is part of the mix's definition, as the weights are, and is
 held on the driver, with its counts by hash bucket left on the executors.
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import shuffle_partitions, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -175,11 +176,11 @@ def summary(mix: Mix) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each epoch of a text, with the words of
-    its drawn blocks (the whole text, unchanged, where all are drawn), and ``epoch``,
-    ``shard`` and ``place`` (sort by both to write shards) of its first block."""
-    per_copy = mix.taken.groupBy("row", "epoch").agg(F.sort_array(F.collect_list("block")).alias("_blocks"), F.min(F.struct("block", "shard", "place")).alias("_at"))
-    picked = per_copy.join(mix.sizes, "row").select(F.struct(*_ALIKE, "copy").alias("_key"), F.col("epoch").alias("_epoch"), "_blocks", "_at")
+    """``docs`` as the mix takes them: a row for each epoch of a text and shard that has
+    blocks of it, with the words of those blocks in their order (the whole text, unchanged,
+    where all are there), and ``epoch``, ``shard`` and the ``place`` of its first block."""
+    per_copy = mix.taken.groupBy("row", "epoch", "shard").agg(F.sort_array(F.collect_list("block")).alias("_blocks"), F.min(F.struct("block", "place")).alias("_at"))
+    picked = per_copy.join(mix.sizes, "row").select(F.struct(*_ALIKE, "copy").alias("_key"), F.col("epoch").alias("_epoch"), F.col("shard").alias("_shard"), "_blocks", "_at")
     keyed = sized(docs, F.struct(*docs.columns).alias("_all")).select(F.struct(*_ALIKE, "copy").alias("_key"), "_all")
     joined = keyed.join(picked, "_key")
     text = F.col("_all.text")
@@ -188,4 +189,12 @@ def mixed(docs: DataFrame, mix: Mix, block_words: int = BLOCK_WORDS) -> DataFram
     part = F.array_join(F.flatten(F.transform("_blocks", lambda b: F.slice("_w", b * block_words + 1, block_words))), "")
     cut = joined.withColumn("_w", F.when(~every, words)).withColumn("_text", F.when(every, text).otherwise(part))
     kept = [F.col("_text").alias("text") if c == "text" else F.col("_all")[c].alias(c) for c in docs.columns if c not in ("epoch", "shard", "place")]
-    return cut.select(*kept, F.col("_epoch").alias("epoch"), F.col("_at.shard").alias("shard"), F.col("_at.place").alias("place"))
+    return cut.select(*kept, F.col("_epoch").alias("epoch"), F.col("_shard").alias("shard"), F.col("_at.place").alias("place"))
+
+
+def laid_out(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``rows`` of ``mixed`` by shard, then place: a partition holds a shard, or a range of
+    its places where there are more partitions than shards, and partitions are in order."""
+    n = -(-shuffle_partitions(rows.sparkSession) // shards)
+    at = F.least(F.floor((F.col("place") / 2.0**64 + 0.5) * n), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(shards * n, F.col("shard") * n + at).sortWithinPartitions("shard", "place", "doc_id", "epoch")

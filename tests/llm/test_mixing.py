@@ -91,3 +91,34 @@ def test_repeated_rows_and_empty(spark):
     assert M.summary(M.plan(frame(spark, []))).count() == 0
     blank = M.summary(M.plan(frame(spark, [(1, None, None), (2, "a", "")]))).select(F.sum("taken"), F.count("*")).collect()[0]
     assert tuple(blank) == (0, 2)
+
+
+def test_mixed_rows_hold_the_quotas(spark, rows):
+    """Blocks of each shard and source, counted in the texts of ``mixed``, are those of the tree."""
+    marked = [(d, s, None if t is None else " ".join(f"b{i // 64}" for i, _ in enumerate(t.split()))) for d, s, t in rows]
+    source = {r[0]: r[1] for r in marked}
+    df = frame(spark, marked)
+    mix = M.plan(df, shards=8, block_words=64)
+    got, drawn = Counter(), Counter()
+    for r in M.mixed(df, mix, 64).collect():
+        n = len(set(r["text"].split()))
+        got[r["shard"], source[r["doc_id"]]] += n
+        drawn[source[r["doc_id"]]] += n
+    order = sorted(mix.targets, key=lambda s: (s is None, s or ""))
+    tree = M.split_tree(np.array([drawn[s] for s in order]), 8, M.SEED)
+    assert +got == +Counter({(i, s): int(tree[i, k]) for i in range(8) for k, s in enumerate(order)})
+
+
+@pytest.mark.parametrize("partitions", ["4", "200"])
+def test_stage_lays_rows_out_by_shard_and_place(spark, rows, partitions):
+    import corpus_pipeline as C
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        df = frame(spark, rows).select("doc_id", "source", "text")
+        got = [(r["doc_id"], r["text"]) for r in C.mix_sources(spark, df, "").collect()]
+        want = sorted(M.mixed(df, M.plan(df)).collect(), key=lambda r: (r["shard"], r["place"]))
+        assert got == [(r["doc_id"], r["text"]) for r in want] and len({r["shard"] for r in want}) == M.SHARDS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

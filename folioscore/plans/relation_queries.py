@@ -121,6 +121,12 @@ def q_gt_section_export(spark, sf):
     return S.gt_texts(table(spark, sf, "conversations").withColumn("o", F.lit(1)), ["conv_id"], "turn", "role", "o", "text", exact=False)
 
 
+@register("q_gt_section_export_exact")
+def q_gt_section_export_exact(spark, sf):
+    """With the normal form, which the SQL of ``q_gt_section_export`` leaves out."""
+    return S.gt_texts(table(spark, sf, "conversations").withColumn("o", F.lit(1)), ["conv_id"], "turn", "role", "o", "text")
+
+
 _TOK = r"CAST(len(list_filter(string_split({0}, ' '), lambda w: w <> '')) AS BIGINT)"
 
 
@@ -129,14 +135,24 @@ _TOK = r"CAST(len(list_filter(string_split({0}, ' '), lambda w: w <> '')) AS BIG
     f"WITH n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE {_NORM.format('text')} END AS g, {_NORM.format('text')} AS p FROM conversations) SELECT conv_id, turn, CAST(CASE WHEN g = '' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS wer, {_TOK.format('g')} AS gt_tokens, {_TOK.format('p')} AS pred_tokens FROM n WHERE p NOT IN ('', 'na', 'none', 'null')",
 )
 def q_empty_policy(spark, sf):
-    norm = T.normalize_section(F.col("text"), exact=False)
+    return _empty_policy(spark, sf, False)
+
+
+@register("q_empty_policy_exact")
+def q_empty_policy_exact(spark, sf):
+    """With the normal form, which the SQL of ``q_empty_policy`` leaves out."""
+    return _empty_policy(spark, sf, True)
+
+
+def _empty_policy(spark, sf, exact):
+    norm = T.normalize_section(F.col("text"), exact=exact)
     pairs = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(norm).alias("gt"), norm.alias("pred"))
     return S.compare(pairs, "penalize").select("conv_id", "turn", "wer", "gt_tokens", "pred_tokens")
 
 
 @register("q_section_report")
 def q_section_report(spark, sf):
-    norm = T.normalize_section(F.col("text"), exact=False)
+    norm = T.normalize_section(F.col("text"))
     pairs = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("section"), norm.alias("gt"), F.replace(norm, F.lit(" the "), F.lit(" ")).alias("pred"))
     return S.section_report(S.compare(pairs, "soft", lambda g, p: F.length(p) / F.length(g)), ["conv_id"])
 

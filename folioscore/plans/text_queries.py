@@ -65,7 +65,7 @@ def q_cer_by_lang(spark, sf):
 @register("q_wer_by_lang")
 def q_wer_by_lang(spark, sf):
     docs = spread(table(spark, sf, "documents")).select("lang", F.coalesce("text", F.lit("")).alias("gt")).withColumn("hyp", garbled(F.col("gt")))
-    return docs.select("lang", D.wer(F.col("gt"), F.col("hyp"), exact=False).alias("wer"), D.cer(F.col("gt"), F.col("hyp"), exact=False).alias("cer")).groupBy("lang").agg(six(F.avg("wer")).alias("wer"), six(F.avg("cer")).alias("cer"), F.count("*").alias("pages"))
+    return docs.select("lang", D.wer(F.col("gt"), F.col("hyp")).alias("wer"), D.cer(F.col("gt"), F.col("hyp")).alias("cer")).groupBy("lang").agg(six(F.avg("wer")).alias("wer"), six(F.avg("cer")).alias("cer"), F.count("*").alias("pages"))
 
 
 @register("q_ndld_char", rf"""WITH t AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS a FROM benchmark), p AS (SELECT item_id, a, {_GARBLED.format("a")} AS b FROM t)
@@ -79,7 +79,7 @@ def q_ndld_char(spark, sf):
 @register("q_ndld_word")
 def q_ndld_word(spark, sf):
     t = spread(table(spark, sf, "documents")).select("doc_id", "lang", "text")
-    seq = [T.word_sequence(c, False, exact=False) for c in (F.col("text"), garbled(F.col("text")))]
+    seq = [T.word_sequence(c, False) for c in (F.col("text"), garbled(F.col("text")))]
     n = t.select("lang", D.ndld(*seq).alias("n"))
     return n.groupBy("lang").agg(six(F.avg("n.ndld")).alias("ndld"), F.sum("n.distance").cast("long").alias("distance"))
 
@@ -126,7 +126,7 @@ def q_bleu_corpus(spark, sf):
 @register("q_bleu_documents")
 def q_bleu_documents(spark, sf):
     docs = spread(table(spark, sf, "documents")).select("doc_id", "lang", "text").withColumn("hyp", garbled(F.col("text")))
-    tokens = lambda c: T.split_words(T.normalize_text(F.col(c), exact=False))
+    tokens = lambda c: T.split_words(T.normalize_text(F.col(c)))
     pairs = docs.select("lang", "doc_id", tokens("text").alias("ref_tokens"), tokens("hyp").alias("hyp_tokens"))
     return E.corpus_bleu(pairs, ["lang"], ["doc_id"])
 
@@ -136,6 +136,12 @@ def q_normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize_section(F.col("text"), exact=False).alias("norm"))
 
 
+@register("q_normalize_text_exact")
+def q_normalize_text_exact(spark, sf):
+    """T-02 with its normal form, which the SQL of ``q_normalize_text`` leaves out."""
+    return spread(table(spark, sf, "documents")).select("doc_id", T.normalize_section(F.col("text")).alias("norm"))
+
+
 @register("q_normalize_punct", rf"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '{_PUNCT.replace(chr(39), chr(39) * 2)}', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM benchmark")
 def q_normalize_punct(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.normalize_text(F.col("text"), exact=False).alias("norm"))

@@ -1,0 +1,56 @@
+"""Queries that run the normal forms, against plain Python."""
+
+import re
+import unicodedata
+from collections import defaultdict
+
+import pytest
+
+from folioscore.plans import registry
+
+SF = "/root/testdata/sf0.01"
+
+
+def norm(text):
+    t = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if unicodedata.category(c) != "Mn")
+    return " ".join(re.sub(r"[^a-z0-9\s]", " ", t).split())
+
+
+def rows_of(spark, name, sf=SF):
+    return registry.queries()[name](spark, sf).collect()
+
+
+def test_normalize_text(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["norm"] for r in rows_of(spark, "q_normalize_text_exact")} == {d: norm(t) for d, t in texts.items()}
+    assert sum(not t.isascii() for t in texts.values()) > 100
+
+
+def test_sections(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    sections = defaultdict(list)
+    for r in sorted(turns, key=lambda r: r["turn"]):
+        sections[r["conv_id"], r["role"]] += [r["text"]] if r["text"] is not None else []
+    assert {(r["conv_id"], r["section"]): r["gt"] for r in rows_of(spark, "q_gt_section_export_exact")} == {k: norm(" ".join(v)) for k, v in sections.items()}
+    want = []
+    for r in turns:
+        p = norm(r["text"])
+        g = "" if r["turn"] % 3 == 0 else p
+        if p not in ("", "na", "none", "null"):
+            want.append((r["conv_id"], r["turn"], 1.0 if g == "" else 0.0, len(g.split()), len(p.split())))
+    assert sorted(map(tuple, rows_of(spark, "q_empty_policy_exact"))) == sorted(want)
+
+
+def test_section_report(spark, tmp_path):
+    """One accented text: its pieces were words of their own without the normal form."""
+    spark.createDataFrame([(1, 0, "user", "\u00c9tion cr\u00e8me the \u00e9t\u00e9")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = rows_of(spark, "q_section_report", str(tmp_path))
+    assert "0.25" in str(row)
+
+
+@pytest.mark.parametrize(("name", "column", "want"), [("q_wer_by_lang", "wer", 0.333333), ("q_ndld_word", "ndld", 0.333333), ("q_bleu_documents", "p1", 200 / 3)])
+def test_compatibility_form(spark, tmp_path, name, column, want):
+    """NFKC makes the lone diaeresis a space and a mark: three words, one of them misread."""
+    spark.createDataFrame([(1, "en", "a\u00a8b the")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = rows_of(spark, name, str(tmp_path))
+    assert row[column] == pytest.approx(want)

@@ -96,10 +96,10 @@ OP10_SQL = r"""
 WITH RECURSIVE
 m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM conversations),
 l AS (SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m),
-d AS (SELECT *, least(6, length(regexp_replace(regexp_extract(line, '^(?:> ?)+'), '[^>]', '', 'g'))) AS depth, lower(regexp_replace(line, '^(?:> ?)+', '')) AS bare,
+d AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(?:> ?)+'), '[^>]', '', 'g')) AS depth, lower(regexp_replace(line, '^(?:> ?)+', '')) AS bare,
         lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM l WINDOW w AS (PARTITION BY id ORDER BY i)),
-a AS (SELECT *, regexp_matches(line, '^[^>]{1,200} wrote:[ \t]*$') AND coalesce(l1 LIKE '>%', FALSE) AS attr1,
-        regexp_matches(line, '^[^>]{1,200} wrote:[ \t]*$') AND coalesce(l1 = '' AND l2 LIKE '>%', FALSE) AS attr2 FROM d),
+a AS (SELECT *, regexp_matches(line, '^[^>]+ wrote:[ \t]*$') AND coalesce(l1 LIKE '>%', FALSE) AS attr1,
+        regexp_matches(line, '^[^>]+ wrote:[ \t]*$') AND coalesce(l1 = '' AND l2 LIKE '>%', FALSE) AS attr2 FROM d),
 k AS (SELECT *, coalesce(lag(attr2) OVER w, FALSE) AS gone, sum(CASE WHEN depth = p THEN 0 ELSE 1 END) OVER w AS run FROM (SELECT *, lag(depth) OVER (PARTITION BY id ORDER BY i) AS p FROM a) WINDOW w AS (PARTITION BY id ORDER BY i)),
 o AS (SELECT id, string_agg(CASE WHEN attr1 OR attr2 THEN '' ELSE line END, chr(10) ORDER BY i) FILTER (depth = 0 AND NOT gone) AS own, max(depth) AS deepest FROM k GROUP BY id),
 c AS (SELECT m.id, conv_id, turn, role, regexp_replace(CASE WHEN deepest > 0 THEN regexp_replace(coalesce(own, ''), '\n{3,}', chr(10) || chr(10), 'g') ELSE text END, '^\s+|\s+$', '', 'g') AS content FROM m JOIN o USING (id)),
@@ -108,9 +108,9 @@ pieces AS (
   UNION ALL SELECT conv_id, turn, unnest(string_split_regex(content, '\n\s*\n')), FALSE FROM c
   UNION ALL SELECT conv_id, turn, unnest(string_split(content, chr(10))), TRUE FROM c),
 keys AS (SELECT conv_id, turn, is_line, trim(regexp_replace(lower(regexp_replace(t, '(?m)^(?:> ?)+', '', 'g')), '\s+', ' ', 'g')) AS t FROM pieces WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-known AS (SELECT conv_id, t, min(turn) AS first FROM keys WHERE t <> '' AND (NOT is_line OR regexp_matches(t, '^(\S+ ){2,}\S+$')) GROUP BY conv_id, t),
+known AS (SELECT conv_id, t, min(turn) AS first FROM keys WHERE t <> '' AND (NOT is_line OR regexp_matches(t, '^(\S+ ){2}\S')) GROUP BY conv_id, t),
 q AS (SELECT conv_id, turn, trim(regexp_replace(string_agg(bare, chr(10) ORDER BY i), '\s+', ' ', 'g')) AS t, 2 * depth AS ord FROM k WHERE depth > 0 GROUP BY id, conv_id, turn, run, depth
-  UNION ALL SELECT conv_id, turn, trim(regexp_replace(bare, '\s+', ' ', 'g')), 2 * depth + 1 FROM k WHERE depth > 0 AND regexp_matches(trim(regexp_replace(bare, '\s+', ' ', 'g')), '^(\S+ ){2,}\S+$')),
+  UNION ALL SELECT conv_id, turn, trim(regexp_replace(bare, '\s+', ' ', 'g')), 2 * depth + 1 FROM k WHERE depth > 0 AND regexp_matches(trim(regexp_replace(bare, '\s+', ' ', 'g')), '^(\S+ ){2}\S')),
 found AS (SELECT q.conv_id, q.turn, q.ord, first FROM q JOIN known ON q.conv_id = known.conv_id AND q.t = known.t AND first < q.turn),
 best AS (SELECT conv_id, turn, first AS reply_to, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord, first DESC) AS n FROM found),
 links AS (SELECT conv_id, turn, reply_to FROM best WHERE n = 1),

@@ -1,9 +1,8 @@
 """Quotation linking: reply-ordered conversations without quotes, in DataFrame
 functions only.
 
-A line that begins with one or more ``>`` is quoted, as deep as it has signs
-(``DEEPEST`` and deeper count as one level). Runs of lines of one depth are a
-passage. Passages and messages are normalised (quote signs off, small letters,
+A line that begins with one or more ``>`` is quoted, as deep as it has signs, to
+any depth. Runs of lines of one depth are a passage. Passages and messages are normalised (quote signs off, small letters,
 white space collapsed) and hashed: a message by its own words as a whole, by
 paragraph and by line, a passage as a whole and by line. A passage's original is
 the earliest message of the same conversation with that hash, if its turn is
@@ -19,7 +18,10 @@ behind what they answer; no conversation is ever gathered into one row, so one t
 holds most of the rows is no matter.
 
 Originals are one row for each (conversation, hash), so a passage quoted by
-everyone costs one row a quotation.
+everyone costs one row a quotation. They are written before they are joined, so
+both sides of the join are plain shuffles and a hash that everybody quotes is split.
+
+Patterns read a line of any length in one pass and a bounded stack.
 
 Rows: a null text is empty. A message with a null conversation or turn is linked to
 nothing and is its own thread (null where its turn is null). Messages that share
@@ -32,18 +34,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .common import staged
 
-DEEPEST = 6
 LEAST_WORDS = 3
 _SIGNS = r"(?:>\x20?)"
-_ATTRIBUTION = r"(?m)^[^\n>]{1,200} wrote:[\x20\t]*(?:\n(?=>)|\n\n(?=>))"
+_ATTRIBUTION = r"(?m)^[^\n>]+ wrote:[\x20\t]*(?:\n(?=>)|\n\n(?=>))"
+_BLANK = " \t\n\x0b\f\r"
+
 
+def depths(text: Column) -> Column:
+    """The depths at which the text has quoted lines."""
+    signs = F.regexp_extract_all(text, F.lit(rf"(?m)^{_SIGNS}++"), F.lit(0))
+    return F.array_distinct(F.transform(signs, lambda s: F.length(F.replace(s, F.lit(" "), F.lit("")))))
 
-def level_pattern(level: int) -> str:
-    """Runs of lines quoted ``level`` deep. Possessive, so the run's length costs no stack."""
-    count = f"{{{level}}}" if level < DEEPEST else f"{{{level},}}"
-    return rf"(?m)(?:^{_SIGNS}{count}+(?!>)[^\n]*+(?:\n|\z))++"
+
+def passages(text: Column, depth: Column) -> Column:
+    """Runs of lines quoted ``depth`` deep. Possessive, so the run's length costs no stack."""
+    pattern = F.concat(F.lit(rf"(?m)(?:^{_SIGNS}{{"), depth.cast("string"), F.lit(r"}+(?!>)[^\n]*+(?:\n|\z))++"))
+    return F.regexp_extract_all(text, pattern, F.lit(0))
 
 
 def normalised(text: Column) -> Column:
@@ -54,37 +63,38 @@ def normalised(text: Column) -> Column:
 def own_words(text: Column) -> Column:
     """The text without quoted lines and the lines that introduce them."""
     bare = F.regexp_replace(F.regexp_replace(text, _ATTRIBUTION, "\n"), r"(?m)^>[^\n]*+(?:\n|\z)", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return stripped(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
+
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANK))
 
-def _keys(text: Column, order: int, lines: bool) -> Column:
+
+def _keys(text: Column, order: Column, lines: bool) -> Column:
     """Hashes of a text as a whole (order) and of its lines (order + 1)."""
     whole = F.filter(F.array(normalised(text)), lambda x: x != "")
-    out = F.transform(whole, lambda x: F.struct(F.lit(order).alias("order"), F.sha2(x, 256).alias("hash")))
+    out = F.transform(whole, lambda x: F.struct(order.alias("order"), F.sha2(x, 256).alias("hash")))
     if not lines:
         return out
-    each = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x.rlike(rf"^(\S+ ){{{LEAST_WORDS - 1},}}\S+$"))
-    return F.concat(out, F.transform(F.array_distinct(each), lambda x: F.struct(F.lit(order + 1).alias("order"), F.sha2(x, 256).alias("hash"))))
+    each = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x.rlike(rf"^(?:\S++ ){{{LEAST_WORDS - 1}}}\S"))
+    return F.concat(out, F.transform(F.array_distinct(each), lambda x: F.struct((order + 1).alias("order"), F.sha2(x, 256).alias("hash"))))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, content, and quoted (array of order, hash; smaller orders are better links)."""
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\r\n?", "\n")
     base = messages.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"))
-    passages = [F.flatten(F.transform(F.regexp_extract_all("text", F.lit(level_pattern(k)), F.lit(0)), _passage_keys(2 * k))) for k in range(1, DEEPEST + 1)]
+    quoted = let(F.col("text"), lambda t: F.flatten(F.transform(depths(t), lambda d: F.flatten(F.transform(passages(t, d), lambda p: _keys(p, 2 * d, True))))))
     quotes = F.col("text").rlike(r"(?m)^>")
     none = F.array().cast("array<struct<order:int,hash:string>>")
-    return base.select("conv_id", "turn", "role", F.when(quotes, own_words(F.col("text"))).otherwise(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("content"), F.when(quotes, F.array_distinct(F.concat(*passages))).otherwise(none).alias("quoted"))
-
-
-def _passage_keys(order: int):
-    return lambda p: _keys(p, order, True)
+    return base.select("conv_id", "turn", "role", F.when(quotes, own_words(F.col("text"))).otherwise(stripped(F.col("text"))).alias("content"), F.when(quotes, F.array_distinct(quoted)).otherwise(none).alias("quoted"))
 
 
 def originals(messages: DataFrame) -> DataFrame:
     """conv_id, hash, first: the earliest turn whose own words have the hash."""
-    paragraphs = F.flatten(F.transform(F.split("content", r"\n\s*\n"), lambda p: _keys(p, 0, False)))
-    keys = F.array_distinct(F.transform(F.concat(_keys(F.col("content"), 0, True), paragraphs), lambda k: k["hash"]))
+    # A blank line is a line break, blanks without one, a line break: read without going back.
+    paragraphs = F.flatten(F.transform(F.split("content", r"\n(?:[\x20\t\x0b\f\r]*+\n)++[\x20\t\x0b\f\r]*+"), lambda p: _keys(p, F.lit(0), False)))
+    keys = F.array_distinct(F.transform(F.concat(_keys(F.col("content"), F.lit(0), True), paragraphs), lambda k: k["hash"]))
     return messages.select("conv_id", "turn", F.explode(keys).alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("first"))
 
 
@@ -93,7 +103,7 @@ def links(messages: DataFrame) -> DataFrame:
     placed = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoting = placed.filter(F.size("quoted") > 0)
     asked = quoting.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.order", "q.hash")
-    known = originals(placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi"))
+    known = staged(originals(placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")), "originals")
     found = asked.join(known, ["conv_id", "hash"]).filter("first < turn")
     # Of the best order, the latest original is the one that was answered.
     return found.groupBy("conv_id", "turn").agg(F.min(F.struct("order", (-F.col("first")).alias("late"))).alias("best")).select("conv_id", "turn", (-F.col("best.late")).alias("reply_to"))

@@ -10,7 +10,7 @@ def norm(t):
 
 def depth(line):
     m = re.match(r"(?:>\x20?)+", line)
-    return min(Q.DEEPEST, m[0].count(">")) if m else 0
+    return m[0].count(">") if m else 0
 
 
 def parse(text):
@@ -26,7 +26,7 @@ def parse(text):
             now = [d, [line]] if d else None
             if now:
                 passages.append(now)
-    body = re.sub(r"(?m)^[^\n>]{1,200} wrote:[\x20\t]*(?:\n(?=>)|\n\n(?=>))", "\n", text)
+    body = re.sub(r"(?m)^[^\n>]+ wrote:[\x20\t]*(?:\n(?=>)|\n\n(?=>))", "\n", text)
     body = re.sub(r"(?m)^>[^\n]*(?:\n|\Z)", "", body)
     return re.sub(r"\n{3,}", "\n\n", body).strip(" \t\n\x0b\f\r"), passages
 
@@ -80,6 +80,13 @@ ROWS = [
     *[(4, i, "user", f"> {'first' if i == 1 else f'word number {i - 1}'}\nword number {i}") for i in range(1, 30)],
     (5, 0, "user", "line of many words\n" * 20_000),
     (5, 1, "user", "> line of many words\n" * 20_000 + "agreed"),
+    (6, 0, "user", "word " * 100_000 + "end"),
+    (6, 1, "user", "> " + "word " * 100_000 + "end\n\nagreed, " + " " * 100_000 + "in full"),
+    (6, 2, "user", "w" * 300 + " wrote:\n> agreed, in full\nthe name above is long"),
+    (7, 0, "user", "level zero"),
+    *[(7, i, "user", "\n".join([f"{'>' * (i - k)} level {k or 'zero'}" for k in range(i)] + [f"level {i}"])) for i in range(1, 13)],
+    (8, 0, "user", "ask me anything"),
+    *[(8, i, "user", f"> ask me anything\nanswer {i}") for i in range(1, 3001)],
 ]
 
 
@@ -94,6 +101,9 @@ def test_against_brute_force(spark):
     for g, w in zip(got, want, strict=True):
         assert g == w
     by = {(g[0], g[1]): g for g in got}
+    assert by[6, 1][3] == 0 and by[6, 2][3] == 1 and by[6, 2][6] == "the name above is long"
+    assert [by[7, i][3] for i in range(13)] == [None, *range(12)]
+    assert by[7, 12][5] == 12 and all(by[8, i][3] == 0 for i in range(1, 3001))
     assert by[1, 2][3:6] == (1, 0, 2) and by[1, 4][3:6] == (2, 0, 3) and by[4, 29][5] == 29 and by[5, 1][3] == 0
 
 
@@ -117,3 +127,10 @@ def test_sql(spark, tmp_path):
     got = queries.op10_quotation_linking(spark, str(tmp_path)).select(*names)
     for g, w in zip(sorted(map(tuple, got.collect()), key=str), sorted(cur.fetchall(), key=str), strict=True):
         assert g == w
+
+
+def test_deep_passages_side_by_side(spark):
+    """Neighbours at depths 6 and 7 are passages of their own, however short."""
+    rows = [(1, 0, "user", "one two"), (1, 1, "user", "three four"), (1, 2, "user", ">>>>>>> one two\n>>>>>> three four\nboth")]
+    got = sorted(map(tuple, Q.conversations(frame(spark, rows)).collect()))
+    assert got == sorted(brute(rows)) and got[2][3] == 1

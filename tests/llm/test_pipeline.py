@@ -11,7 +11,7 @@ from folioscore.llm.common import staged
 from folioscore.llm.words import load_tokenizer
 
 from .test_secrets import brute as brute_secrets
-from .test_simhash import brute as brute_copies
+from .test_jaccard import shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,14 +44,23 @@ def test_each_stage_against_brute_force(spark, sf):
     single = C.drop_copies(spark, good, sf).transform(staged, "test")
     assert single.columns == COLUMNS
     kept = rows_of(good)
-    numbered = [(i, r[1]) for i, r in enumerate(kept)]
-    groups = Counter()
-    want = {}
-    for i, _, group in brute_copies(numbered, width=5):
-        row = kept[int(i)]
+    # The stage's rule: five words and a similarity of 0.8 or more.
+    sets, up = [shingles(r[1]) for r in kept], list(range(len(kept)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                up[find(i)] = find(j)
+    want, groups = {}, Counter()
+    for i, row in enumerate(kept):
         key = (row[0] is None, row[0] or 0)
-        want[group] = min(want.get(group, (key, row)), (key, row), key=lambda x: x[0])
-        groups[group] += 1
+        want[find(i)] = min(want.get(find(i), (key, row)), (key, row), key=lambda x: x[0])
+        groups[find(i)] += 1
     assert rows_of(single) == sorted((r for _, r in want.values()), key=str) and max(groups.values()) > 1
 
     masked = C.mask_secrets(spark, single, sf).transform(staged, "test")

@@ -71,8 +71,8 @@ def test_shards_are_disjoint_and_even(spark, rows):
 
 def test_mixed_texts(spark, rows):
     df = frame(spark, rows)
-    mix = M.plan(df, shards=4, block_words=64)
-    out = M.mixed(df, mix, 64)
+    mix = M.plan(df, shards=4, block_words=64, keep=True)
+    out = M.mixed(mix, 64)
     assert set(df.columns) < set(out.columns)
     words, texts = Counter(), {r[0]: r[2] for r in rows}
     for r in out.collect():
@@ -86,7 +86,7 @@ def test_repeated_rows_and_empty(spark):
     two = [(1, "a", "x y z"), (1, "a", "x y z"), (2, "b", "p q r s")]
     got = M.summary(M.plan(frame(spark, two))).collect()
     assert len(got) == 3 and all(r["taken"] <= 3 * r["size"] for r in got)
-    out = M.mixed(frame(spark, two), M.plan(frame(spark, two), block_words=1), 1).collect()
+    out = M.mixed(M.plan(frame(spark, two), block_words=1, keep=True), 1).collect()
     assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in M.summary(M.plan(frame(spark, two), block_words=1)).collect())
     assert M.summary(M.plan(frame(spark, []))).count() == 0
     blank = M.summary(M.plan(frame(spark, [(1, None, None), (2, "a", "")]))).select(F.sum("taken"), F.count("*")).collect()[0]
@@ -98,9 +98,9 @@ def test_mixed_rows_hold_the_quotas(spark, rows):
     marked = [(d, s, None if t is None else " ".join(f"b{i // 64}" for i, _ in enumerate(t.split()))) for d, s, t in rows]
     source = {r[0]: r[1] for r in marked}
     df = frame(spark, marked)
-    mix = M.plan(df, shards=8, block_words=64)
+    mix = M.plan(df, shards=8, block_words=64, keep=True)
     got, drawn = Counter(), Counter()
-    for r in M.mixed(df, mix, 64).collect():
+    for r in M.mixed(mix, 64).collect():
         n = len(set(r["text"].split()))
         got[r["shard"], source[r["doc_id"]]] += n
         drawn[source[r["doc_id"]]] += n
@@ -118,7 +118,47 @@ def test_stage_lays_rows_out_by_shard_and_place(spark, rows, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         df = frame(spark, rows).select("doc_id", "source", "text")
         got = [(r["doc_id"], r["text"]) for r in C.mix_sources(spark, df, "").collect()]
-        want = sorted(M.mixed(df, M.plan(df)).collect(), key=lambda r: (r["shard"], r["place"]))
+        want = sorted(M.mixed(M.plan(df, keep=True)).collect(), key=lambda r: (r["shard"], r["place"]))
         assert got == [(r["doc_id"], r["text"]) for r in want] and len({r["shard"] for r in want}) == M.SHARDS
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_the_tree_decides_what_is_taken(spark, rows, monkeypatch):
+    """A tree that fills one shard only leaves the mix with that shard's words."""
+    df, real = frame(spark, rows), M.split_tree
+    every = M.summary(M.plan(df, shards=8, block_words=64)).agg(F.sum("taken")).collect()[0][0]
+    monkeypatch.setattr(M, "split_tree", lambda q, n, s: real(q, n, s) * (np.arange(n) == 0)[:, None])
+    mix = M.plan(df, shards=8, block_words=64)
+    some = M.summary(mix).agg(F.sum("taken")).collect()[0][0]
+    assert 0 < some < every / 4 and {r["shard"] for r in mix.taken.select("shard").distinct().collect()} == {0}
+    monkeypatch.setattr(M, "split_tree", lambda q, n, s: real(q, n, s) * 0)
+    assert M.summary(M.plan(df, shards=8, block_words=64)).agg(F.sum("taken")).collect()[0][0] == 0
+
+
+def test_draws_beyond_the_librarys_range_follow_the_same_law():
+    rng = np.random.default_rng(1)
+    for good, bad, draw in ((30, 70, 50), (3, 500, 20), (400, 3, 390), (1, 1, 1), (5, 5, 10)):
+        some = np.array([M._by_inversion(rng, good, bad, draw) for _ in range(20_000)])
+        n = good + bad
+        mean, var = draw * good / n, draw * good / n * bad / n * (n - draw) / max(1, n - 1)
+        assert some.min() >= max(0, draw - bad) and some.max() <= min(good, draw)
+        assert abs(some.mean() - mean) <= 5 * (var / 20_000) ** 0.5 + 1e-9 and abs(some.var() - var) <= 0.1 * var + 1e-9
+    good, bad, draw = 3 * 10**10, 5 * 10**10, 4 * 10**10
+    some = np.array([M._hypergeometric(rng, good, bad, draw) for _ in range(200)], float)
+    var = draw * (3 / 8) * (5 / 8) / 2
+    assert abs(some.mean() - 1.5 * 10**10) < 5 * (var / 200) ** 0.5 and 0.6 < some.var() / var < 1.5
+
+
+def test_copies_and_blanks_in_any_number(spark):
+    """One row thousands of times, and blank rows without an id, over many partitions."""
+    many = [(1, "a", "x y z")] * 3000 + [(None, None, "")] * 3000 + [(2, "b", "p q r")]
+    df = frame(spark, many).repartition(9)
+    mix = M.plan(df, shards=4, block_words=2)
+    got = M.summary(mix).collect()
+    again = M.summary(M.plan(df.repartition(4), shards=4, block_words=2)).collect()
+    assert len(got) == 6001 and sorted(map(str, got)) == sorted(map(str, again))
+    rows = mix.sizes.filter("size > 0").groupBy("doc_id", "copy").count().filter("count > 1").count()
+    assert rows == 0 and mix.sizes.agg(F.max("copy")).collect()[0][0] == 3000
+    total = sum(r["taken"] for r in got if r["doc_id"] == 1)
+    assert abs(total - next(r["target"] for r in got if r["doc_id"] == 1)) <= 2

@@ -41,7 +41,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: the texts the mix takes, a row for each epoch of a document and shard, by shard and shuffled inside it."""
-    return _counted(mixing.laid_out(mixing.mixed(docs, mixing.plan(docs))), docs.columns)
+    return _counted(mixing.laid_out(mixing.mixed(mixing.plan(docs, keep=True))), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,20 +1,25 @@
 """Token counts that follow edits: a segment tree over each document's pre-tokens.
 
-A document's state is its words' (pre-tokens') sizes in characters and in tokens,
-with the sums of every subtree. An edit replaces ``length`` characters from
-``start`` by ``text``; edits apply one after the other, each to the text as the
-ones before left it. Going down the tree by character sums finds the words that an
-edit touches. Only that region is cut and encoded again, with context on both
-sides: where words are cut depends on a few characters around them (a space goes
-to the word behind it, a run of blanks gives up its last, special strings are cut
-out first), so the region grows, doubling, until its first and last new words are
-words the document had before. The new words' leaves replace the old ones; sums
-are updated upward from the changed leaves, in chunks of leaves so that a document
-of any length has a bounded part to rewrite.
+A document's state is a row: its text, its words' (pre-tokens') sizes in characters
+and in tokens, how they are cut into chunks of leaves, and the sums of every subtree.
+``trees`` makes it, ``apply_edits`` takes it with a list of edits and returns it as the
+edits leave it, so that states are written and taken up again by the next round; a text
+is encoded as a whole once, by ``trees``.
+
+An edit replaces ``length`` characters from ``start`` by ``text``; edits apply one after
+the other, each to the text as the ones before left it. Going down the tree by character
+sums finds the words that an edit touches. Only that region is cut and encoded again,
+with context on both sides: where words are cut depends on a few characters around them
+(a space goes to the word behind it, a run of blanks gives up its last, special strings
+are cut out first), so the region grows, doubling, until its first and last new words are
+words the document had before. The new words' leaves replace the old ones in their
+chunks, and sums are updated upward from those chunks. Chunks have room for twice their
+leaves; only where they overflow is the tree laid out anew, from the chunks' sums.
 
 Rows: a null text is empty, a null edit list holds no edits, a null edit or one
 with a null start is skipped, null length is 0 and null text is empty. Starts and
-lengths are clipped to the text. Repeated rows and extra columns change nothing.
+lengths are clipped to the text. Every row gives one row. Repeated rows and extra columns
+change nothing.
 """
 
 from __future__ import annotations
@@ -32,22 +37,28 @@ from .words import encoder, split_words, text_groups
 #: Leaves of one chunk: a chunk with more than twice as many is split.
 CHUNK = 256
 EDITS = "array<struct<start:int,length:int,text:string>>"
-STATE = "doc_id long, chars long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+_TREE = "leaf_chars array<int>, leaf_tokens array<int>, chunks array<int>, sum_chars array<long>, sum_tokens array<long>"
+#: ``sum_chars`` and ``sum_tokens`` have the tree's node i at place i (place 0 is unused).
+STATE = f"doc_id long, text string, n_tokens long, {_TREE}"
+EDITED = f"doc_id long, text string, n_tokens long, {_TREE}, tokens_before long, n_edits int, reencoded_chars long"
 
 
 class SumTree:
     """Segment tree over (characters, tokens) of chunks of leaves. Node i's children are
     2i and 2i + 1; the chunks are the nodes from ``width`` on."""
 
-    def __init__(self, chunks: list[np.ndarray]):
+    def __init__(self, chunks: list[np.ndarray], sums: np.ndarray | None = None):
         self.chunks = chunks
-        self._build()
-
-    def _build(self) -> None:
-        self.width = 1 << max(0, (len(self.chunks) - 1).bit_length())
+        if sums is None:
+            self._lay_out(np.array([c.sum(0) for c in chunks], np.int64))
+        else:
+            self.sums, self.width = sums, len(sums) // 2
+
+    def _lay_out(self, own: np.ndarray) -> None:
+        """A tree over chunks with the sums ``own``."""
+        self.width = 1 << max(0, (len(own) - 1).bit_length())
         self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for i, c in enumerate(self.chunks):
-            self.sums[self.width + i] = c.sum(0)
+        self.sums[self.width : self.width + len(own)] = own
         level = self.width
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(1)
@@ -79,21 +90,36 @@ class SumTree:
         """Put ``leaves`` in place of those from ``first`` up to (without) ``last``."""
         (c0, l0), (c1, l1) = first, last
         new = np.concatenate((self.chunks[c0][:l0], leaves, self.chunks[c1][l1:]))
-        if c0 == c1 and 0 < len(new) <= 2 * CHUNK:
-            self.chunks[c0] = new
-            node = self.width + c0
-            self.sums[node] = new.sum(0)
-            while node > 1:
-                node //= 2
-                self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        slots = c1 - c0 + 1
+        if len(new) <= 2 * CHUNK * slots:  # they fit where the old ones were
+            self.chunks[c0 : c1 + 1] = np.array_split(new, slots)
+            nodes = range(self.width + c0, self.width + c1 + 1)
+            for node in nodes:
+                self.sums[node] = self.chunks[node - self.width].sum(0)
+            while nodes[0] > 1:
+                nodes = range(nodes[0] // 2, nodes[-1] // 2 + 1)
+                for node in nodes:
+                    self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
             return
-        self.chunks[c0 : c1 + 1] = [new[i : i + CHUNK] for i in range(0, len(new), CHUNK)]
-        self.chunks = self.chunks or [np.zeros((0, 2), np.int64)]
-        self._build()
+        parts = np.array_split(new, -(-len(new) // CHUNK))
+        n = len(self.chunks)
+        own = self.sums[self.width : self.width + n]
+        self.chunks[c0 : c1 + 1] = parts
+        self._lay_out(np.concatenate((own[:c0], np.array([c.sum(0) for c in parts], np.int64), own[c1 + 1 :])))
 
     def leaves(self) -> np.ndarray:
         return np.concatenate(self.chunks)
 
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """The tree as the state's columns from ``leaf_chars`` on."""
+        leaves = self.leaves().astype(np.int32)
+        return leaves[:, 0], leaves[:, 1], np.array([len(c) for c in self.chunks], np.int32), self.sums[:, 0], self.sums[:, 1]
+
+    @classmethod
+    def stored(cls, leaf_chars: np.ndarray, leaf_tokens: np.ndarray, chunks: np.ndarray, sum_chars: np.ndarray, sum_tokens: np.ndarray) -> SumTree:
+        leaves = np.stack((leaf_chars, leaf_tokens), 1).astype(np.int64)
+        return cls(np.split(leaves, np.cumsum(chunks)[:-1]), np.stack((sum_chars, sum_tokens), 1).astype(np.int64))
+
 
 class Counter:
     """Leaves of texts, and texts under edit."""
@@ -151,45 +177,54 @@ class Counter:
         return word.isalpha() and (b == len(text) or not text[b].isalpha()) and (a == 0 or text[a] == " " or not (text[a - 1] == "'" or text[a - 1].isalpha()))
 
 
+_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64())
+_NAMES = [c.split()[0] for c in EDITED.split(", ")]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS[: len(cols)], strict=True)], names=_NAMES[: len(cols)])
+
+
 def trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Each document's leaves: doc_id, chars, n_tokens, leaf_chars, leaf_tokens."""
+    """The ``STATE`` of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path)
         for batch in batches:
             for lo, hi in text_groups(batch.column(1)):
-                own = counter.leaves(batch.column(1).slice(lo, hi - lo))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                cols = ([int(x[:, 0].sum()) for x in own], [int(x[:, 1].sum()) for x in own], [x[:, 0].astype(np.int32) for x in own], [x[:, 1].astype(np.int32) for x in own])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "chars", "n_tokens", "leaf_chars", "leaf_tokens"])
+                ids, texts = (batch.column(i).slice(lo, hi - lo) for i in (0, 1))
+                own = [SumTree.of(x) for x in counter.leaves(texts)]
+                yield _batch([(i, t or "", int(tree.total[1]), *tree.columns()) for i, t, tree in zip(ids.to_pylist(), texts.to_pylist(), own, strict=True)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STATE)
 
 
-def edited_counts(docs: DataFrame, tokenizer_path: str, edits: str = "edits") -> DataFrame:
-    """Apply each row's ``edits`` (``EDITS``) to its text, in order: doc_id, n_tokens
-    (before), edited_tokens, n_edits, reencoded_chars, edited (the text after).
-    A text's tree is built once; after that only regions around edits are encoded."""
-    schema = "doc_id long, n_tokens long, edited_tokens long, n_edits int, reencoded_chars long, edited string"
+def apply_edits(state: DataFrame, tokenizer_path: str, edits: str = "edits") -> DataFrame:
+    """Apply each row's ``edits`` (``EDITS``), in order, to its state (the columns of
+    ``STATE``): the state after them, and tokens_before, n_edits and reencoded_chars. Only
+    regions around edits are encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path)
+        counter, last = Counter(tokenizer_path), len(_STATE_NAMES)
         for batch in batches:
             for lo, hi in text_groups(batch.column(1)):
-                texts = batch.column(1).slice(lo, hi - lo)
                 rows = []
-                for doc_id, leaves, text, todo in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), counter.leaves(texts), texts.to_pylist(), batch.column(2).slice(lo, hi - lo).to_pylist(), strict=True):
-                    tree, text, done, again = SumTree.of(leaves), text or "", 0, 0
-                    before = int(tree.total[1])
-                    for e in todo or []:
+                for i in range(lo, hi):
+                    text, before = batch.column(1)[i].as_py() or "", batch.column(2)[i].as_py()
+                    tree = SumTree.stored(*(batch.column(c)[i].values.to_numpy() for c in range(3, last)))
+                    done, again = 0, 0
+                    for e in batch.column(last)[i].as_py() or []:
                         if e is not None and e["start"] is not None:
                             text, n = counter.apply(tree, text, e["start"], e["length"] or 0, e["text"] or "")
                             done, again = done + 1, again + n
-                    rows.append((doc_id, before, int(tree.total[1]), done, again, text))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_tokens", "edited_tokens", "n_edits", "reencoded_chars", "edited"])
+                    rows.append((batch.column(0)[i].as_py(), text, int(tree.total[1]), *tree.columns(), before, done, again))
+                yield _batch(rows)
+
+    return state.select(*_STATE_NAMES, F.col(edits).cast(EDITS).alias("_edits")).mapInArrow(run, EDITED)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, schema)
+_STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
 
 
 def sample_edits(text: Column, key: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bitslice, bpe, edits, mixing, quality, quotes, secrets, simhash, token_files
-from .common import table
+from .common import staged, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 QUALITY_CUT = 0.3
@@ -37,9 +37,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    todo = docs.withColumn("edits", edits.sample_edits(F.col("text"), F.col("doc_id")))
-    return edits.edited_counts(todo, public_tokenizers.path(BYTE_BPE)).select("doc_id", "n_tokens", "edited_tokens", "n_edits", "reencoded_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    state = staged(edits.trees(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)), "trees")
+    todo = state.withColumn("edits", edits.sample_edits(F.col("text"), F.col("doc_id")))
+    after = edits.apply_edits(todo, public_tokenizers.path(BYTE_BPE))
+    return after.select("doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), "n_edits", "reencoded_chars", F.sha2("text", 256).alias("edited_sha256"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,15 +45,62 @@ def test_long_text_is_mostly_left_alone():
     assert again < 200 and tree.total[1] == n_tokens(text)
 
 
+ROWS = [(1, "some text", [(0, 4, "Any")]), (2, None, [(0, 5, "new")]), (3, "", None), (None, "a b", [(1, None, None), (None, 1, "x"), None, (99, 1, " end")]), (1, "some text", [(0, 4, "Any")]), (5, "w " * 40_000, [])]
+
+
 def test_frame(spark):
-    rows = [(1, "some text", [(0, 4, "Any")]), (2, None, [(0, 5, "new")]), (3, "", None), (None, "a b", [(1, None, None), (None, 1, "x"), None, (99, 1, " end")]), (1, "some text", [(0, 4, "Any")]), (5, "w " * 40_000, [])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], f"doc_id long, text string, edits {E.EDITS}, n_tokens string")
-    got = [tuple(r) for r in E.edited_counts(df, PATH).select("doc_id", "n_tokens", "edited_tokens", "n_edits", "edited").collect()]
+    df = spark.createDataFrame([(*r, "x") for r in ROWS], f"doc_id long, text string, edits {E.EDITS}, n_tokens string")
+    state = E.trees(df, PATH)
+    assert {r["doc_id"]: r["leaf_chars"] for r in state.collect()}[1] == [4, 5]
+    todo = {str((d, t or "")): e for d, t, e in ROWS}
+    pairs = spark.createDataFrame([(k, e) for k, e in todo.items()], f"k string, edits {E.EDITS}")
+    key = F.concat_ws("", F.lit("("), F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit(", '"), "text", F.lit("')"))
+    got = [tuple(r) for r in E.apply_edits(state.join(pairs, key == F.col("k"), "left"), PATH).select("doc_id", "tokens_before", "n_tokens", "n_edits", "text").collect()]
     want = [(1, "some text", "Any text", 1), (2, "", "new", 1), (3, "", "", 0), (None, "a b", "a b end", 2), (1, "some text", "Any text", 1), (5, "w " * 40_000, "w " * 40_000, 0)]
     assert sorted(got, key=str) == sorted([(d, n_tokens(a), n_tokens(b), n, b) for d, a, b, n in want], key=str)
-    state = {r["doc_id"]: r for r in E.trees(df, PATH).collect()}
-    assert state[1]["n_tokens"] == n_tokens("some text") and state[1]["leaf_chars"] == [4, 5] and state[3]["leaf_chars"] == []
-    assert E.edited_counts(df.limit(0), PATH).count() == 0
+    assert E.trees(df.limit(0), PATH).count() == 0 and E.apply_edits(state.limit(0).join(pairs, F.lit(False)), PATH).count() == 0
+
+
+def test_rounds_go_on_from_the_state(spark, monkeypatch):
+    """Two rounds of edits through a written state: counts are those of the whole texts, and
+    no round but the first encodes more than regions around edits."""
+    from folioscore.llm.common import staged
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randrange(3000))) for _ in range(12)] + [None, "The quick brown fox. " * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    state, now = staged(E.trees(df, PATH), "state"), [t or "" for t in texts]
+    for turn in range(2):
+        edits = []
+        for i, t in enumerate(now):
+            own = []
+            for _ in range(6):
+                a, n, put = rnd.randrange(len(t) + 1), rnd.randrange(9), "".join(rnd.choice(PARTS) for _ in range(3))
+                own.append((a, n, put))
+                t = t[:a] + put + t[a + n :]
+            now[i] = t
+            edits.append((i, own))
+        after = E.apply_edits(state.join(spark.createDataFrame(edits, f"doc_id long, edits {E.EDITS}"), "doc_id"), PATH)
+        state = staged(after, "state")
+        for r in state.collect():
+            assert r["text"] == now[r["doc_id"]] and r["n_tokens"] == n_tokens(r["text"]) == sum(r["leaf_tokens"])
+            assert sum(r["chunks"]) == len(r["leaf_chars"]) and r["sum_chars"][1] == len(r["text"])
+            assert r["doc_id"] < 13 or r["reencoded_chars"] < 2000  # the long text of plain words
+
+
+def test_state_is_all_that_is_read(spark, monkeypatch):
+    """Edits applied to a state never encode a whole text."""
+    counter, seen = E.Counter(PATH), []
+    text = "The quick brown fox jumps over the lazy dog. " * 3000
+    tree = E.SumTree.stored(*E.SumTree.of(counter.leaves(pa.array([text]))[0]).columns())
+    real = counter.region_leaves
+    monkeypatch.setattr(counter, "leaves", None)
+    monkeypatch.setattr(counter, "region_leaves", lambda x: seen.append(len(x)) or real(x))
+    for _ in range(2):
+        for at in (10, 60_000, 100_000):
+            text, _ = counter.apply(tree, text, at, 7, "slow")
+        tree = E.SumTree.stored(*tree.columns())
+    assert sum(seen) < 2000 and tree.total[1] == n_tokens(text)
 
 
 def test_query_against_encoding_anew(spark):

@@ -44,9 +44,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
+    measured = staged(quality.counted(table(spark, sf_dir, "documents")), "counts")
+    model = quality.train(measured, table(spark, sf_dir, "labels"))
+    scored = measured.select("doc_id", quality.score_of(F.col("c"), model).alias("score"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

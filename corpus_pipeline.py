@@ -24,9 +24,12 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents scored below the cut go."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_score").filter(F.col("_score") >= QUALITY_CUT).select(*docs.columns)
+    """Quality classifier: documents scored below the cut go. A null text counts as an empty
+    one; repeated rows are judged alike; columns of any name are kept as they are."""
+    model = quality.train(quality.counted(docs), table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    kept = quality.score(rows, model, "_score").filter(F.col("_score") >= QUALITY_CUT)
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

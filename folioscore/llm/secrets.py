@@ -4,21 +4,26 @@ Base spans, leftmost and non-overlapping for each kind: ``assign`` (a credential
 name, a sign, a value of 8 or more characters), ``access`` (an access key id of 16
 or more), ``hex`` (32 or more hexadecimal digits).
 
-Added spans, kind ``random``: runs of 20 or more base64 characters that look drawn
-at random from the smallest alphabet that has their characters (decimal, hex, base32,
-Crockford's base32 and base36 of either case, letters and digits, base64 or URL base64). The battery has three tests of that: chi-squared
-of the characters' counts against a uniform alphabet, the number of runs above and
-below the alphabet's middle, and the correlation of neighbours. A run for which the
-least of the three p-values, corrected for their number, is below ``ALPHA`` isn't
-random. Since short runs pass such tests easily, a second p-value says how likely
-ordinary writing is to look so: the likelihood ratio of a uniform alphabet to letter
-frequencies, as an e-value, shrinks with every character that text would rarely have.
-False discoveries are controlled on it by Benjamini and Hochberg's rule at ``RATE``
-within bands of length, over all candidates of the corpus (from a histogram of
-log p-values, whose size is fixed). Runs that overlap a base span aren't added.
+Added spans, kind ``random``: runs of 20 or more base64 characters outside base spans
+(a run that base spans cut is tested piece by piece) that look drawn at random from the
+smallest alphabet that has their characters (decimal, hex, base32, Crockford's base32 and
+base36 of either case, letters and digits, base64 or URL base64). The battery has three
+tests of that: chi-squared of the characters' counts against a uniform alphabet, the
+number of runs above and below the alphabet's middle, and the correlation of neighbours.
+The least of the three p-values, corrected for their number, is the battery's.
+
+Two false-discovery rules of Benjamini and Hochberg decide, each within bands of length
+and over all candidates of the corpus (from histograms of log p-values, whose size is
+fixed). The first runs on the battery's p-value: of the runs it finds not to be random, a
+share of at most ``ALPHA`` is. The second, over what ordinary writing is like, runs on the
+likelihood ratio of a uniform alphabet to letter frequencies, an e-value that shrinks with
+every character text would rarely have: short runs of writing pass the battery easily, and
+of the runs reported at most ``RATE`` are such. A span passes both.
 
 Positions are code points, end exclusive. Each text is scanned where it lies, with
-no shuffle; only the histogram is aggregated.
+no shuffle; only histograms are aggregated. Work and memory of a text grow with its
+length and hardly faster than in proportion with its number of spans (running sums go by
+slices of ``SLICE``).
 
 Rows: a null text is empty text, with no spans. Every row gives one row. Extra
 columns are kept by ``redacted`` and ignored by ``scan``.
@@ -27,11 +32,13 @@ columns are kept by ``redacted`` and ignored by ``scan``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.binding import let
 from .common import staged
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,6 +54,7 @@ RATE = 0.01
 BANDS = (20, 32, 48, 96)
 #: Histogram steps for a factor of ten, and the last step.
 STEPS, LAST = 4, 400
+SLICE = 1024
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _CROCKFORD = "abcdefghjkmnpqrstvwxyz"
 #: Letters of English prose, a to z, in parts of 1000.
@@ -71,17 +79,45 @@ ALPHABETS = {
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
+def running(xs: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the integers ``xs`` the fold, from 0, of those before it: inside slices
+    first, then over the slices, since an array that grows by one item is copied each time."""
+
+    def fold(items: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, begin, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def joined(slices: Column) -> Column:
+        return F.flatten(F.zip_with(slices, fold(F.transform(slices, lambda s: s["at"]))["out"], lambda s, base: F.transform(s["out"], lambda v: op(base, v))))
+
+    n = lambda v: F.greatest(F.floor((F.size(v) - 1) / SLICE).cast("int"), F.lit(0))
+    return let(xs, lambda v: let(F.transform(F.sequence(F.lit(0), n(v)), lambda i: fold(F.slice(v, i * SLICE + 1, SLICE))), joined))
+
+
 def located(text: Column, matches: Column, pattern: str) -> Column:
     """Start, end and text of each match: between matches lie the pieces of a split."""
+
+    def placed(pairs: Column) -> Column:
+        before = running(F.transform(pairs, lambda p: p["gap"] + F.length(p["m"])), lambda a, x: a + x)
+        return F.zip_with(pairs, before, lambda p, b: F.struct((b + p["gap"]).alias("start"), (b + p["gap"] + F.length(p["m"])).alias("end"), p["m"].alias("m")))
+
     pairs = F.zip_with(matches, F.slice(F.split(text, pattern, -1), 1, F.size(matches)), lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    return F.when(F.size(matches) > 0, let(pairs, placed)).otherwise(F.array().cast(_SPAN))
+
+
+def rewritten(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with its ``spans`` (start, end; by start) replaced by ``put(span, end of those
+    before)``. In UTF-32 a piece is found without counting characters from the start."""
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m")))).alias("out"))
+    def piece(raw: Column, a: Column, b: Column) -> Column:
+        return F.when(b > a, F.decode(F.substring(raw, 4 * a + 1, 4 * (b - a)), "UTF-32")).otherwise("")
 
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    def joined(raw: Column, own: Column) -> Column:
+        before = running(F.transform(own, lambda s: s["end"]), F.greatest)
+        parts = F.zip_with(own, before, lambda s, b: F.concat(piece(raw, b, s["start"]), put(s, b)))
+        return F.concat(F.array_join(parts, ""), piece(raw, F.array_max(F.transform(own, lambda s: s["end"])), F.length(raw).cast("int") / 4))
+
+    return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), lambda raw: let(spans, lambda own: joined(raw, own)))).otherwise(text)
 
 
 def upper_tail(z: Column) -> Column:
@@ -189,34 +225,45 @@ def of_kind(spans: str, kind: str) -> Column:
 
 def matched(docs: DataFrame, *keep: Column) -> DataFrame:
     """``keep`` columns with ``_base`` (array of order, start, end) and ``_random``
-    (array of start, end, band, step, looks: the candidates) of every text."""
+    (array of start, end, band, step, odd: the candidates) of every text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": RANDOM}
+    patterns = dict(zip(BASE, (ASSIGN, ACCESS, HEX), strict=True))
     # One projection after the other: each array is made once and used by name.
     a = docs.select(*keep, text.alias("_t"), *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_{k}") for k, p in patterns.items()])
     names = [c for c in a.columns if c not in {"_t", *(f"_{k}" for k in patterns)}]
-    a = a.select(*names, *[located(F.col("_t"), F.col(f"_{k}"), p).alias(f"_{k}") for k, p in patterns.items()])
+    a = a.select(*names, "_t", *[located(F.col("_t"), F.col(f"_{k}"), p).alias(f"_{k}") for k, p in patterns.items()])
     ordered = [_ordered(F.filter(f"_{k}", _long_enough) if k == "assign" else F.col(f"_{k}"), i) for i, k in enumerate(BASE)]
-    a = a.select(*names, F.array_sort(F.concat(*ordered)).alias("_base"), "_random")
-    a = a.withColumn("_random", F.transform(F.filter("_random", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))), measured))
+    a = a.select(*names, "_t", F.array_sort(F.concat(*ordered)).alias("_base"))
+    # Base spans as blanks, which no run has: what is left of a run are its pieces.
+    blank = lambda s, b: F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], b))
+    a = a.select(*names, "_base", rewritten(F.col("_t"), F.col("_base"), blank).alias("_t"))
+    a = a.select(*names, "_base", "_t", F.regexp_extract_all("_t", F.lit(RANDOM), F.lit(0)).alias("_random"))
+    a = a.select(*names, "_base", located(F.col("_t"), F.col("_random"), RANDOM).alias("_random"))
+    a = a.withColumn("_random", F.transform("_random", measured))
     a = a.withColumn("_random", F.transform("_random", lambda s: F.struct(s.alias("s"), summed(s).alias("t"), rarity(s).alias("rare"))))
-    judged = F.transform("_random", lambda r: F.struct(r["s"]["start"].alias("start"), r["s"]["end"].alias("end"), band(r["s"]["n"]).alias("band"), F.least(F.floor(r["rare"] * STEPS), F.lit(LAST)).cast("int").alias("step"), (battery(r["s"], r["t"]) >= ALPHA).alias("looks")))
+    judged = F.transform("_random", lambda r: F.struct(r["s"]["start"].alias("start"), r["s"]["end"].alias("end"), band(r["s"]["n"]).alias("band"), _step(r["rare"]).alias("step"), _step(-F.log10(F.greatest(battery(r["s"], r["t"]), F.lit(1e-300)))).alias("odd")))
     return a.select(*names, "_base", judged.alias("_random"))
 
 
-def cuts(found: DataFrame) -> dict[int, int]:
-    """For each band of length the least step whose p-value bound passes the false-discovery
-    rule: p <= RATE * (candidates at that step or beyond) / (all candidates of the band)."""
-    histogram = found.select(F.explode("_random").alias("r")).groupBy("r.band", "r.step").agg(F.count("*").alias("n"))
-    beyond = Window.partitionBy("band").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    passing = histogram.withColumns({"k": F.sum("n").over(beyond), "all": F.sum("n").over(Window.partitionBy("band"))}).filter(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= RATE * F.col("k") / F.col("all"))
-    return {r["band"]: r["step"] for r in passing.groupBy("band").agg(F.min("step").alias("step")).collect()}  # one row for each band
+def _step(minus_log: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.floor(minus_log * STEPS), F.lit(LAST))).cast("int")
 
 
-def accepted(found: DataFrame, least: dict[int, int]) -> DataFrame:
-    """``found`` with ``spans`` (array of kind, start, end by start, then kind) and ``base``."""
-    cut = F.array(*[F.lit(least.get(i, LAST + 1)) for i in range(len(BANDS))])
-    added = F.filter("_random", lambda r: r["looks"] & (r["step"] >= F.element_at(cut, r["band"] + 1)))
+def cuts(found: DataFrame, step: str, rate: float) -> Column:
+    """For each band of length the least step whose p-value bound passes the false-discovery
+    rule: p <= rate * (candidates at that step or beyond) / (all candidates of the band)."""
+    histogram = found.select(F.explode("_random").alias("r")).groupBy("r.band", f"r.{step}").agg(F.count("*").alias("n"))
+    beyond = Window.partitionBy("band").orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, 0)
+    passing = histogram.withColumns({"k": F.sum("n").over(beyond), "all": F.sum("n").over(Window.partitionBy("band"))}).filter(F.pow(F.lit(10.0), -F.col(step) / STEPS) <= rate * F.col("k") / F.col("all"))
+    least = {r["band"]: r["least"] for r in passing.groupBy("band").agg(F.min(step).alias("least")).collect()}  # one row for each band
+    return F.array(*[F.lit(least.get(i, LAST + 1)) for i in range(len(BANDS))])
+
+
+def accepted(found: DataFrame) -> DataFrame:
+    """``found`` with ``spans`` (array of kind, start, end by start, then kind) and ``base``.
+    ``found`` is read three times."""
+    rare, odd = cuts(found, "step", RATE), cuts(found, "odd", ALPHA)
+    added = F.filter("_random", lambda r: (r["odd"] < F.element_at(odd, r["band"] + 1)) & (r["step"] >= F.element_at(rare, r["band"] + 1)))
     kinds = F.array(*map(F.lit, (*BASE, "random")))
     every = F.array_sort(F.concat("_base", F.transform(added, lambda r: F.struct(r["start"].alias("start"), F.lit(len(BASE)).alias("order"), r["end"].alias("end")))))
     named = lambda spans: F.transform(spans, lambda s: F.struct(F.element_at(kinds, s["order"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -225,8 +272,7 @@ def accepted(found: DataFrame, least: dict[int, int]) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end) of every row of ``docs`` (doc_id, text)."""
-    found = staged(matched(docs, F.col("doc_id")), "candidates")
-    return accepted(found, cuts(found))
+    return accepted(staged(matched(docs, F.col("doc_id")), "candidates"))
 
 
 def digest(spans: str) -> Column:
@@ -237,16 +283,6 @@ def digest(spans: str) -> Column:
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mask``, overlapping spans by one.
     Texts without spans, null ones included, stay as they are."""
-    found = matched(docs, F.struct(*docs.columns).alias("_row"))
-    least = cuts(matched(docs.select("text"), F.lit(0).alias("_row")))
-    marked = accepted(found, least)
-    text = F.col("_row.text")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mask)))).otherwise(acc["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    kept = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("spans") > 0, kept).otherwise(text)
+    marked = accepted(staged(matched(docs, F.struct(*docs.columns).alias("_row")), "candidates"))
+    clean = rewritten(F.col("_row.text"), F.col("spans"), lambda s, b: F.when(s["start"] >= b, mask).otherwise(""))
     return marked.select(*[clean.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

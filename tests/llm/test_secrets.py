@@ -41,28 +41,31 @@ def judge(m):
     w = S.character_weights()
     low = m if re.search("[a-z]", m) else m.lower()
     rare = max(0.0, -n * math.log10(size) - sum(w[c] for c in low))
-    return n, min(int(rare * S.STEPS), S.LAST), 1 - (1 - min(p1, p2, p3, 1)) ** 3 >= S.ALPHA
+    p = max(1e-300, 1 - (1 - min(p1, p2, p3, 1)) ** 3)
+    return n, min(int(rare * S.STEPS), S.LAST), max(0, min(math.floor(-math.log10(p) * S.STEPS), S.LAST))
 
 
 def brute(texts):
     found = []
     for t in texts:
         own, cand = base(t), []
-        for m in re.finditer(S.RANDOM, t):
-            if not any(a < m.end() and m.start() < e for a, _, e in own):
-                cand.append((m.start(), m.end(), *judge(m[0])))
+        chars = list(t)
+        for a, _, e in own:
+            chars[a:e] = " " * (e - a)
+        for m in re.finditer(S.RANDOM, "".join(chars)):
+            cand.append((m.start(), m.end(), *judge(m[0])))
         found.append((own, cand))
     band = lambda n: max(i for i, b in enumerate(S.BANDS) if n >= b)
-    least = {}
-    for i in range(len(S.BANDS)):
-        steps = [c[3] for _, cs in found for c in cs if band(c[2]) == i]
-        ok = [s for s in steps if 10 ** (-s / S.STEPS) <= S.RATE * sum(x >= s for x in steps) / len(steps)]
-        if ok:
-            least[i] = min(ok)
+
+    def cut(i, place, rate):
+        steps = [c[place] for _, cs in found for c in cs if band(c[2]) == i]
+        return min([s for s in steps if 10 ** (-s / S.STEPS) <= rate * sum(x >= s for x in steps) / len(steps)], default=10**9)
+
+    rare, odd = ([cut(i, place, rate) for i in range(len(S.BANDS))] for place, rate in ((3, S.RATE), (4, S.ALPHA)))
     kinds = (*S.BASE, "random")
     out = []
     for own, cand in found:
-        added = [(a, 3, e) for a, e, n, step, looks in cand if looks and step >= least.get(band(n), 10**9)]
+        added = [(a, 3, e) for a, e, n, step, o in cand if o < odd[band(n)] and step >= rare[band(n)]]
         out.append((",".join(f"{kinds[k]}:{a}:{e}" for a, k, e in own), ",".join(f"{kinds[k]}:{a}:{e}" for a, k, e in sorted(own + added))))
     return out
 
@@ -77,6 +80,7 @@ def texts(seed=0):
     out += [f"è {some('0123456789abcdef', rnd.randrange(20, 90))} fin" for _ in range(10)]
     out += [f"key {some(B64, rnd.randrange(20, 120))} and {some('etaonirshl', rnd.randrange(20, 60))}" for _ in range(40)]
     out += [f"{some('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 40)} {some('0123456789', 24)} 01234567890123456789 {some(B64[:62], 33)}-_" for _ in range(5)]
+    out += [f"id {some('0123456789abcdef', 32)}/{some(B64, 40)} {some('0123456789abcdef', 40)}_{some(B64[:62], 44)}" for _ in range(6)]
     return out + [f"token = \"{some('0123456789abcdef', 40)}\" z", "word " * 40_000 + some(B64, 60)]
 
 
@@ -148,3 +152,27 @@ def test_random_tokens_of_every_alphabet(spark, alphabet):
     rows = S.scan(frame(spark, [f"a {t} z" for t in tokens])).select("doc_id", S.digest("spans").alias("s")).collect()
     for n in (24, 40, 64, 96, 128, 200):
         assert sum(f"random:2:{n + 2}" == r["s"] for r in rows if len(tokens[r["doc_id"]]) == n) >= 47
+
+
+def test_pieces_beside_base_spans_are_tested(spark):
+    rnd = random.Random(4)
+    some = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    ts = [f"x {some('0123456789abcdef', 32)}/{some(B64[:62], 60)} y" for _ in range(40)]
+    rows = S.scan(frame(spark, ts)).select(S.digest("spans").alias("s")).collect()
+    assert sum(r["s"].startswith("hex:2:34,random:") for r in rows) >= 38
+
+
+def test_many_spans_in_one_text(spark):
+    """A dump of 100,000 runs takes seconds, and every run is found and masked."""
+    import time
+
+    rnd = random.Random(5)
+    t = "\n".join("é %032x" % rnd.randrange(16**32) for _ in range(100_000))
+    df = frame(spark, [t, "plain"])
+    began = time.time()
+    found = S.scan(df).select("doc_id", "base").collect()
+    spans = next(r["base"] for r in found if r["doc_id"] == 0)
+    assert [(s["start"], s["end"]) for s in spans] == [(35 * i + 2, 35 * i + 34) for i in range(100_000)]
+    out = {r["doc_id"]: r["text"] for r in S.redacted(df).collect()}
+    assert out == {0: "\n".join(["é [SECRET]"] * 100_000), 1: "plain"}
+    assert time.time() - began < 120

@@ -10,11 +10,14 @@ own slices. The k greatest rows are read off those from the most significant sli
 downward: rows certainly in, rows tied so far. The rows still tied after the last
 slice have equal scores and are taken by smallest id.
 
-Rows: vectors that are null, hold null or non-finite components, have a null id or
-another length than the table's commonest take no part; an empty or zero vector
-scores 0. Scores must fit 63 bits: a ValueError says so where quantised components
-are so large that they might not. Rows with a query's id aren't its candidates; a
-repeated query row is answered each time. Extra columns are ignored.
+Sums have as many slices as they need, so scores are exact for components of any size
+that a long holds (larger ones count as the largest, 2^62); a score that a long can't
+hold counts as the nearest that it can.
+
+Rows: vectors that are null, hold null or non-finite components or have a null id take no
+part; an empty or zero vector scores 0. A query's candidates are the vectors of its length.
+Rows with a query's id aren't its candidates; a repeated query row is answered each time.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +30,15 @@ from pyspark.sql import types as T
 
 from . import grid
 
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 16_384
 GROUP_QUERIES = 512
+#: Largest quantised component, and largest score.
+LARGEST = 1 << 62
+MOST = (1 << 63) - 1
 
 
 def quantised(vecs: np.ndarray, scale: float) -> np.ndarray:
-    q = np.floor(vecs * scale)
-    if q.size and np.abs(q).max() >= (2.0**61 / q.shape[1]) ** 0.5:
-        raise ValueError("quantised components are so large that scores might not fit 63 bits")
-    return q.astype(np.int64)
+    return np.clip(np.floor(vecs * scale), -float(LARGEST), float(LARGEST)).astype(np.int64)
 
 
 def bitmap(marks: np.ndarray) -> np.ndarray:
@@ -53,11 +56,11 @@ def rows_of(words: np.ndarray) -> np.ndarray:
 def build_block(ids: np.ndarray, values: np.ndarray) -> bytes:
     """Slices of every attribute, from the least significant digit, and their complements."""
     low = values.min(0) if values.size else np.zeros(values.shape[1], np.int64)
-    rest = (values - low).astype(np.uint64)
+    rest = values.astype(np.uint64) - low.astype(np.uint64)  # modulo 2^64, which holds every difference
     digits = np.array([int(m).bit_length() for m in (rest.max(0) if rest.size else low)], np.int64)
     slices = [bitmap((rest[:, d] >> np.uint64(j)) & np.uint64(1) == 1) for d in range(values.shape[1]) for j in range(digits[d])]
     every = bitmap(np.ones(len(ids), bool))
-    plain = np.array(slices).reshape(-1, len(every))
+    plain = np.array(slices, np.uint64).reshape(-1, len(every))
     return grid.dump(ids=ids, low=low, digits=digits, every=every, slices=np.concatenate((plain, ~plain & every)))
 
 
@@ -66,7 +69,7 @@ def add_up(block: dict, weights: np.ndarray) -> tuple[np.ndarray, int]:
     and that constant's negative."""
     digits, slices = block["digits"], block["slices"]
     n, first = len(slices) // 2, np.cumsum(digits) - digits
-    const = int((weights * block["low"]).sum())
+    const = sum(w * x for w, x in zip(weights.tolist(), block["low"].tolist(), strict=True))
     wanted: dict[int, list[np.ndarray]] = {}
     for d in np.flatnonzero((weights != 0) & (digits > 0)):
         w, at = int(weights[d]), int(first[d])
@@ -121,17 +124,33 @@ def scan(block: dict, group: dict, k: int) -> Iterator[tuple[np.ndarray, np.ndar
         among = block["every"].copy()
         for r in range(*np.searchsorted(ids, [own, own + 1])):  # ids are sorted
             among[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
-        rows = top_rows(slices, among, k)
-        digit = (slices[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-        yield ids[rows], (digit.astype(np.int64) << np.arange(len(slices))[:, None]).sum(0) + const
+        wide = len(slices) >= 62 or abs(const) >= 1 << 62
+        rows = rows_of(among) if wide else top_rows(slices, among, k)
+        values = values_of(slices, rows, const)
+        if wide:  # scores at a long's ends tie, which the slices don't know
+            best = np.lexsort((ids[rows], -values))[:k]
+            rows, values = rows[best], values[best]
+        yield ids[rows], values
+
+
+def values_of(slices: np.ndarray, rows: np.ndarray, const: int) -> np.ndarray:
+    """What the slices hold for the rows, plus ``const``, within what a long holds."""
+    digit = (slices[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+    if len(slices) < 62 and abs(const) < 1 << 62:
+        return (digit.astype(np.int64) << np.arange(len(slices))[:, None]).sum(0) + const
+    exact = [sum(1 << int(p) for p in np.flatnonzero(digit[:, j])) + const for j in range(len(rows))]
+    return np.array([min(MOST, max(-MOST, x)) for x in exact], np.int64)
 
 
 def top_inner_products(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, query_every: int = 20, scale: float = 64.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` greatest integer inner products for each
     row whose id is divisible by ``query_every``, against all other rows."""
-    rows, n, _ = grid.prepared(df, id_col, vec_col, True, "vectors")
-    index = grid.packed(rows, n, block_rows, lambda ids, vecs: build_block(ids, quantised(vecs, scale)))
-    asked = rows.filter(grid.is_query(query_every))
-    n_asked = asked.count()
-    queries = grid.packed(asked, n_asked, GROUP_QUERIES, lambda ids, vecs: grid.dump(ids=ids, values=quantised(vecs, scale)))
-    return grid.search(index, queries, k, max(1, -(-n // block_rows)), max(1, -(-n_asked // GROUP_QUERIES)), lambda b, g: scan(b, g, k), T.LongType())
+
+    def run(rows: DataFrame, n: int, d: int) -> DataFrame:
+        index = grid.packed(rows, n, d, block_rows, lambda ids, vecs: build_block(ids, quantised(vecs, scale)))
+        asked = rows.filter(grid.is_query(query_every))
+        n_asked = asked.count()
+        queries = grid.packed(asked, n_asked, d, GROUP_QUERIES, lambda ids, vecs: grid.dump(ids=ids, values=quantised(vecs, scale)))
+        return grid.search(index, queries, k, max(1, -(-n // block_rows)), max(1, -(-n_asked // GROUP_QUERIES)), lambda b, g: scan(b, g, k), T.LongType())
+
+    return grid.by_length(df, id_col, vec_col, True, run)

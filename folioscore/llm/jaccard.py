@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
-from .simhash import Forest, components, one_of_each, shingle_hashes
+from .simhash import Forest, components, one_of_each, row_key, shingle_hashes
 
 LEAST = (4, 5)
 BANDS, ROWS = 48, 5
@@ -66,16 +66,16 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, h (hash of the text), fp (key of its set), n (size of it) and bands of every row."""
+    """key (``row_key``), fp (key of the text's set), n (size of it) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", width) for t in batch.column(2).cast(pa.binary())]
+            sets = [shingle_set(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
             cols = [pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["doc_id", "h", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["key", "fp", "n", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, fp long, n long, bands array<long>")
+    rows = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "key struct<doc_id:long,h:long,row:long>, fp long, n long, bands array<long>")
 
 
 def text_hash():
@@ -180,9 +180,9 @@ def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     rows = staged(prints(docs, width), "prints")
     near = components(band_edges(rows))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
-    one = rows.groupBy("fp").agg(F.min("h").alias("h"), F.min("n").alias("n"))
+    one = rows.groupBy("fp").agg(F.min("key.h").alias("h"), F.min("n").alias("n"))
     groups = staged(one.join(near.withColumnRenamed("node", "fp"), "fp"), "groups")
     totals = groups.groupBy("root").agg(F.sum("n").alias("total"))
     sets = sets_of(docs, groups.select("h"), width).join(groups.join(totals, "root"), "h")
     roots = components(link_edges(sets.select("fp", "root", "total", "set")))
-    return one_of_each(docs, rows.select("doc_id", "fp", "h"), roots)
+    return one_of_each(docs, rows.select("key", "fp"), roots)

@@ -5,20 +5,23 @@ Fingerprints: A-Z in lower case, words between ASCII white space, shingles of
 over half of the shingles' XXH64 values. Texts without a word have fingerprint 0.
 
 Links: two fingerprints within ``budget`` bits. Exact copies share a fingerprint,
-so the join runs over distinct fingerprints. Of ``budget + 1`` stretches of bits
-two linked fingerprints agree on at least one; for each stretch the fingerprints
-are rotated to begin with it and stored in a trie. Subtrees below one value of the
-stretch are the units that are dealt out. In each, pairs of nodes are walked
-together from the root, level by level: a step down adds a bit where the pair's
-branches differ, and a pair is left as soon as its differing bits exceed the
-budget. Pairs of small nodes are compared outright.
+so the join runs over distinct fingerprints. Of ``budget + 2`` stretches of bits
+two linked fingerprints agree on at least two; for each pair of stretches the
+fingerprints' bits are put in an order that begins with them and stored in a trie.
+Subtrees below one value of both stretches (21 bits or more where the budget is 4) are
+the units that are dealt out. In each, pairs of nodes are walked together from the root,
+level by level: a step down adds a bit where the pair's branches differ, and a pair is
+left as soon as its differing bits exceed the budget. Pairs of small nodes are compared
+outright.
 
 A subtree with more than ``SUBTREE`` fingerprints is split into parts, and each
 pair of parts is a unit of its own, so a unit's size is bounded. A unit sends no
 pairs but a star for each of its components (every member to the smallest), so a
 dense group costs no more rows than it has members. Components are then found by
 alternating large-star and small-star steps over those edges, each step written
-to the shared folder.
+to the shared folder. Minima are written before they are joined to their members:
+both sides are plain shuffles then, so that the members of a hub (or the copies of one
+fingerprint) are split among tasks.
 
 Rows: a null text has no words. A null doc_id can't be a component's smallest id
 unless nothing else is there. Repeated rows are each returned. Extra columns are
@@ -28,6 +31,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, staged
+from .common import dropped, shuffle_partitions, staged
 
 BITS = 64
 SEED = 42
@@ -157,25 +161,30 @@ def _compare(keys: np.ndarray, forest: Forest, alo: np.ndarray, ahi: np.ndarray,
 
 
 def stretches(budget: int) -> list[tuple[int, int]]:
-    """(first bit from the top, length) of budget + 1 stretches that cover the bits."""
-    ends = np.linspace(0, BITS, budget + 2).astype(int)
+    """(first bit from the top, length) of budget + 2 stretches that cover the bits."""
+    ends = np.linspace(0, BITS, budget + 3).astype(int)
     return [(int(a), int(b - a)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def rotated(fp: np.ndarray, by: int) -> np.ndarray:
-    fp = fp.view(np.uint64)
-    return fp if not by else (fp << np.uint64(by)) | (fp >> np.uint64(BITS - by))
+def arranged(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """The fingerprints' bits with the stretches in ``order``, from the top."""
+    fp, out, left = fp.view(np.uint64), np.zeros(len(fp), np.uint64), BITS
+    for at, size in order:
+        left -= size
+        bits = (fp >> np.uint64(BITS - at - size)) & np.uint64((1 << size) - 1)
+        out |= bits << np.uint64(left)
+    return out
 
 
 def star_edges(fps: DataFrame, budget: int) -> DataFrame:
     """(a, b) edges between distinct fingerprints (fp long) that join exactly those which
     chains of links join. A member's edge goes to its unit's smallest."""
-    parts = stretches(budget)
+    every = stretches(budget)
+    pairs = list(combinations(every, 2))
     n = shuffle_partitions(fps.sparkSession)
-    key = F.lit(None).cast("long")
-    for t, (at, size) in enumerate(parts):
-        key = F.when(F.col("t") == t, F.shiftrightunsigned(F.shiftleft("fp", at), BITS - size)).otherwise(key)
-    placed = fps.select("fp", F.explode(F.array(*map(F.lit, range(len(parts))))).alias("t")).withColumn("key", key)
+    value = lambda part: F.shiftrightunsigned(F.shiftleft("fp", part[0]), BITS - part[1])
+    keys = F.array(*[F.shiftleft(value(x), y[1]).bitwiseOR(value(y)) for x, y in pairs])
+    placed = fps.select("fp", F.posexplode(keys).alias("t", "key"))
     large = placed.groupBy("t", "key").count().filter(F.col("count") > SUBTREE).select("t", "key", F.ceil(F.col("count") / SUBTREE).cast("int").alias("n"))
     # A large subtree's parts i, j with i <= j are a unit: part i is sent to all of its n units.
     units = placed.join(large, ["t", "key"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
@@ -197,17 +206,17 @@ def star_edges(fps: DataFrame, budget: int) -> DataFrame:
             yield from joined(rest)
 
     def joined(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for t, (at, size) in enumerate(parts):
+        for t, pair in enumerate(pairs):
             mine = cols[0] == t
             if not mine.any():
                 continue
             key, i, j, fp = (c[mine] for c in cols[1:])
-            keys = rotated(fp, at)
+            keys = arranged(fp, [*pair, *(x for x in every if x not in pair)])
             order = np.lexsort((keys, j, i, key))
             key, i, j, fp, keys = (c[order] for c in (key, i, j, fp, keys))
             new = np.ones(len(keys), bool)
             new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            root = walk(keys, np.append(np.flatnonzero(new), len(keys)), size, budget).root
+            root = walk(keys, np.append(np.flatnonzero(new), len(keys)), pair[0][1] + pair[1][1], budget).root
             tied = np.flatnonzero(root != np.arange(len(root)))
             if len(tied):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[root[tied]])], names=["a", "b"])
@@ -224,11 +233,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = staged(small, "edges")
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = staged(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "edges")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        old, edges = edges, staged(small, "edges")
+        for done in (old, low, large, least):
+            dropped(done)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -253,22 +264,34 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFra
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
     prints, roots = linked(docs, width, budget)
     per_fp = staged(_by_root(prints, roots, F.col("doc_id")), "roots")
-    smallest = per_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = per_fp.join(smallest, "root").select("fp", "component_id")
+    smallest = staged(per_fp.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    classes = staged(per_fp.join(smallest, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """doc_id, h (hash of the text) and row (hash of all columns) as one value."""
+    maps = {f.name for f in docs.schema if "map<" in f.dataType.simpleString()}
+    row = F.xxhash64(*[F.to_json(F.struct(c)) if c in maps else F.col(c) for c in docs.columns])
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), text.alias("h"), row.alias("row"))
+
+
 def one_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component of ``prints`` (doc_id, fp, h: the text's hash):
-    the smallest doc_id's (null ids only where there is no other), of repeated ids the text
-    with the smallest hash."""
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    per_fp = _by_root(prints, roots, F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
-    first = per_fp.groupBy("root").agg(F.min("least").alias("m")).select(F.struct("m.doc_id", "m.h").alias("_key")).distinct()
-    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("h")).alias("_key"), F.struct(*docs.columns).alias("_all"))
+    """``docs`` with one row of each component of ``prints`` (key: ``row_key``, fp): the
+    smallest doc_id's (null ids only where there is no other), of repeated ids the text with
+    the smallest hash, of repeated texts the row with the smallest. Only keys decide, so
+    texts are read once the rows that stay are known; rows alike in every column are all
+    that is gathered by key."""
+    per_fp = _by_root(prints, roots, F.struct(F.col("key.doc_id").isNull().alias("no"), "key"))
     # A struct's null fields are equal in joins and here, so null ids need no case of their own.
-    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.select(*[F.col("_all")[c].alias(c) for c in docs.columns])
+    first = per_fp.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.key").alias("key"))
+    times = prints.groupBy("key").agg(F.count("*").alias("n"))
+    chosen = staged(first.join(times, "key"), "chosen")
+    keyed = docs.select(row_key(docs).alias("key"), F.struct(*docs.columns).alias("_all"))
+    single = keyed.join(chosen.filter("n = 1").select("key"), "key", "left_semi")
+    several = keyed.join(chosen.filter("n > 1").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return single.unionByName(several).select(*[F.col("_all")[c].alias(c) for c in docs.columns])
 
 
 def hex_of(fp: str) -> Column:

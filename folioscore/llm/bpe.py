@@ -16,7 +16,8 @@ corpus has far fewer distinct words than words. So texts are never shuffled:
 
 A block finds its dictionary by partition number. If a plan deals its rows anew
 between the two passes, words missing there are encoded and decoded in place, so
-the result never depends on it. A frequent word costs a block one row, however
+the result never depends on it; the column ``in_place`` counts them, and is 0 wherever
+the table did all the work. A frequent word costs a block one row, however
 often it stands there, so no word can be a hot key.
 
 Rows: null text is empty text, with no ids. Every input row gives one output row;
@@ -102,7 +103,11 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
             rest = part.slice(whole) if whole < len(pos) else None
             first = first[first < whole]
             if not len(first):
+                if len(pos) and pos[0] != 0:
+                    raise ValueError("a word's ids aren't side by side")
                 continue
+            if not np.array_equal(np.append(first[1:], whole), first + n[first]) or not np.array_equal(pos[:whole], np.arange(whole) - np.repeat(first, n[first])):
+                raise ValueError("a word's ids aren't side by side")
             ids = part["id"].to_numpy()[:whole].astype(kind)
             ends = np.append(first, whole)
             words = part["word"].combine_chunks().cast(pa.large_binary()).take(pa.array(first))
@@ -146,7 +151,8 @@ def _read_dictionary(folder: str, block: int) -> pa.Table:
 
 
 def lay_out(docs: DataFrame, tokenizer_path: str, dictionaries: str) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded text of ``docs`` (doc_id, text)."""
+    """doc_id, ids (array<int>), decoded text and in_place (words of the text's group, on
+    the group's first row, that weren't in the block's dictionary) of ``docs`` (doc_id, text)."""
     width = id_width(tokenizer_path)
     kind = np.dtype("<u2" if width == 2 else "<u4")
 
@@ -175,12 +181,13 @@ def lay_out(docs: DataFrame, tokenizer_path: str, dictionaries: str) -> DataFram
                         batch.column(0).slice(lo, hi - lo),
                         pa.ListArray.from_arrays(pa.array((id_at[first] // width).astype(np.int32)), pa.array(values)),
                         _texts(data, piece_at[first]),
+                        pa.array([place.null_count] + [0] * (hi - lo - 1), pa.int64()),
                     ],
-                    names=["doc_id", "ids", "decoded"],
+                    names=["doc_id", "ids", "decoded", "in_place"],
                 )
             tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lay, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lay, "doc_id long, ids array<int>, decoded string, in_place long")
 
 
 def _texts(data: pa.Buffer | None, at: np.ndarray) -> pa.Array:
@@ -203,7 +210,7 @@ def _in_place(words: pa.Array, ids: pa.Array, piece: pa.Array, tokenizer_path: s
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded (string) of every whole text of ``docs``
+    """doc_id, ids (array<int>), decoded (string) and in_place of every whole text of ``docs``
     (doc_id, text), as the tokenizers library encodes without adding special tokens
     and decodes without skipping any."""
     return lay_out(docs, tokenizer_path, write_dictionaries(docs, tokenizer_path))

@@ -28,7 +28,8 @@ def test_as_the_library(docs):
 
 def test_blocks_dealt_anew_give_the_same(docs):
     folder = bpe.write_dictionaries(docs.limit(2), PATH)
-    got = bpe.lay_out(docs.repartition(2), PATH, folder)
+    got = bpe.lay_out(docs.repartition(2), PATH, folder).cache()
+    assert got.agg({"in_place": "sum"}).collect()[0][0] > 0
     assert sorted((r["ids"], r["decoded"]) for r in got.collect()) == sorted(library(t) for t in TEXTS)
 
 
@@ -56,3 +57,4 @@ def test_query_digests(spark, tmp_path, docs):
         assert got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert all(r["in_place"] == 0 for r in got.values())

@@ -38,7 +38,7 @@ def test_each_stage_against_brute_force(spark, sf):
 
     good = C.keep_good(spark, docs, sf).transform(staged, "test")
     assert good.columns == COLUMNS
-    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    model = quality.train(quality.counted(docs), spark.read.parquet(f"{sf}/labels.parquet"))
     assert rows_of(good) == [r for r in before if model.score(np.array([quality.counts(r[1])], float))[0] >= 0.3]
 
     single = C.drop_copies(spark, good, sf).transform(staged, "test")
@@ -105,3 +105,21 @@ def test_empty_documents(spark, tmp_path, sf):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Columns named like those the stages work with, very long texts, whole repeated rows."""
+    names = ["_score", "score", "spans", "_row", "shard", "place", "epoch", "size", "copy", "row", "key", "fp", "h", "bands", "_all", "rest", "ids", "base"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").join(good, "doc_id").orderBy("doc_id").collect()]
+    long = spark.createDataFrame([(7000, "\n".join(texts), "en", "src1", 5)], docs.schema)
+    docs = docs.unionByName(docs.limit(5)).unionByName(long)
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    for name, stage in C.STAGES[:4]:
+        wide = stage(spark, wide, sf).transform(staged, "test")
+        assert wide.columns == [*COLUMNS, *names]
+        wrong = [F.col(n) != F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names]
+        assert wide.filter(F.greatest(*[w.cast("int") for w in wrong]) > 0).count() == 0, name
+        assert name == "mixing" or wide.filter("doc_id = 7000").count() == 1
+    assert C.encode(spark, wide, sf).filter("decoded is null").count() == 0

@@ -50,8 +50,8 @@ BLOCK_WORDS = 256
 SHARDS = 64
 SEED = 20
 #: Blocks of a bucket, about, and buckets of a run.
-IN_BUCKET = 4096
-RUN = 1024
+IN_BUCKET = 256
+RUN = 4096
 _GAP = r"[\x20\x09-\x0D]+"
 
 

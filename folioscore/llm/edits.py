@@ -1,7 +1,8 @@
 """Token counts that follow edits: a segment tree over each document's pre-tokens.
 
-A document's state is a row: its text, its words' (pre-tokens') sizes in characters
-and in tokens, how they are cut into chunks of leaves, and the sums of every subtree.
+A document's state is a row: its text, and its tree as one binary value with the words'
+(pre-tokens') sizes in characters and in tokens, how they are cut into chunks of leaves,
+and the sums of every subtree.
 ``trees`` makes it, ``apply_edits`` takes it with a list of edits and returns it as the
 edits leave it, so that states are written and taken up again by the next round; a text
 is encoded as a whole once, by ``trees``.
@@ -24,6 +25,7 @@ change nothing.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +39,10 @@ from .words import encoder, split_words, text_groups
 #: Leaves of one chunk: a chunk with more than twice as many is split.
 CHUNK = 256
 EDITS = "array<struct<start:int,length:int,text:string>>"
-_TREE = "leaf_chars array<int>, leaf_tokens array<int>, chunks array<int>, sum_chars array<long>, sum_tokens array<long>"
-#: ``sum_chars`` and ``sum_tokens`` have the tree's node i at place i (place 0 is unused).
-STATE = f"doc_id long, text string, n_tokens long, {_TREE}"
-EDITED = f"doc_id long, text string, n_tokens long, {_TREE}, tokens_before long, n_edits int, reencoded_chars long"
+STATE = "doc_id long, text string, n_tokens long, tree binary"
+EDITED = f"{STATE}, tokens_before long, n_edits int, reencoded_chars long"
+#: Bytes of a stored leaf's sizes, leaves, chunks and nodes of a stored tree.
+_HEAD = struct.Struct("<BxxxIII")
 
 
 class SumTree:
@@ -110,15 +112,21 @@ class SumTree:
     def leaves(self) -> np.ndarray:
         return np.concatenate(self.chunks)
 
-    def columns(self) -> tuple[np.ndarray, ...]:
-        """The tree as the state's columns from ``leaf_chars`` on."""
-        leaves = self.leaves().astype(np.int32)
-        return leaves[:, 0], leaves[:, 1], np.array([len(c) for c in self.chunks], np.int32), self.sums[:, 0], self.sums[:, 1]
+    def dump(self) -> bytes:
+        """The tree as bytes: head, leaves (characters and tokens in turn), leaves of each chunk, sums of each node."""
+        leaves = self.leaves()
+        kind = np.dtype("<u1" if not len(leaves) or leaves.max() < 256 else "<u4")
+        head = _HEAD.pack(kind.itemsize, len(leaves), len(self.chunks), len(self.sums))
+        return b"".join((head, leaves.astype(kind).tobytes(), np.array([len(c) for c in self.chunks], "<u4").tobytes(), self.sums.astype("<i8").tobytes()))
 
     @classmethod
-    def stored(cls, leaf_chars: np.ndarray, leaf_tokens: np.ndarray, chunks: np.ndarray, sum_chars: np.ndarray, sum_tokens: np.ndarray) -> SumTree:
-        leaves = np.stack((leaf_chars, leaf_tokens), 1).astype(np.int64)
-        return cls(np.split(leaves, np.cumsum(chunks)[:-1]), np.stack((sum_chars, sum_tokens), 1).astype(np.int64))
+    def load(cls, data: bytes) -> SumTree:
+        size, n, chunks, nodes = _HEAD.unpack_from(data)
+        leaves = np.frombuffer(data, "<u1" if size == 1 else "<u4", 2 * n, _HEAD.size).reshape(-1, 2).astype(np.int64)
+        ends = np.cumsum(np.frombuffer(data, "<u4", chunks, _HEAD.size + 2 * n * size))
+        sums = np.frombuffer(data, "<i8", 2 * nodes, _HEAD.size + 2 * n * size + 4 * chunks).reshape(-1, 2).copy()
+        return cls([leaves[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], sums)
+
 
 
 class Counter:
@@ -177,7 +185,7 @@ class Counter:
         return word.isalpha() and (b == len(text) or not text[b].isalpha()) and (a == 0 or text[a] == " " or not (text[a - 1] == "'" or text[a - 1].isalpha()))
 
 
-_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64())
+_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
 _NAMES = [c.split()[0] for c in EDITED.split(", ")]
 
 
@@ -195,7 +203,7 @@ def trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for lo, hi in text_groups(batch.column(1)):
                 ids, texts = (batch.column(i).slice(lo, hi - lo) for i in (0, 1))
                 own = [SumTree.of(x) for x in counter.leaves(texts)]
-                yield _batch([(i, t or "", int(tree.total[1]), *tree.columns()) for i, t, tree in zip(ids.to_pylist(), texts.to_pylist(), own, strict=True)])
+                yield _batch([(i, t or "", int(tree.total[1]), tree.dump()) for i, t, tree in zip(ids.to_pylist(), texts.to_pylist(), own, strict=True)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STATE)
 
@@ -212,13 +220,13 @@ def apply_edits(state: DataFrame, tokenizer_path: str, edits: str = "edits") ->
                 rows = []
                 for i in range(lo, hi):
                     text, before = batch.column(1)[i].as_py() or "", batch.column(2)[i].as_py()
-                    tree = SumTree.stored(*(batch.column(c)[i].values.to_numpy() for c in range(3, last)))
+                    tree = SumTree.load(batch.column(3)[i].as_py())
                     done, again = 0, 0
                     for e in batch.column(last)[i].as_py() or []:
                         if e is not None and e["start"] is not None:
                             text, n = counter.apply(tree, text, e["start"], e["length"] or 0, e["text"] or "")
                             done, again = done + 1, again + n
-                    rows.append((batch.column(0)[i].as_py(), text, int(tree.total[1]), *tree.columns(), before, done, again))
+                    rows.append((batch.column(0)[i].as_py(), text, int(tree.total[1]), tree.dump(), before, done, again))
                 yield _batch(rows)
 
     return state.select(*_STATE_NAMES, F.col(edits).cast(EDITS).alias("_edits")).mapInArrow(run, EDITED)

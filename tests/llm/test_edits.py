@@ -51,7 +51,7 @@ ROWS = [(1, "some text", [(0, 4, "Any")]), (2, None, [(0, 5, "new")]), (3, "", N
 def test_frame(spark):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], f"doc_id long, text string, edits {E.EDITS}, n_tokens string")
     state = E.trees(df, PATH)
-    assert {r["doc_id"]: r["leaf_chars"] for r in state.collect()}[1] == [4, 5]
+    assert {r["doc_id"]: E.SumTree.load(r["tree"]).leaves()[:, 0].tolist() for r in state.collect()}[1] == [4, 5]
     todo = {str((d, t or "")): e for d, t, e in ROWS}
     pairs = spark.createDataFrame([(k, e) for k, e in todo.items()], f"k string, edits {E.EDITS}")
     key = F.concat_ws("", F.lit("("), F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit(", '"), "text", F.lit("')"))
@@ -83,8 +83,9 @@ def test_rounds_go_on_from_the_state(spark, monkeypatch):
         after = E.apply_edits(state.join(spark.createDataFrame(edits, f"doc_id long, edits {E.EDITS}"), "doc_id"), PATH)
         state = staged(after, "state")
         for r in state.collect():
-            assert r["text"] == now[r["doc_id"]] and r["n_tokens"] == n_tokens(r["text"]) == sum(r["leaf_tokens"])
-            assert sum(r["chunks"]) == len(r["leaf_chars"]) and r["sum_chars"][1] == len(r["text"])
+            tree = E.SumTree.load(r["tree"])
+            assert r["text"] == now[r["doc_id"]] and r["n_tokens"] == n_tokens(r["text"]) == tree.total[1] == tree.leaves()[:, 1].sum()
+            assert tree.total[0] == len(r["text"]) and (tree.sums[1 : tree.width] == tree.sums[2:].reshape(-1, 2, 2).sum(1)).all()
             assert r["doc_id"] < 13 or r["reencoded_chars"] < 2000  # the long text of plain words
 
 
@@ -92,14 +93,14 @@ def test_state_is_all_that_is_read(spark, monkeypatch):
     """Edits applied to a state never encode a whole text."""
     counter, seen = E.Counter(PATH), []
     text = "The quick brown fox jumps over the lazy dog. " * 3000
-    tree = E.SumTree.stored(*E.SumTree.of(counter.leaves(pa.array([text]))[0]).columns())
+    tree = E.SumTree.load(E.SumTree.of(counter.leaves(pa.array([text]))[0]).dump())
     real = counter.region_leaves
     monkeypatch.setattr(counter, "leaves", None)
     monkeypatch.setattr(counter, "region_leaves", lambda x: seen.append(len(x)) or real(x))
     for _ in range(2):
         for at in (10, 60_000, 100_000):
             text, _ = counter.apply(tree, text, at, 7, "slow")
-        tree = E.SumTree.stored(*tree.columns())
+        tree = E.SumTree.load(tree.dump())
     assert sum(seen) < 2000 and tree.total[1] == n_tokens(text)
 
 

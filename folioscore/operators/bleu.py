@@ -1,37 +1,65 @@
-"""BLEU from n-gram counts, by sums: a page sends its counts, a corpus adds them up."""
+"""BLEU from n-gram counts, by sums: grams are counted inside a page, which gives ten
+numbers, and a corpus adds those up. No gram is ever a row."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 ORDER = 4
+#: Rows whose grams are numbered together.
+_ROWS = 256
 STATS = [f"{k}{n}" for n in range(1, ORDER + 1) for k in ("c", "t")]
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams as texts, in order, repeats included."""
-    last = F.size(tokens) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
+def clipped_counts(ref: pa.ListArray, hyp: pa.ListArray) -> np.ndarray:
+    """(rows, 8): c1, t1 .. c4, t4 of each row's tokens. Grams get numbers by numbering
+    pairs of (gram of one less, next token), for a whole batch at once."""
+    rows = len(ref)
+    words = pa.concat_arrays([x.flatten().cast(pa.string()) for x in (ref, hyp)]).dictionary_encode()
+    code = words.indices.fill_null(len(words.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.concatenate([np.asarray(pc.fill_null(pc.list_value_length(x), 0), np.int64) for x in (ref, hyp)])
+    row = np.repeat(np.arange(2 * rows), sizes)  # those of hyp behind those of ref
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # tokens from here to the row's end
+    gram, out, kinds = code, np.zeros((rows, 2 * ORDER), np.int64), len(words.dictionary) + 1
+    for n in range(1, ORDER + 1):
+        if n > 1:
+            gram = gram[:-1] * kinds + code[n - 1 :] if len(gram) > 1 else gram[:0]
+            gram = np.unique(gram, return_inverse=True)[1]
+        here = left[: len(gram)] >= n
+        own, of = gram[here], row[: len(gram)][here]
+        span = int(own.max()) + 1 if len(own) else 1
+        keys, counts = np.unique((of % max(rows, 1)) * span + own + (of >= rows) * (rows * span), return_counts=True)
+        cut = np.searchsorted(keys, rows * span)
+        at = np.searchsorted(keys[:cut], keys[cut:] - rows * span)
+        found = np.minimum(at, max(cut - 1, 0))
+        same = keys[found] == keys[cut:] - rows * span if cut else np.zeros(len(keys) - cut, bool)
+        least = np.where(same, np.minimum(counts[found], counts[cut:]), 0) if cut else np.zeros(len(keys) - cut, np.int64)
+        whose = (keys[cut:] - rows * span) // span
+        out[:, 2 * n - 2] = np.bincount(whose, weights=least, minlength=rows).astype(np.int64)
+        out[:, 2 * n - 1] = np.bincount(whose, weights=counts[cut:], minlength=rows).astype(np.int64)
+    return out
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _counts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    parts = []
+    for lo in range(0, len(ref), _ROWS):
+        parts.append(clipped_counts(ref.slice(lo, _ROWS), hyp.slice(lo, _ROWS)))
+    flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * ORDER, dtype=np.int32)), pa.array(flat))
 
 
 def page_stats(df: DataFrame, key: list[str], ref: str, hyp: str) -> DataFrame:
     """K-06, K-07: one row for each row of ``df`` with clipped matches c1..c4, totals t1..t4,
-    hyp_len and ref_len. ``key`` names a row uniquely. One shuffle, on (key, n-gram), and
-    one on key; grams are counted before they move."""
-    grams = lambda side, mark: F.flatten(F.array(*[F.transform(ngrams(F.col(side), n), _tagged(n, mark)) for n in range(1, ORDER + 1)]))
-    counted = (
-        df.select(*key, F.explode(F.concat(grams(ref, 0), grams(hyp, 1))).alias("g"))
-        .groupBy(*key, "g.n", "g.gram")
-        .agg(F.sum("g.hyp").alias("h"), F.sum(1 - F.col("g.hyp")).alias("r"))
-    )
-    per_n = counted.groupBy(*key).agg(*[F.sum(F.when(F.col("n") == n, x)).alias(f"{k}{n}") for n in range(1, ORDER + 1) for k, x in (("c", F.least("h", "r")), ("t", F.col("h")))])
-    sizes = df.select(*key, F.size(hyp).cast("long").alias("hyp_len"), F.size(ref).cast("long").alias("ref_len"))
-    return sizes.join(per_n, key, "left").na.fill(0, STATS)
-
-
-def _tagged(n: int, mark: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(mark).alias("hyp"))
+    hyp_len and ref_len. Null tokens are none. No shuffle."""
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    counted = df.select(*key, size(hyp).alias("hyp_len"), size(ref).alias("ref_len"), _counts(F.col(ref), F.col(hyp)).alias("_c"))
+    return counted.select(*key, "hyp_len", "ref_len", *[F.col("_c")[i].alias(c) for i, c in enumerate(STATS)])
 
 
 def bp(hyp_len: Column, ref_len: Column) -> Column:

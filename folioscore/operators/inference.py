@@ -6,6 +6,7 @@ and doesn't stop the others. Nothing here knows a model."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,7 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import text as X
+from ..sources import sinks
 from . import relational as R
+from . import sections as S
+from . import tokens as K
 
 #: Fixed values of the document stage's token budget.
 BASE_TOKENS, PAGE_TOKENS, MOST_TOKENS = 4000, 2000, 12_000
@@ -86,3 +92,74 @@ def reading_inputs(images: DataFrame, boxes: list[DataFrame], key: str, on_missi
     if on_missing == "skip":
         return found.filter(F.col("boxes").isNotNull())
     return found.withColumn("error", F.when(F.col("boxes").isNull(), F.concat(F.lit("no boxes for "), key)))
+
+
+def polled(submit: Callable, poll: Callable, interval: float = 2.0, limit: float = 600.0) -> Callable[[], Callable]:
+    """SRC-14: an engine of a service that takes jobs: ``submit(**payload)`` gives a job's id,
+    ``poll(id)`` its result once there is one (None before), asked every ``interval`` seconds. A
+    job without a result after ``limit`` seconds is its row's error."""
+
+    def factory() -> Callable:
+        def call(**payload):
+            job, until = submit(**payload), time.monotonic() + limit
+            while (result := poll(job)) is None:
+                if time.monotonic() >= until:
+                    raise TimeoutError(f"job {job} has no result after {limit} s")
+                time.sleep(interval)
+            return result
+
+        return call
+
+    return factory
+
+
+def structured(raw: DataFrame) -> DataFrame:
+    """U-08, U-09: ``run``'s outcome with the answer's JSON found and checked against the
+    prediction schema (T-24, G-23), in the status envelope (SNK-07): id, status, data, error."""
+    found = raw.withColumn("value", F.when(F.col("status") == "ok", X.json_from_text(F.col("data"))))
+    checked = S.validated(found.withColumnRenamed("error", "_failed").drop("data"))
+    why = F.coalesce("_failed", "error")
+    return sinks.envelope(checked.withColumn("_why", why), "id", "data", "_why")
+
+
+def page_stage(images: DataFrame, prompt: str, factory: Callable[[], Callable[..., str]], key: str = "page_id", threads: int = 1) -> DataFrame:
+    """U-08: each page's image with the prompt through a vision model, as ``structured``."""
+    return structured(run(images.withColumn("prompt", F.lit(prompt)), key, ["image", "prompt"], factory, threads))
+
+
+def document_stage(images: DataFrame, prompt: str, factory: Callable[[], Callable[..., str]], name: str = "filename", threads: int = 1) -> DataFrame:
+    """U-09: each document's pages, in order and with their token budget, as ``structured``."""
+    docs = document_payload(images, name=name).withColumn("prompt", F.lit(prompt))
+    return structured(run(docs, "doc_id", ["images", "prompt", "num_predict"], factory, threads))
+
+
+def token_labels(pages: DataFrame, factory: Callable[[], Callable[..., str]], labels: dict[int, str], key: str = "page_id", threads: int = 1) -> DataFrame:
+    """U-04, U-05: key, word_no, word, label. Pages (key, words, boxes) are paired and go
+    through a token classifier, whose answer is JSON: ``word_ids`` (the pair's number of each
+    sub-token, null for special ones) and ``logits``. Sub-tokens are pooled by word (K-15)."""
+    paired = pages.select(key, paired_inputs(F.col("words"), F.col("boxes")).alias("p"))
+    inputs = paired.select(key, F.transform("p", lambda x: x["word"]).alias("words"), F.transform("p", lambda x: x["box"]).alias("boxes"))
+    answer = run(inputs, key, ["words", "boxes"], factory, threads).filter("status = 'ok'")
+    out = F.from_json("data", "word_ids array<int>, logits array<array<double>>")
+    tokens = answer.select(F.col("id").alias(key), F.explode(F.arrays_zip(out["word_ids"].alias("word_no"), out["logits"].alias("logits"))).alias("t")).select(key, "t.word_no", "t.logits")
+    words = inputs.join(answer.select(F.col("id").alias(key)), key, "left_semi").select(key, F.posexplode("words").alias("word_no", "word"))
+    return K.labels_by_word(K.mean_pool_argmax(tokens, [key], "word_no", "logits"), words, [key], "word_no", labels)
+
+
+def reading_order(images: DataFrame, boxes: list[DataFrame], factory: Callable[[], Callable[..., str]], key: str = "page_id", on_missing: str = "skip", threads: int = 1) -> DataFrame:
+    """U-07: key, status, places, clipped and the words in reading order. Images (key, width,
+    height) take the first frame that has their boxes and texts; boxes are scaled (G-09) and
+    padded (K-18) for the model, whose answer is JSON, a list of logits for each box; places are
+    decoded (K-16) and the texts put in their order (T-26)."""
+    found = reading_inputs(images, boxes, key, on_missing)
+    if "error" not in found.columns:
+        found = found.withColumn("error", F.lit(None).cast("string"))
+    ready = found.withColumn("model", K.model_inputs(G.norm_boxes_1000(F.col("boxes"), F.col("width"), F.col("height"))))
+    asked = ready.filter("error is null").select(key, "model.input_ids", "model.bbox", "model.attention_mask")
+    answer = run(asked, key, ["input_ids", "bbox", "attention_mask"], factory, threads).withColumnsRenamed({"id": key, "error": "_failed"})
+    joined = ready.join(answer, key, "left")
+    places = K.decode_order(F.from_json("data", "array<array<double>>"))
+    # A box's place is where it comes: the order is the boxes by place.
+    placed = joined.withColumn("places", places).withColumn("order", F.transform(F.array_sort(F.transform("places", lambda p, i: F.struct(p.alias("p"), i.alias("i")))), lambda x: x["i"]))
+    status = F.when(F.coalesce("error", "_failed").isNull(), "ok").otherwise("error")
+    return placed.select(key, status.alias("status"), "places", F.col("model.clipped").alias("clipped"), X.reordered_words(F.col("texts"), F.col("order")).alias("words"), F.coalesce("error", "_failed").alias("error"))

@@ -138,8 +138,9 @@ def metrics_udf(thresholds: tuple[float, ...]):
 def add_metrics(pred: DataFrame, gt: DataFrame, key: str, pred_boxes: str = "bbox_in_line", scores: str | None = "confidence", thresholds: tuple[float, ...] = (0.5, 0.75), prefix: str = "tess") -> DataFrame:
     """R-04, R-22: ``pred`` with ``{prefix}_{metric}@{threshold}`` columns, by its page's
     ground truth (``gt``: key, boxes in percent x, y, w, h, width, height; the last of
-    repeated keys by ``ordinal`` where there is one). Null without boxes on both sides."""
-    ordinal = F.col("ordinal") if "ordinal" in gt.columns else F.monotonically_increasing_id()
+    repeated keys by ``ordinal``, without such a column the greatest in boxes). Null without
+    boxes on both sides."""
+    ordinal = F.col("ordinal") if "ordinal" in gt.columns else F.struct("boxes", "width", "height")
     truth = gt.withColumn("_o", ordinal).groupBy(key).agg(F.max_by(F.struct("boxes", "width", "height"), "_o").alias("_gt"))
     joined = pred.join(truth, key, "left")
     in_px = F.transform("_gt.boxes", lambda b: G.percent_to_px(b, F.col("_gt.width"), F.col("_gt.height")))
@@ -153,6 +154,3 @@ def summarize(pred: DataFrame, prefix: str = "tess", thresholds: tuple[float, ..
     names = [f"{prefix}_{m}@{t}" for t in thresholds for m in METRICS]
     return pred.groupBy(*(by or [])).agg(*[F.avg(F.col(f"`{n}`")).alias(n) for n in names], F.count(F.col(f"`{names[0]}`")).alias("pages"))
 
-
-def as_boxes(*cols: str) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in cols])

@@ -11,10 +11,13 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
-def keep_first(df: DataFrame, key: list[str], *order: str | Column) -> DataFrame:
-    """R-13: the first row of each key by ``order``, which must be total."""
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("_rn", first).filter("_rn = 1").drop("_rn")
+def keep_first(df: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """R-13: the first row of each key by ``order``, which must be total. An aggregate, so rows
+    combine before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*[F.col(c) if c in key else F.col("_r")[c].alias(c) for c in df.columns])
 
 
 def last_of(df: DataFrame, key: list[str], *order: str) -> DataFrame:
@@ -35,12 +38,18 @@ def positional_join(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> D
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """``df`` with places from 0 under ``order`` (unique)."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    """``df`` with places from 0 under ``order`` (unique). Rows are dealt by quantiles of
+    ``order`` that are fixed before: counting the rows of a stretch and numbering them there
+    go by the same bounds, whatever partitions either pass has."""
+    stretches = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = [i / stretches for i in range(1, stretches)]
+    bounds = df.agg(F.percentile_approx(order, at).alias("b")).collect()[0]["b"] if at else None  # one row
+    p = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    parts = df.withColumn("_p", p)
     within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"), F.min(order).alias("_o"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_p", before.alias("_b"))  # one row for each partition
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_p", before.alias("_b"))  # one row for each stretch
     return parts.join(F.broadcast(starts), "_p").withColumn(name, F.col("_b") + within).drop("_p", "_b")
 
 
@@ -84,11 +93,16 @@ def pages_of(df: DataFrame, values: list[str], doc: str = "doc_id", page: str =
     return df.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(*order, *[v for v in values if v not in order]))).alias("pages"))
 
 
-def unify_documents(df: DataFrame, lists: list[str], scalars: list[str], doc: str = "doc_id", page: str = "page_num") -> DataFrame:
-    """R-14: lists of a document's pages one behind the other, scalars as lists, pages ascending."""
+def unify_documents(df: DataFrame, lists: list[str], scalars: list[str], doc: str = "doc_id", page: str = "page_num", one_page: str = "list") -> DataFrame:
+    """R-14: lists of a document's pages one behind the other, scalars as lists, pages ascending.
+    ``one_page="scalar"`` leaves the scalars of a document of one page as they are; the column
+    is a text then: the scalar itself, or a JSON list."""
+    if one_page not in ("list", "scalar"):
+        raise ValueError(f"one_page is list or scalar, not {one_page!r}")
     grouped = pages_of(df, [*lists, *scalars], doc, page)
     in_order = lambda v: F.transform("pages", lambda s: s[v])
-    return grouped.select(doc, *[F.flatten(in_order(v)).alias(v) for v in lists], *[in_order(v).alias(v) for v in scalars])
+    kept = lambda v: in_order(v) if one_page == "list" else F.when(F.size("pages") == 1, F.get(in_order(v), F.lit(0)).cast("string")).otherwise(F.to_json(in_order(v)))
+    return grouped.select(doc, *[F.flatten(in_order(v)).alias(v) for v in lists], *[kept(v).alias(v) for v in scalars])
 
 
 def length_batches(df: DataFrame, length: str, size: int) -> DataFrame:

@@ -99,6 +99,45 @@ def section_report(scored: DataFrame, per: list[str], section: str = "section")
     return files.groupBy(section).agg(round4(F.avg("s")).alias("avg_semantic_similarity"), round4(F.avg("w")).alias("avg_wer"), F.sum("g").alias("gt_tokens"), F.sum("p").alias("pred_tokens"), round4(ratio).alias("brevity_penalty"), F.count("*").alias("files"))
 
 
+def gt_sections(files: DataFrame, multi: bool = False, exact: bool = True) -> DataFrame:
+    """R-07, G-20, G-21: name and the normalised text of each fixed section (``SECTIONS``'
+    values) from ground-truth files (page_id, value: JSON with ``section``). With ``multi`` a
+    document's pages are one, in the order of their names. A section that isn't there is ""."""
+    items = F.from_json(F.get_json_object("value", "$.section"), "map<string,array<struct<transcription:string>>>")
+    text = lambda s: F.array_join(F.transform(F.coalesce(F.try_element_at("_s", F.lit(s)), F.array().cast("array<struct<transcription:string>>")), lambda i: i["transcription"]), " ")
+    rows = files.select("page_id", items.alias("_s")).select("page_id", *[text(s).alias(name) for s, name in SECTIONS.items()])
+    if multi:
+        pages = rows.withColumn("_n", F.regexp_replace("page_id", r"_page_\d+$", "")).groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("page_id", *SECTIONS.values()))).alias("_p"))
+        rows = pages.select(F.col("_n").alias("page_id"), *[F.array_join(F.transform("_p", lambda p: p[n]), " ").alias(n) for n in SECTIONS.values()])
+    return rows.select(F.col("page_id").alias("name"), *[T.normalize_section(F.col(n), exact).alias(n) for n in SECTIONS.values()])
+
+
+def paired_sections(gt_files: DataFrame, pred_files: DataFrame, multi: bool = False, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """R-06, R-07: name, section, gt, pred of the five fixed sections of every ground-truth
+    file (document, with ``multi``) that has a prediction of its name, "" where a side hasn't
+    the section; and the names without a prediction. Files: page_id, value (JSON)."""
+    gt = gt_sections(gt_files, multi, exact)
+    known = pred_files.select(F.col("page_id").alias("name")).distinct()
+    five = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(n).alias("gt")) for n in SECTIONS.values()])).alias("s")
+    sides = gt.join(known, "name", "left_semi").select("name", five).select("name", "s.*")
+    preds = pred_texts(pred_files.select(F.col("page_id").alias("name"), "value"), ["name"], exact=exact)
+    return sides.join(preds, ["name", "section"], "left").withColumn("pred", F.coalesce("pred", F.lit(""))), gt.join(known, "name", "left_anti").select("name")
+
+
+def compare_json_files(gt_files: DataFrame, pred_files: DataFrame, empty_gt: str = "skip", similarity: Callable[[Column, Column], Column] | None = None, multi: bool = False, exact: bool = True) -> DataFrame:
+    """R-27: name, section and its measures, rounded to 4 places: avg_wer,
+    avg_semantic_similarity, token counts and brevity_penalty. A name has a section once."""
+    scored = compare(paired_sections(gt_files, pred_files, multi, exact)[0], empty_gt, similarity)
+    ratio = F.least(F.lit(1.0), F.col("pred_tokens") / F.greatest(F.lit(1), F.col("gt_tokens")))
+    return scored.select("name", "section", round4(F.col("similarity")).alias("avg_semantic_similarity"), round4(F.col("wer")).alias("avg_wer"), "gt_tokens", "pred_tokens", round4(ratio).alias("brevity_penalty"))
+
+
+def compare_json_directories(gt_files: DataFrame, pred_files: DataFrame, empty_gt: str = "skip", similarity: Callable[[Column, Column], Column] | None = None, multi: bool = False, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """R-27, R-17: ``compare_json_files`` of every pair, and the report by section over them."""
+    files = compare_json_files(gt_files, pred_files, empty_gt, similarity, multi, exact)
+    return files, section_report(files.withColumnsRenamed({"avg_wer": "wer", "avg_semantic_similarity": "similarity"}), ["name"])
+
+
 def validated(raw: DataFrame, value: str = "value") -> DataFrame:
     """G-23: ``raw`` with ``data`` (``RESUME``) and ``error``. Text that isn't one JSON value,
     or has a number or flag where the schema has a text, is an error; what is missing is empty."""

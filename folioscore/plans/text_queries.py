@@ -57,7 +57,7 @@ SELECT lang, CAST(count(*) AS BIGINT) AS lines, CAST(sum(n) AS BIGINT) AS chars,
 def q_cer_by_lang(spark, sf):
     pairs = _lines(spark, sf)
     g, h = (D._cer_text(F.col(c), False, False, False) for c in ("gt", "hyp"))
-    d = pairs.select("lang", g.alias("g"), h.alias("h")).withColumn("d", D.char_levenshtein("g", "h"))
+    d = pairs.select("lang", g.alias("g"), h.alias("h")).withColumn("d", D.text_levenshtein(F.col("g"), F.col("h")))
     rate = D.error_rate(F.col("d"), F.length("g"), F.length("h"))
     return d.groupBy("lang").agg(F.count("*").alias("lines"), F.sum(F.length("g")).cast("long").alias("chars"), F.sum("d").cast("long").alias("edits"), six(F.avg(rate)).alias("cer"))
 

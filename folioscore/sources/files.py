@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as X
 
@@ -47,10 +48,11 @@ def png_size(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
-def jpeg_size(data: bytes | None) -> dict | None:
-    """Width and height from a JPEG's frame header."""
+def jpeg_size(data: bytes | None) -> dict:
+    """Width and height from a JPEG's frame header; nulls without one."""
+    none = {"width": None, "height": None}
     if not data or data[:2] != b"\xff\xd8":
-        return None
+        return none
     at = 2
     while at + 9 < len(data):
         if data[at] != 0xFF:
@@ -60,14 +62,19 @@ def jpeg_size(data: bytes | None) -> dict | None:
         if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
             return {"width": int.from_bytes(data[at + 7 : at + 9], "big"), "height": int.from_bytes(data[at + 5 : at + 7], "big")}
         at += 2 if mark in (0x01, 0xFF) or 0xD0 <= mark <= 0xD8 else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-    return None
+    return none
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def jpeg_sizes(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([jpeg_size(x) for x in content], columns=["width", "height"]).astype("Int32")
 
 
 def image_sizes(found: DataFrame) -> DataFrame:
     """SRC-11: page_id, width, height; 0 x 0 where it can't be read. PNG before JPEG where a
     page has several files."""
-    jpeg = F.udf(jpeg_size, "struct<width:int,height:int>")
-    size = F.coalesce(png_size(F.col("content")), F.when(F.hex(F.substring("content", 1, 2)) == "FFD8", jpeg("content")), F.struct(F.lit(0).alias("width"), F.lit(0).alias("height")))
+    jpeg = jpeg_sizes(F.when(F.hex(F.substring("content", 1, 2)) == "FFD8", F.col("content")))
+    size = F.coalesce(png_size(F.col("content")), F.when(jpeg["width"].isNotNull(), jpeg), F.struct(F.lit(0).alias("width"), F.lit(0).alias("height")))
     order = F.when(F.lower("path").endswith(".png"), 0).when(F.lower("path").rlike(r"\.jpe?g$"), 1).otherwise(2)
     return found.select("page_id", size.alias("s"), F.struct(order.alias("o"), "path").alias("o")).groupBy("page_id").agg(F.min_by("s", "o").alias("s")).select("page_id", "s.width", "s.height")
 
@@ -77,19 +84,31 @@ def with_sizes(pages: DataFrame, sizes: DataFrame) -> DataFrame:
     return pages.join(sizes, "page_id", "left").na.fill(0, ["width", "height"])
 
 
+#: An image's extensions in the order they are tried.
+EXTENSIONS = (".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".gif")
+#: Characters of a gram by which names are looked up, where a base name has as many.
+_GRAM = 3
+
+
 def image_for_page(pages: DataFrame, listing: DataFrame) -> DataFrame:
-    """G-13: each page's image path: a file of the page's name, by extension in the listed
-    order, else the path of a file whose name contains it."""
-    exts = [".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]
-    name = F.element_at(F.split("path", "/"), -1)
-    files = listing.select("path", name.alias("name"), F.lower(X.stem(F.col("path"))).alias("stem"))
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, exts)), F.lower(F.regexp_extract("name", r"\.[^.]*$", 0))), F.lit(0)), F.lit(99))
-    exact = pages.select("page_id").join(files, F.lower("page_id") == F.col("stem")).select("page_id", "path", rank.alias("rank"))
-    # Names that contain a page's name: only pages without an exact file, over the listing.
-    rest = pages.select("page_id").join(exact, "page_id", "left_anti")
-    loose = rest.join(F.broadcast(files), F.contains(F.lower("name"), F.lower("page_id"))).select("page_id", "path", F.lit(1000).alias("rank"))
-    best = exact.unionByName(loose).groupBy("page_id").agg(F.min_by("path", F.struct("rank", "path")).alias("image"))
-    return pages.join(best, "page_id", "left")
+    """G-13: each page's ``image``: the file of the page's name, by ``EXTENSIONS`` in order, else
+    that of its document's name, else the first path of a file whose name contains the
+    document's in any case; null without one. A document's name is the page's up to ``_page_``.
+
+    Equal names are equi-joins. Only what they leave is looked up by parts of names: a
+    document's rarest gram of ``_GRAM`` characters is joined to the files that have it."""
+    files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    wanted = pages.select("page_id").filter("page_id is not null").distinct().withColumn("base", F.coalesce(X.cv_id(F.col("page_id")), F.col("page_id")))
+    tries = [F.struct(F.concat(F.col(c), F.lit(e)).alias("name"), F.lit(i * len(EXTENSIONS) + k).alias("rank")) for i, c in enumerate(("page_id", "base")) for k, e in enumerate(EXTENSIONS)]
+    exact = wanted.select("page_id", F.explode(F.array(*tries)).alias("t")).select("page_id", "t.*").join(files, "name").groupBy("page_id").agg(F.min_by("path", F.struct("rank", "path")).alias("image"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - _GRAM + 1)), lambda i: F.substring(c, i, _GRAM)))
+    heads = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda n: F.substring(c, i, n)))))
+    low = F.lower("name")
+    held = files.withColumn("low", low).select("path", "low", F.explode(heads(F.col("low"))).alias("gram"))
+    rest = wanted.join(exact, "page_id", "left_anti").withColumn("sought", F.lower("base")).filter("sought <> ''")
+    rarest = rest.select("page_id", "sought", F.explode(grams(F.col("sought"))).alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("page_id", "sought").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    loose = rarest.join(held, "gram").filter(F.contains("low", "sought")).groupBy("page_id").agg(F.min("path").alias("image"))
+    return pages.join(exact.unionByName(loose), "page_id", "left")
 
 
 def reading_order_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -111,24 +130,24 @@ def parser_texts(texts: DataFrame) -> DataFrame:
     return texts.select("page_id", F.coalesce(F.get_json_object("value", "$.ResumeParserData.DetailResume"), F.lit("")).alias("original_text"))
 
 
-PAGE = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("page_num", T.IntegerType()), T.StructField("image", T.BinaryType())])
+PAGE = "page_id string, page_num int, image binary, path string, error string"
 
 
-def pdf_pages(files: DataFrame, rasterise) -> DataFrame:
+def pdf_pages(files: DataFrame, rasterise) -> tuple[DataFrame, DataFrame]:
     """SRC-15: ``{stem}_page_{n:03d}`` images of PDF files (path, content) by an injected
-    ``rasterise(content) -> iterable of image bytes``; a file that fails gives no page."""
+    ``rasterise(content) -> iterable of image bytes`` (page_id, page_num, image), and rejected
+    (path, error): a file that fails gives one such row and no page."""
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 try:
-                    rows += [(f"{stem}_page_{n:03d}", n, image) for n, image in enumerate(rasterise(bytes(content)), 1)]
-                except Exception:  # noqa: BLE001  one file's fault is its own
-                    continue
-            yield pd.DataFrame(rows, columns=["page_id", "page_num", "image"])
-
-    return files.select("path", "content").mapInPandas(run, PAGE)
+                    rows = [(f"{stem}_page_{n:03d}", n, image, path, None) for n, image in enumerate(rasterise(bytes(content)), 1)]
+                except Exception as e:  # noqa: BLE001  one file's fault is its own
+                    rows = [(None, None, None, path, f"{type(e).__name__}: {e}")]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["page_id", "page_num", "image", "path", "error"]).astype({"page_num": "Int32"})
+
+    done = files.select("path", "content").mapInPandas(run, PAGE)
+    return done.filter("error is null").select("page_id", "page_num", "image"), done.filter("error is not null").select("path", "error")

@@ -57,11 +57,29 @@ def test_known_distances():
     assert D.levenshtein(long, long[1:] + ["x"]) == 2
 
 
-def test_native_word_levenshtein(spark):
+def test_text_levenshtein(spark, monkeypatch):
+    """Short texts by Spark, long ones by the kernel, of any characters."""
     rnd = random.Random(1)
-    rows = [([rnd.choice("abcde") for _ in range(rnd.randrange(9))], [rnd.choice("abcdef") for _ in range(rnd.randrange(9))]) for _ in range(60)] + [("the cat sat on mat".split(), "the cat on the mat".split())]
-    out = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", D.native_word_levenshtein(F.col("a"), F.col("b")).alias("n"), D.word_levenshtein("a", "b").alias("d")).collect()
-    assert all(r["n"] == r["d"] == plain_levenshtein(r["a"], r["b"]) for r in out) and out[-1]["d"] == 2
+    some = lambda n: "".join(rnd.choice("abcé😀") for _ in range(n))
+    rows = [(some(rnd.randrange(12)), some(rnd.randrange(12))) for _ in range(60)] + [(None, "a"), ("a" * 900, "b" + "a" * 900), (some(500), some(30))]
+    out = spark.createDataFrame(rows, "a string, b string").select("a", "b", D.text_levenshtein(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r["d"] == (None if r["a"] is None else plain_levenshtein(r["a"], r["b"])) for r in out)
+
+
+def test_bleu_counts_by_plain_counting(spark):
+    from collections import Counter
+
+    rnd = random.Random(2)
+    some = lambda: [rnd.choice("a b c dd é".split()) for _ in range(rnd.randrange(0, 25))]
+    rows = [(i, some(), some()) for i in range(700)] + [(700, None, ["a"]), (701, ["a"], None), (702, None, None)]
+    grams = lambda t, n: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    got = {r["id"]: r for r in B.page_stats(spark.createDataFrame(rows, "id int, ref array<string>, hyp array<string>").repartition(3), ["id"], "ref", "hyp").collect()}
+    for i, ref, hyp in rows:
+        ref, hyp = ref or [], hyp or []
+        assert (got[i]["hyp_len"], got[i]["ref_len"]) == (len(hyp), len(ref))
+        for n in range(1, 5):
+            g, h = grams(ref, n), grams(hyp, n)
+            assert (got[i][f"c{n}"], got[i][f"t{n}"]) == (sum((g & h).values()), sum(h.values())), (i, n)
 
 
 @pytest.mark.parametrize(("g", "h", "wer", "cer"), [("the cat sat on mat", "the cat on the mat", 0.4, None), ("", "", 0.0, 0.0), ("", "x", 1.0, 1.0), ("É-b", "é b", 0.0, 1 / 3), (None, None, 0.0, 0.0)])
@@ -217,6 +235,11 @@ def test_validation(spark):
 def test_public_measures(spark):
     gt = spark.createDataFrame([("p", ["the", "cat"], list("the cat"), 1), ("q", [], [], 1)], "page_id string, words array<string>, characters array<string>, ordinal int")
     pred = spark.createDataFrame([("e1", "p", ["the", "dog"], list("the dog")), ("e2", "p", ["the", "cat"], list("the cat")), ("e1", "q", [], []), ("e1", "zz", ["a"], ["a"])], "engine string, page_id string, words array<string>, characters array<string>")
+    table = spark.createDataFrame([("e3", "t", ["a", "b"], list("<td>a</td><td>b</td>"))], pred.schema)
+    both = E.wer_cer(table, spark.createDataFrame([("t", ["a", "b"], list("a b"), 1), ("t", ["x"], list("x"), 0)], gt.schema)).collect()[0]
+    assert (both["wer"], both["cer"]) == (0, 0)  # the characters of the prediction play no part
+    half = spark.createDataFrame([("p", ["a"], None), ("q", None, ["a"])], "page_id string, words array<string>, characters array<string>")
+    assert {(r["wer"], r["cer"]) for r in E.wer_cer(pred, half).collect()} == {(None, None)}
     rows = E.wer_cer(pred, gt)
     got = {(r["engine"], r["page_id"]): (r["wer"], r["cer"]) for r in rows.collect()}
     assert got["e1", "p"] == (0.5, 0.5) and got["e2", "p"] == (0, 0) and got["e1", "q"] == (0, 0) and got["e1", "zz"] == (None, None)

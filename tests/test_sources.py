@@ -108,7 +108,28 @@ def test_images(spark, tmp_path):
             raise ValueError
         return [bytes([c]) for c in content]
 
-    assert [r["page_id"] for r in files.pdf_pages(pdfs, rasterise).orderBy("page_num").collect()] == ["d_page_001", "d_page_002"]
+    good, bad = files.pdf_pages(pdfs, rasterise)
+    assert [r["page_id"] for r in good.orderBy("page_num").collect()] == ["d_page_001", "d_page_002"]
+    assert [(r["path"], r["error"]) for r in bad.collect()] == [("/x/bad.pdf", "ValueError: ")]
+
+
+def test_image_for_page(spark):
+    """By page, then by document, then by part of a name, against plain Python."""
+    names = ["A_page_001.jpg", "A_page_001.tiff", "A.gif", "B.jpeg", "b.png", "xx-cee-2.txt", "zz_CEE.PNG", "ab.png", "d", "E_page_002.PNG", "Ñandú photo.bmp", "long name of a file.tif"]
+    listing = spark.createDataFrame([(f"/i/{n}",) for n in names], "path string")
+    pages = ["A_page_001", "A_page_002", "B_page_003", "Cee_page_001", "d_page_001", "E_page_002", "ñandú_page_001", "none", "name of a_page_010", "Q_page_001"]
+
+    def plain(page):
+        base = page.rsplit("_page_", 1)[0]
+        for n in (page, base):
+            for e in files.EXTENSIONS:
+                if n + e in names:
+                    return f"/i/{n}{e}"
+        return min((f"/i/{n}" for n in names if base.lower() in n.lower()), default=None)
+
+    got = {r["page_id"]: r["image"] for r in files.image_for_page(spark.createDataFrame([(p,) for p in [*pages, None]], "page_id string"), listing).collect()}
+    assert got == {p: plain(p) for p in pages} | {None: None}
+    assert got["A_page_002"] == "/i/A.gif" and got["Cee_page_001"] == "/i/xx-cee-2.txt" and got["none"] is None
 
 
 def test_lines_payload_and_strict(spark, tmp_path):

@@ -103,7 +103,21 @@ def q_reading_order_sort(spark, sf):
     return pages.select("l_orderkey", F.array_join(ordered, ",").alias("parts"), F.array_max(G.renumbered(ordered)).alias("last"))
 
 
-@register("q_merge_lines")
+_SORT = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag"
+_FRAGMENTS = f"""f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY mid, n) AS m FROM (
+  SELECT l_orderkey, CAST(l_partkey % 90 AS DOUBLE) AS x, CAST(l_linenumber * 5 AS DOUBLE) AS h, l_suppkey % 80 + l_linenumber * 5 / 2.0 AS mid, l_returnflag AS t,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SORT}) AS n FROM lineitem))"""
+
+
+@register(
+    "q_merge_lines",
+    f"""WITH RECURSIVE {_FRAGMENTS},
+walk AS (SELECT l_orderkey, m, 1 AS line, CAST(mid AS DOUBLE) AS sm, h AS sh, 1 AS c FROM f WHERE m = 1 UNION ALL
+  SELECT f.l_orderkey, f.m, CASE WHEN near THEN line ELSE line + 1 END, CASE WHEN near THEN sm + mid ELSE mid END, CASE WHEN near THEN sh + h ELSE h END, CASE WHEN near THEN c + 1 ELSE 1 END
+  FROM (SELECT f.*, w.line, w.sm, w.sh, w.c, abs(f.mid - w.sm / w.c) <= greatest(f.h, w.sh / w.c) * 0.6 :: DOUBLE AS near FROM walk w JOIN f ON f.l_orderkey = w.l_orderkey AND f.m = w.m + 1) f),
+l AS (SELECT l_orderkey, line, string_agg(t, ' ' ORDER BY x, m) AS text FROM walk JOIN f USING (l_orderkey, m) GROUP BY l_orderkey, line)
+SELECT l_orderkey, CAST(count(*) AS INTEGER) AS lines, string_agg(text, '/' ORDER BY line) AS texts FROM l GROUP BY l_orderkey""",
+)
 def q_merge_lines(spark, sf):
     pages = _pages(spark, sf).select("l_orderkey", F.transform("r", lambda x: x["b"]).alias("boxes"), F.transform("r", lambda x: x["t"]).alias("texts"))
     lined = L.build_line_columns(pages, "texts", "boxes")
@@ -119,20 +133,61 @@ def _matched(spark, sf):
     return L.add_metrics(pred, gt, "l_orderkey", prefix="m")
 
 
-@register("q_greedy_match")
+def _match_sql(score: str) -> str:
+    """CTEs up to ``r``: l_orderkey, thr and the page's measures, by plain steps: pairs by
+    overlap for the greedy match, predictions by score for the average precision."""
+    box = "CAST(l_partkey % 90 AS DOUBLE) AS x, CAST(l_suppkey % 80 AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS w, CAST(l_linenumber * 5 AS DOUBLE) AS h"
+    return f"""b AS (SELECT l_orderkey, l_linenumber, l_extendedprice, {box}, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SORT}) AS n FROM lineitem),
+g AS (SELECT l_orderkey, n AS i, x / 100 * 100 AS x, y / 100 * 100 AS y, w / 100 * 100 AS w, h / 100 * 100 AS h FROM b),
+p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS j, x + l_linenumber % 4 AS x, y, w, h, {score} AS score FROM b WHERE l_linenumber <> 2),
+o AS (SELECT g.l_orderkey, i, j, score, greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0) AS inter, g.w * g.h AS ga, p.w * p.h AS pa FROM g JOIN p USING (l_orderkey)),
+iou AS (SELECT l_orderkey, i, j, score, CASE WHEN ga + pa - inter > 0 THEN inter / (ga + pa - inter) ELSE 0.0 END AS v FROM o),
+t AS (SELECT CAST(unnest([0.5, 0.75]) AS DOUBLE) AS thr),
+cand AS (SELECT l_orderkey, thr, i, j, row_number() OVER (PARTITION BY l_orderkey, thr ORDER BY v DESC, i, j) AS n FROM iou, t WHERE v >= thr),
+gm AS (SELECT DISTINCT l_orderkey, thr, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS gi, CAST([] AS BIGINT[]) AS pj FROM p, t UNION ALL
+  SELECT l_orderkey, thr, n, CASE WHEN free THEN list_append(gi, i) ELSE gi END, CASE WHEN free THEN list_append(pj, j) ELSE pj END FROM (
+    SELECT c.l_orderkey, c.thr, c.n, c.i, c.j, gm.gi, gm.pj, NOT list_contains(gm.gi, c.i) AND NOT list_contains(gm.pj, c.j) AS free FROM gm JOIN cand c ON c.l_orderkey = gm.l_orderkey AND c.thr = gm.thr AND c.n = gm.n + 1)),
+tp AS (SELECT l_orderkey, thr, CAST(max(len(gi)) AS DOUBLE) AS tp FROM gm GROUP BY l_orderkey, thr),
+vis AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, j DESC) AS k, v FROM (SELECT l_orderkey, j, any_value(score) AS score, list(v ORDER BY i) AS v FROM iou GROUP BY l_orderkey, j)),
+ap AS (SELECT DISTINCT l_orderkey, thr, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS INTEGER[]) AS hits FROM p, t UNION ALL
+  SELECT l_orderkey, thr, k, CASE WHEN list_max(f) >= thr THEN list_append(used, CAST(list_position(f, list_max(f)) AS BIGINT)) ELSE used END, list_append(hits, CASE WHEN list_max(f) >= thr THEN 1 ELSE 0 END) FROM (
+    SELECT a.l_orderkey, a.thr, vis.k, a.used, a.hits, list_transform(vis.v, lambda x, i: CASE WHEN list_contains(a.used, i) THEN -1.0 :: DOUBLE ELSE x END) AS f FROM ap a JOIN vis ON vis.l_orderkey = a.l_orderkey AND vis.k = a.k + 1)),
+ng AS (SELECT l_orderkey, count(*) AS ng FROM g GROUP BY l_orderkey), np AS (SELECT l_orderkey, count(*) AS np FROM p GROUP BY l_orderkey),
+curve AS (SELECT l_orderkey, thr, ng, np, list_transform(range(1, np + 1), lambda k: list_sum(hits[1:k])) AS c FROM ap JOIN ng USING (l_orderkey) JOIN np USING (l_orderkey) WHERE k = np),
+pr AS (SELECT l_orderkey, thr, list_transform(c, lambda s, k: s / (k + 1e-8 :: DOUBLE)) AS prec, list_transform(c, lambda s: s / CAST(ng AS DOUBLE)) AS rec FROM curve),
+av AS (SELECT l_orderkey, thr, list_avg(list_transform(range(0, 11), lambda l: coalesce(list_max(list_transform(list_filter(list_zip(rec, prec), lambda z: z[1] >= l * 0.1 :: DOUBLE), lambda z: z[2])), 0.0 :: DOUBLE))) AS ap FROM pr),
+m AS (SELECT l_orderkey, thr, tp, np - tp AS fp, ng - tp AS fn, tp / np AS p, tp / ng AS r, ap FROM tp JOIN av USING (l_orderkey, thr) JOIN ng USING (l_orderkey) JOIN np USING (l_orderkey)),
+r AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM m)"""
+
+
+_PRICES = _match_sql("l_extendedprice")
+
+
+@register("q_greedy_match", f"WITH RECURSIVE {_PRICES} SELECT ng.l_orderkey, tp, fp, fn, floor(ap * 1e6 + 0.5) / 1e6 AS ap FROM ng LEFT JOIN r ON ng.l_orderkey = r.l_orderkey AND thr = 0.5")
 def q_greedy_match(spark, sf):
     return _matched(spark, sf).select("l_orderkey", *[F.col(f"`m_{k}@0.5`").alias(k.lower()) for k in ("TP", "FP", "FN")], six(F.col("`m_mAP@0.5`")).alias("ap"))
 
 
-@register("q_layout_summary")
+_MEASURES = {"TP": "tp", "FP": "fp", "FN": "fn", "Precision": "p", "Recall": "r", "F1": "f1", "mAP": "ap"}
+
+
+@register(
+    "q_layout_summary",
+    f"WITH RECURSIVE {_PRICES} SELECT {', '.join(f'floor(avg({c}) FILTER (thr = {t}) * 1e6 + 0.5) / 1e6 AS m_{m}_{n}' for t, n in ((0.5, '05'), (0.75, '075')) for m, c in _MEASURES.items())}, CAST(count(*) FILTER (thr = 0.5) AS BIGINT) AS pages FROM r",
+)
 def q_layout_summary(spark, sf):
     s = L.summarize(_matched(spark, sf), "m")
     return s.select(*[six(F.col(f"`{c}`")).alias(c.replace("@", "_").replace(".", "")) for c in s.columns if c != "pages"], "pages")
 
 
-@register("q_ap11", "SELECT l_orderkey, 1.0 :: DOUBLE AS ap FROM lineitem GROUP BY l_orderkey")
+@register("q_ap11", f"WITH RECURSIVE {_match_sql('l_linenumber % 3')} SELECT l_orderkey, floor(max(ap) FILTER (thr = 0.5) * 1e6 + 0.5) / 1e6 AS ap, floor(max(ap) FILTER (thr = 0.75) * 1e6 + 0.5) / 1e6 AS ap_strict FROM r GROUP BY l_orderkey")
 def q_ap11(spark, sf):
-    """A page against itself: every box is found, so the precision is 1 at every recall."""
-    pages = _pages(spark, sf).select("l_orderkey", F.array_distinct(F.transform("r", lambda x: x["b"])).alias("boxes"))
-    ap = L.metrics_udf((0.5,))(F.col("boxes"), F.col("boxes"), F.lit(None).cast("array<double>"))
-    return pages.select("l_orderkey", six(F.get(F.get(ap, F.lit(0)), F.lit(6))).alias("ap"))
+    """Average precision where many scores tie, some boxes are missed and some found twice."""
+    pages = _pages(spark, sf)
+    boxes = F.transform("r", lambda x: G.percent_to_px(x["b"], F.lit(100), F.lit(100)))
+    kept = F.filter("r", lambda x: x["l_linenumber"] != 2)
+    said = F.transform(kept, lambda x: F.array(x["b"][0] + (x["l_linenumber"] % 4), x["b"][1], x["b"][2], x["b"][3]))
+    scores = F.transform(kept, lambda x: (x["l_linenumber"] % 3).cast("double"))
+    found = pages.select("l_orderkey", L.metrics_udf((0.5, 0.75))(boxes, said, scores).alias("m")).filter("m is not null")
+    ap = lambda i: six(F.get(F.get("m", F.lit(i)), F.lit(6)))
+    return found.select("l_orderkey", ap(0).alias("ap"), ap(1).alias("ap_strict"))

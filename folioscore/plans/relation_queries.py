@@ -64,9 +64,9 @@ def q_first_match(spark, sf):
     return R.first_match([bad, table(spark, sf, "documents").select("doc_id", F.lit("documents").alias("src"))], ["doc_id"], "src")
 
 
-@register("q_key_remap", "SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' ELSE n_name END AS n_name FROM nation")
+@register("q_key_remap", "SELECT n_nationkey, CASE n_name WHEN 'NATION_3' THEN 'FR' WHEN 'NATION_11' THEN 'DE' ELSE n_name END AS n_name FROM nation")
 def q_key_remap(spark, sf):
-    alias = spark.createDataFrame([("FRANCE", "FR"), ("GERMANY", "DE")], "alias string, name string")
+    alias = spark.createDataFrame([("NATION_3", "FR"), ("NATION_11", "DE"), ("NATION_99", "XX")], "alias string, name string")
     return R.remap(table(spark, sf, "nation").select("n_nationkey", "n_name"), F.broadcast(alias), "n_name")
 
 
@@ -113,6 +113,8 @@ def q_json_from_text(spark, sf):
     return table(spark, sf, "events").select("event_id", T.json_from_text(F.concat(F.lit("Sure, here it is: "), "props", F.lit(" Done."))).alias("json"))
 
 
+#: T-02 in SQL, with and without the removal of marks.
+_NORM_MARKS = r"trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -121,48 +123,59 @@ def q_gt_section_export(spark, sf):
     return S.gt_texts(table(spark, sf, "conversations").withColumn("o", F.lit(1)), ["conv_id"], "turn", "role", "o", "text", exact=False)
 
 
-@register("q_gt_section_export_exact")
+@register("q_gt_section_export_exact", f"SELECT conv_id, role AS section, {_NORM_MARKS.format('''string_agg(text, ' ' ORDER BY turn)''')} AS gt FROM conversations GROUP BY conv_id, role")
 def q_gt_section_export_exact(spark, sf):
-    """With the normal form, which the SQL of ``q_gt_section_export`` leaves out."""
     return S.gt_texts(table(spark, sf, "conversations").withColumn("o", F.lit(1)), ["conv_id"], "turn", "role", "o", "text")
 
 
 _TOK = r"CAST(len(list_filter(string_split({0}, ' '), lambda w: w <> '')) AS BIGINT)"
 
 
-@register(
-    "q_empty_policy",
-    f"WITH n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE {_NORM.format('text')} END AS g, {_NORM.format('text')} AS p FROM conversations) SELECT conv_id, turn, CAST(CASE WHEN g = '' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS wer, {_TOK.format('g')} AS gt_tokens, {_TOK.format('p')} AS pred_tokens FROM n WHERE p NOT IN ('', 'na', 'none', 'null')",
-)
+def _policy_sql(norm: str) -> str:
+    """Predictions lack some words of the truth, so the distance is how many."""
+    return f"""WITH n AS (SELECT conv_id, turn, {norm.format('text')} AS g FROM conversations),
+p AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE g END AS g, CASE WHEN turn % 4 = 2 THEN '' ELSE replace(g, ' le ', ' ') END AS p FROM n),
+w AS (SELECT *, {_TOK.format('g')} AS gt_tokens, {_TOK.format('p')} AS pred_tokens FROM p)
+SELECT conv_id, turn, CASE WHEN g = '' THEN 1.0 ELSE CAST(gt_tokens - pred_tokens AS DOUBLE) / gt_tokens END AS wer, gt_tokens, pred_tokens FROM w WHERE g <> '' OR p <> ''"""
+
+
+@register("q_empty_policy", _policy_sql(_NORM))
 def q_empty_policy(spark, sf):
     return _empty_policy(spark, sf, False)
 
 
-@register("q_empty_policy_exact")
+@register("q_empty_policy_exact", _policy_sql(_NORM_MARKS))
 def q_empty_policy_exact(spark, sf):
-    """With the normal form, which the SQL of ``q_empty_policy`` leaves out."""
     return _empty_policy(spark, sf, True)
 
 
 def _empty_policy(spark, sf, exact):
-    norm = T.normalize_section(F.col("text"), exact=exact)
-    pairs = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(norm).alias("gt"), norm.alias("pred"))
+    norm = table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_section(F.col("text"), exact=exact).alias("n"))
+    pred = F.when(F.col("turn") % 4 == 2, "").otherwise(F.replace("n", F.lit(" le "), F.lit(" ")))
+    pairs = norm.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("n")).alias("gt"), pred.alias("pred"))
     return S.compare(pairs, "penalize").select("conv_id", "turn", "wer", "gt_tokens", "pred_tokens")
 
 
-@register("q_section_report")
+@register(
+    "q_section_report",
+    f"""WITH n AS (SELECT conv_id, role, {_NORM_MARKS.format('text')} AS g FROM conversations), p AS (SELECT *, replace(g, ' le ', ' ') AS p FROM n),
+w AS (SELECT conv_id, role, {_TOK.format('g')} AS gt, {_TOK.format('p')} AS pt, length(p) / CAST(length(g) AS DOUBLE) AS sim FROM p WHERE g <> ''),
+f AS (SELECT conv_id, role, round_even(avg(CAST(gt - pt AS DOUBLE) / gt), 4) AS w, round_even(avg(sim), 4) AS s, sum(gt) AS gt, sum(pt) AS pt FROM w GROUP BY conv_id, role)
+SELECT role AS section, round_even(avg(s), 4) AS avg_semantic_similarity, round_even(avg(w), 4) AS avg_wer, CAST(sum(gt) AS BIGINT) AS gt_tokens, CAST(sum(pt) AS BIGINT) AS pred_tokens, round_even(least(1.0, CAST(sum(pt) AS DOUBLE) / greatest(1, sum(gt))), 4) AS brevity_penalty, CAST(count(*) AS BIGINT) AS files FROM f GROUP BY role""",
+)
 def q_section_report(spark, sf):
-    norm = T.normalize_section(F.col("text"))
-    pairs = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("section"), norm.alias("gt"), F.replace(norm, F.lit(" the "), F.lit(" ")).alias("pred"))
+    norm = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("section"), T.normalize_section(F.col("text")).alias("gt"))
+    pairs = norm.withColumn("pred", F.replace("gt", F.lit(" le "), F.lit(" ")))
     return S.section_report(S.compare(pairs, "soft", lambda g, p: F.length(p) / F.length(g)), ["conv_id"])
 
 
-@register("q_section_names", "SELECT role AS section, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY role")
+@register("q_section_names", "SELECT CASE role WHEN 'user' THEN 'personal_info' WHEN 'assistant' THEN 'work_experience_info' ELSE 'OTHER' END AS section, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY 1")
 def q_section_names(spark, sf):
     """The fixed names as a five-row table joined by broadcast; other names stay."""
-    names = spark.createDataFrame(list(S.SECTIONS.items()), "role string, name string")
-    c = table(spark, sf, "conversations").join(F.broadcast(names), "role", "left")
-    return c.groupBy(F.coalesce("name", "role").alias("section")).agg(F.count("*").alias("n"))
+    labels = F.when(F.col("role") == "user", "PERSONAL").when(F.col("role") == "assistant", "EMP-INFO").otherwise("OTHER")
+    names = spark.createDataFrame(list(S.SECTIONS.items()), "label string, name string")
+    c = table(spark, sf, "conversations").withColumn("label", labels).join(F.broadcast(names), "label", "left")
+    return c.groupBy(F.coalesce("name", "label").alias("section")).agg(F.count("*").alias("n"))
 
 
 @register("q_cosine_pairs", "SELECT a.vec_id, floor(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -202,7 +215,16 @@ def q_mean_pool_argmax(spark, sf):
     return K.mean_pool_argmax(e, ["doc"], "label", "logits").select("label", "label_id")
 
 
-@register("q_order_decode")
+#: Boxes take places, losers of a shared place their next best, in rounds.
+_EIGHT = "[1, 2, 3, 4, 5, 6, 7, 8]"
+_DECODE = f"""m AS (SELECT vec_id, list_transform(range(0, 8), lambda i: list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda x: x :: DOUBLE)) AS m FROM embeddings),
+r AS (SELECT vec_id, m, list_transform(m, lambda l: list_transform(list_reverse_sort(list_transform(l, lambda x, k: {{'v': x, 'k': k}})), lambda s: s.k)) AS r FROM m),
+dec AS (SELECT vec_id, m, r, [1, 1, 1, 1, 1, 1, 1, 1] AS d, 0 AS it FROM r UNION ALL
+  SELECT vec_id, m, r, nd, it + 1 FROM (SELECT vec_id, m, r, d, it, list_transform({_EIGHT}, lambda i: d[i] + CASE WHEN len(list_filter({_EIGHT}, lambda j: j <> i AND r[j][d[j]] = r[i][d[i]] AND (m[j][r[i][d[i]]] > m[i][r[i][d[i]]] OR (m[j][r[i][d[i]]] = m[i][r[i][d[i]]] AND j < i)))) > 0 THEN 1 ELSE 0 END) AS nd FROM dec) WHERE nd <> d),
+p AS (SELECT vec_id, list_transform({_EIGHT}, lambda i: r[i][d[i]] - 1) AS p FROM (SELECT vec_id, any_value(r) AS r, arg_max(d, it) AS d FROM dec GROUP BY vec_id))"""
+
+
+@register("q_order_decode", f"WITH RECURSIVE {_DECODE} SELECT vec_id, array_to_string(p, ',') AS places, len(list_distinct(p)) < 8 AS repeated FROM p")
 def q_order_decode(spark, sf):
     """64 components as eight rows of eight logits."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8).cast("array<double>"))

@@ -1,4 +1,8 @@
-"""Reading the driver's tables."""
+"""Reading the driver's tables, and a folder for files that queries write and read."""
+
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -7,8 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a local
+    one only where all executors are threads of this process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="folioscore-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt in turn over all cores, where the scan has fewer splits than there are
-    cores (a small file); larger inputs stay where they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * n) if df.rdd.getNumPartitions() < n else df
+    """Rows dealt in turn to all cores in small tasks, before kernels that cost far more than
+    moving a row does: a scan's splits go by bytes, and a few long texts fill one of them."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)

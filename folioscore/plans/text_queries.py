@@ -136,9 +136,9 @@ def q_normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize_section(F.col("text"), exact=False).alias("norm"))
 
 
-@register("q_normalize_text_exact")
+@register("q_normalize_text_exact", r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents")
 def q_normalize_text_exact(spark, sf):
-    """T-02 with its normal form, which the SQL of ``q_normalize_text`` leaves out."""
+    """T-02 with its normal form."""
     return spread(table(spark, sf, "documents")).select("doc_id", T.normalize_section(F.col("text")).alias("norm"))
 
 
@@ -210,6 +210,7 @@ def q_engine_means(spark, sf):
     return E.means(rated, ["engine"], ["ratio"]).select("engine", six(F.col("ratio")).alias("ratio"), "pages")
 
 
-@register("q_both_empty", "SELECT conv_id, turn FROM conversations WHERE length(coalesce(text, '')) > 0 OR length(role) > 0")
+@register("q_both_empty", "SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 0 OR turn % 2 <> 0")
 def q_both_empty(spark, sf):
-    return table(spark, sf, "conversations").filter(R.not_both_empty(F.coalesce("text", F.lit("")), F.col("role"))).select("conv_id", "turn")
+    ref, hyp = F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")), F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role"))
+    return table(spark, sf, "conversations").filter(R.not_both_empty(ref, hyp)).select("conv_id", "turn")

@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import box_queries, relation_queries, source_queries, text_queries  # noqa: F401  they register themselves
+    from . import box_queries, evaluation_queries, relation_queries, source_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..functions import unicode as U
-from ..operators import bleu as B
 from ..operators import inference as I
 from ..operators import sections as S
 from ..operators import tokens as K
 from ..sources import files, ground_truth, sinks, vendors
 from .registry import register
 from .tables import table
-from .text_queries import ascii_only, garbled, six
+from .text_queries import ascii_only
 
 
 def _turns(spark, sf) -> DataFrame:
@@ -30,14 +29,24 @@ def _texts(pages: DataFrame, value: Column) -> DataFrame:
 
 
 def _counts(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.size("lines").cast("long").alias("lines"), F.size("words").cast("long").alias("words"), F.size("characters").cast("long").alias("characters"))
+    """How many there are of each, all words and all lines' texts, and the corners of all boxes."""
+    corner = lambda i: F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["box"][i])
+    texts = F.array_join(F.transform("lines", lambda x: x["text"]), "|")
+    return pages.select("page_id", *[F.size(c).cast("long").alias(c) for c in ("lines", "words", "characters")], F.md5(F.array_join("words", "|")).alias("word_digest"), F.md5(texts).alias("line_digest"), *[corner(i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-_WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
-_COUNTS = f"SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum({_WORDS}) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations GROUP BY conv_id"
+_WORD_LIST = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
+_WORDS = f"len({_WORD_LIST})"
+_PLAIN = "length(text)"
 
 
-@register("q_textract", _COUNTS)
+def _counts_sql(box: tuple[float, float, float, float], words: str = _WORD_LIST, characters: str = _PLAIN, line: str = "text") -> str:
+    corners = ", ".join(f"CAST(count(*) * {v} AS DOUBLE) AS {n}" for v, n in zip(box, ("x1", "y1", "x2", "y2"), strict=True))
+    return f"""SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(len({words})) AS BIGINT) AS words, CAST(sum({characters}) AS BIGINT) AS characters,
+md5(coalesce(string_agg(array_to_string({words}, '|'), '|' ORDER BY turn) FILTER (len({words}) > 0), '')) AS word_digest, md5(string_agg({line}, '|' ORDER BY turn)) AS line_digest, {corners} FROM conversations GROUP BY conv_id"""
+
+
+@register("q_textract", _counts_sql((0.1, 0.1, 0.5, 0.1)))
 def q_textract(spark, sf):
     box = F.struct(F.struct(F.lit(0.1).alias("Left"), F.lit(0.1).alias("Top"), F.lit(0.5).alias("Width"), F.lit(0.1).alias("Height")).alias("BoundingBox"))
     block = lambda kind, text: F.struct(F.lit(kind).alias("BlockType"), text.alias("Text"), F.lit(99.5).alias("Confidence"), box.alias("Geometry"))
@@ -45,7 +54,7 @@ def q_textract(spark, sf):
     return _counts(vendors.textract(_texts(_turns(spark, sf), F.struct(blocks.alias("Blocks")))))
 
 
-@register("q_easyocr", _COUNTS)
+@register("q_easyocr", _counts_sql((1, 2, 5, 8)))
 def q_easyocr(spark, sf):
     corner = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
     box = F.array(corner(1, 2), corner(5, 2), corner(5, 8), corner(1, 8))
@@ -53,7 +62,7 @@ def q_easyocr(spark, sf):
     return _counts(vendors.easyocr(_texts(_turns(spark, sf), F.struct(F.transform("turns", item).alias("results")))))
 
 
-@register("q_surya", _COUNTS)
+@register("q_surya", _counts_sql((0, 0, 9, 9)))
 def q_surya(spark, sf):
     """Words from characters, which all have a box."""
     ch = lambda c, i: F.struct(c.alias("text"), F.array(i, F.lit(0), i + 1, F.lit(1)).cast("array<double>").alias("bbox"), F.lit(True).alias("bbox_valid"))
@@ -62,7 +71,7 @@ def q_surya(spark, sf):
     return _counts(vendors.surya(_texts(_turns(spark, sf), page)))
 
 
-@register("q_dotsocr", r"SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(len(list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}_À-ÿ]+|[^\p{L}\p{N}_À-ÿ]+$', '', 'g')), lambda w: w <> ''))) AS BIGINT) AS words, CAST(sum(length(text) + 3) AS BIGINT) AS characters FROM conversations GROUP BY conv_id")
+@register("q_dotsocr", _counts_sql((0, 0, 9, 9), r"list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}_À-ÿ]+|[^\p{L}\p{N}_À-ÿ]+$', '', 'g')), lambda w: w <> '')", "length(text) + 3", "'## ' || text"))
 def q_dotsocr(spark, sf):
     item = lambda t: F.struct(F.array(*[F.lit(float(x)) for x in (0, 0, 9, 9)]).alias("bbox"), F.lit("Text").alias("category"), F.concat(F.lit("## "), t["text"]).alias("text"))
     return _counts(vendors.dotsocr(_texts(_turns(spark, sf), F.transform("turns", item))))
@@ -223,9 +232,3 @@ def q_null_boxes(spark, sf):
     boxes = F.transform("turns", lambda t: F.when(t["turn"] % 3 != 0, F.array(F.lit(1.0))))
     kept = G.drop_null_boxes(boxes, F.transform("turns", lambda t: t["role"]), F.transform("turns", lambda t: F.lit(1.0)))
     return _turns(spark, sf).select("page_id", kept.alias("k")).filter(F.size("k") > 0).select("page_id", F.array_join(F.transform("k", lambda x: x["text"]), ",").alias("roles"))
-
-
-@register("q_mean_sentence_bleu")
-def q_mean_sentence_bleu(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", T.split_words(F.col("text")).alias("r"), T.split_words(garbled(F.col("text"))).alias("h"))
-    return B.mean_sentence_bleu(c, ["conv_id", "turn"], "r", "h").select(six(F.col("bleu")).alias("bleu"))

@@ -85,16 +85,24 @@ def q_tesseract(spark, sf):
     return t.select("page_id", F.size("words").cast("long").alias("words"), F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["box"][2]).alias("x2"), F.aggregate("line_nums", F.lit(0).cast("long"), lambda a, x: a + x).alias("numbers"))
 
 
-@register("q_annotations", "SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(3 * count(*) AS BIGINT) AS results, 0.25 :: DOUBLE AS score, 'conv_page_001' AS file FROM conversations GROUP BY conv_id")
+@register(
+    "q_annotations",
+    """SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(3 * count(*) AS BIGINT) AS results, round_even(avg(turn * 0.1 :: DOUBLE), 4) AS score, CASE conv_id % 3 WHEN 0 THEN 'conv_page_007' WHEN 1 THEN 'doc_page_001' ELSE 'doc_page_001' END AS file,
+md5(string_agg(text, '|' ORDER BY turn)) AS digest, 50.0 :: DOUBLE AS width FROM conversations GROUP BY conv_id""",
+)
 def q_annotations(spark, sf):
+    """All three shapes of input: an object of documents, a list of pages, a page."""
     corner = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
-    polygon = F.array(corner(0, 0), corner(8, 0), corner(8, 4), corner(0, 4))
-    line = lambda t: F.struct(t["text"].alias("text"), polygon.alias("polygon"), F.lit(0.25).alias("confidence"))
-    texts = _texts(_turns(spark, sf), F.create_map(F.lit("conv"), F.array(F.struct(F.transform("turns", line).alias("text_lines")))))
+    polygon = F.array(corner(8, 0), corner(16, 0), corner(16, 4), corner(8, 4))
+    line = lambda t: F.struct(t["text"].alias("text"), polygon.alias("polygon"), (t["turn"] * 0.1).alias("confidence"))
+    lines = F.transform("turns", line).alias("text_lines")
+    kind = F.col("page_id").cast("long") % 3
+    shapes = F.when(kind == 0, F.to_json(F.create_map(F.lit("conv_page_007"), F.array(F.struct(lines))))).when(kind == 1, F.to_json(F.array(F.struct(lines)))).otherwise(F.to_json(F.struct(F.lit("x").alias("page"), lines)))
     sizes = spark.createDataFrame([], "page_id string, width int, height int")
-    d = vendors.annotations(texts, sizes)
+    d = vendors.annotations(_turns(spark, sf).select("page_id", shapes.alias("value")), sizes)
     p = F.col("document.predictions")[0]
-    return d.select("page_id", F.size(p["result"]).cast("long").alias("results"), p["score"].alias("score"), sinks.annotation_name(F.col("doc_id"), F.col("page_no")).alias("file"))
+    texts = F.array_join(F.flatten(F.transform(F.filter(p["result"], lambda r: r["type"] == "textarea"), lambda r: r["value"]["text"])), "|")
+    return d.select("page_id", F.size(p["result"]).cast("long").alias("results"), p["score"].alias("score"), sinks.annotation_name(F.col("doc_id"), F.col("page_no")).alias("file"), F.md5(texts).alias("digest"), p["result"][0]["value"]["width"].alias("width"))
 
 
 @register("q_parser", "SELECT CAST(c_custkey AS VARCHAR) AS page_id, c_name AS name, CAST(2 AS BIGINT) AS skills, 'C' || (c_custkey % 5) AS location, c_name || chr(10) || 'x' AS original_text FROM customer")
@@ -177,10 +185,12 @@ def q_flatten_json(spark, sf):
     return table(spark, sf, "events").select("event_id", U.flatten_json(nested).alias("text"))
 
 
-@register("q_markdown_pages", r"SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(count(*) AS BIGINT) AS lines FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS l FROM conversations) WHERE trim(l) <> '' GROUP BY conv_id")
+@register("q_markdown_pages", r"SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(count(*) AS BIGINT) AS lines, md5(string_agg(trim(l), '|' ORDER BY turn, i)) AS digest FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations) WHERE trim(l) <> '' GROUP BY conv_id")
 def q_markdown_pages(spark, sf):
-    pages = F.transform("turns", lambda t: F.struct(t["turn"].alias("index"), F.concat(F.lit("# "), t["text"]).alias("markdown")))
-    return _turns(spark, sf).select("page_id", F.size(T.markdown_lines(pages)).cast("long").alias("lines"))
+    """T-13: pages come in any order and are read by index."""
+    pages = F.transform(F.reverse("turns"), lambda t: F.struct(t["turn"].alias("index"), F.concat(F.lit("## "), t["text"]).alias("markdown")))
+    lines = T.markdown_lines(pages)
+    return _turns(spark, sf).select("page_id", F.size(lines).cast("long").alias("lines"), F.md5(F.array_join(lines, "|")).alias("digest"))
 
 
 @register("q_validated", "SELECT CAST(count(*) FILTER (event_id % 4 = 0) AS BIGINT) AS ok, CAST(count(*) FILTER (event_id % 4 = 1) AS BIGINT) AS not_text, CAST(count(*) FILTER (event_id % 4 = 2) AS BIGINT) AS not_json, CAST(count(*) FILTER (event_id % 4 = 3) AS BIGINT) AS blank FROM events")
@@ -212,12 +222,13 @@ def q_token_budget(spark, sf):
     return d.select("doc_id", F.size("names").cast("long").alias("pages"), "num_predict")
 
 
-@register("q_model_inputs", "SELECT l_orderkey, CAST(count(*) + 2 AS INTEGER) AS ids, CAST(sum(l_linenumber) - count(*) - 200 AS BIGINT) AS labels FROM lineitem GROUP BY l_orderkey")
+@register("q_model_inputs", "SELECT l_orderkey, CAST(m + 2 AS INTEGER) AS ids, n > 510 AS clipped, CAST(m * (m - 1) / 2 - 200 - 100 * (n - m) AS BIGINT) AS labels FROM (SELECT l_orderkey, 60 * count(*) AS n, least(510, 60 * count(*)) AS m FROM lineitem GROUP BY l_orderkey)")
 def q_model_inputs(spark, sf):
-    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("n"))
-    boxes = F.transform("n", lambda x: F.array(x, x, x, x))
-    labels = K.training_labels(F.col("n"), F.size("n") + 2)
-    return pages.select("l_orderkey", F.size(K.model_inputs(boxes)["input_ids"]).alias("ids"), F.aggregate(labels, F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"))
+    """K-18: pages with more boxes than the model takes are cut, their further targets masked."""
+    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.flatten(F.array_repeat(F.collect_list("l_linenumber"), 60)).alias("n"))
+    inputs = K.model_inputs(F.transform("n", lambda x: F.array(x, x, x, x)))
+    labels = K.training_labels(F.sequence(F.lit(1), F.size("n")), F.size("n") + 2)
+    return pages.select("l_orderkey", F.size(inputs["input_ids"]).alias("ids"), inputs["clipped"].alias("clipped"), F.aggregate(labels, F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"))
 
 
 @register("q_paired_inputs", "SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(count(*) FILTER (turn % 2 = 0) AS BIGINT) AS pairs FROM conversations GROUP BY conv_id")

@@ -1,11 +1,15 @@
 """Queries that run the normal forms, against plain Python."""
 
+import hashlib
+import math
 import re
+import string
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+from folioscore.operators import edit_distance as D
 from folioscore.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -34,20 +38,82 @@ def test_sections(spark):
     assert {(r["conv_id"], r["section"]): r["gt"] for r in rows_of(spark, "q_gt_section_export_exact")} == {k: norm(" ".join(v)) for k, v in sections.items()}
     want = []
     for r in turns:
-        p = norm(r["text"])
-        g = "" if r["turn"] % 3 == 0 else p
-        if p not in ("", "na", "none", "null"):
-            want.append((r["conv_id"], r["turn"], 1.0 if g == "" else 0.0, len(g.split()), len(p.split())))
+        n = norm(r["text"])
+        g, p = "" if r["turn"] % 3 == 0 else n, "" if r["turn"] % 4 == 2 else n.replace(" le ", " ")
+        if g or p:
+            want.append((r["conv_id"], r["turn"], 1.0 if not g else (len(g.split()) - len(p.split())) / len(g.split()), len(g.split()), len(p.split())))
     assert sorted(map(tuple, rows_of(spark, "q_empty_policy_exact"))) == sorted(want)
+    assert 0 < sum(0 < w[2] < 1 for w in want)
 
 
 def test_section_report(spark, tmp_path):
     """One accented text: its pieces were words of their own without the normal form."""
-    spark.createDataFrame([(1, 0, "user", "\u00c9tion cr\u00e8me the \u00e9t\u00e9")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, 0, "user", "\u00c9tion cr\u00e8me le \u00e9t\u00e9")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     (row,) = rows_of(spark, "q_section_report", str(tmp_path))
     assert "0.25" in str(row)
 
 
+def garbled(text):
+    return re.sub(r"\.", "", text.replace("in", "m").replace("the", "teh").replace("er ", "er"))
+
+
+PUNCT = string.punctuation + "\u00bf\u00a1\u201c\u201d\u00ab\u00bb\u2014\u2013\u00b7\u2026"
+
+
+def t01(text, punct=True):
+    t = re.sub(r"\(cid:\d+\)", "", unicodedata.normalize("NFKC", text))
+    t = re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", t).replace("\n", " ").lower()
+    t = t.translate(str.maketrans(dict.fromkeys(PUNCT, " "))) if punct else t
+    return re.sub(r"\s+", " ", t).strip()
+
+
+def test_documents_against_plain_python(spark):
+    """The queries over whole documents that SQL has no distances for."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    wers, cers, distances, counts = (defaultdict(list) for _ in range(4))
+    for r in docs:
+        g, h = r["text"], garbled(r["text"])
+        gw, hw, gc, hc = t01(g).split(), t01(h).split(), t01(g, False).replace(" ", ""), t01(h, False).replace(" ", "")
+        wers[r["lang"]].append(D.levenshtein(gw, hw) / len(gw) if gw else float(bool(hw)))
+        cers[r["lang"]].append(D.levenshtein(gc, hc) / len(gc) if gc else float(bool(hc)))
+        distances[r["lang"]].append(D.damerau(gw, hw))
+        grams = lambda t, n: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+        counts[r["lang"]].append([len(hw), len(gw)] + [x for n in range(1, 5) for x in (sum((grams(gw, n) & grams(hw, n)).values()), max(0, len(hw) - n + 1))])
+    got = {r["lang"]: r for r in rows_of(spark, "q_wer_by_lang", small)}
+    assert set(got) == set(wers)
+    for lang, r in got.items():
+        assert r["wer"] == pytest.approx(sum(wers[lang]) / len(wers[lang]), abs=2e-6) and r["cer"] == pytest.approx(sum(cers[lang]) / len(cers[lang]), abs=2e-6)
+    assert {r["lang"]: r["distance"] for r in rows_of(spark, "q_ndld_word", small)} == {k: sum(v) for k, v in distances.items()}
+    marks = {r["lang"]: r for r in rows_of(spark, "q_bleu_documents", small)}
+    for lang, rows in counts.items():
+        total = [sum(x) for x in zip(*rows)]
+        p = [100 * total[2 * n] / total[2 * n + 1] for n in range(1, 5)]
+        bp = 1.0 if total[0] >= total[1] else math.exp(1 - total[1] / total[0])
+        assert [marks[lang][f"p{n}"] for n in range(1, 5)] == pytest.approx(p) and marks[lang]["score"] == pytest.approx(bp * math.exp(sum(map(math.log, p)) / 4))
+
+
+def test_html_text_against_a_parser(spark):
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out = []
+
+        def handle_data(self, data):
+            self.out.append(data.strip())
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r["page_id"]: (r["texts"], r["digest"]) for r in rows_of(spark, "q_html_text", "/root/testdata/sf0.001")}
+    for r in pages:
+        parser = Texts()
+        parser.feed(r["html"])
+        parser.close()
+        texts = [x for x in parser.out if len(x) > 1 or x.isdigit()]
+        assert got[r["page_id"]] == (len(texts), hashlib.md5("|".join(texts).encode()).hexdigest())
+
+
 @pytest.mark.parametrize(("name", "column", "want"), [("q_wer_by_lang", "wer", 0.333333), ("q_ndld_word", "ndld", 0.333333), ("q_bleu_documents", "p1", 200 / 3)])
 def test_compatibility_form(spark, tmp_path, name, column, want):
     """NFKC makes the lone diaeresis a space and a mark: three words, one of them misread."""

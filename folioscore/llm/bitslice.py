@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import grid
 
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 32_768
 GROUP_QUERIES = 512
 #: Largest quantised component, and largest score.
 LARGEST = 1 << 62

@@ -1,17 +1,18 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates at an exact Jaccard similarity: the pipeline's near-dedup.
 
 Shingles: those of ``simhash``, as a set of their XXH64 values. Texts with the same
 set share a key (``fp``), texts without a word the key 0; the join runs over keys.
 
-Links: two sets of which at least ``LEAST`` (a fraction) of the union is common. 64
-fingerprint bits can't propose such pairs: at similarity 0.8 they differ in ten bits
-on average and in over 16 now and then, which is as near as unrelated texts come in a
-large corpus. Candidates are found by min-hashes instead: ``BANDS`` bands of ``ROWS``
-minima each, and sets that agree on a band are candidates. A pair at 0.8 agrees on
-none with probability (1 - 0.8^5)^48 = 5e-9, a more similar one more rarely still.
+Links: two sets of which at least ``LEAST`` (a fraction) of the union is common. The
+trie's self-join of ``simhash`` proposes all pairs of fingerprints within ``BUDGET`` bits.
+That can't propose every link: at similarity 0.8 two fingerprints of 64 bits differ in
+ten bits on average and in over 16 now and then, which is as near as unrelated texts come
+in a large corpus. So min-hashes propose besides: ``BANDS`` bands of ``ROWS`` minima each,
+and sets that agree on a band are candidates. A pair at 0.8 agrees on none with
+probability (1 - 0.8^5)^48 = 5e-9, a more similar one more rarely still.
 
-A band's candidates send no pairs but a star, so a group costs no more rows than it
-has members. Their components are only groups within which links are sought: each
+Candidates send no pairs but stars, so a group costs no more rows than it has members.
+Their components are only groups within which links are sought: each
 group's sets are brought together and every pair of them is counted out exactly. A
 group of more than ``GROUP`` shingles is split into parts, and each pair of parts is a
 unit of its own. Links go out as stars too, and are joined to components as in
@@ -30,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
-from .simhash import Forest, components, one_of_each, row_key, shingle_hashes
+from .simhash import Forest, components, fingerprint_of, one_of_each, row_key, shingle_hashes, star_edges
 
 LEAST = (4, 5)
+BUDGET = 4
 BANDS, ROWS = 48, 5
 GROUP = 500_000
 #: Bits of the map that spares most other texts their hashing; its size is fixed.
@@ -66,16 +68,22 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, width: int) -> DataFrame:
-    """key (``row_key``), fp (key of the text's set), n (size of it) and bands of every row."""
+    """key (``row_key``), fp (key of the text's set), n (size of it), bands and sim (SimHash
+    fingerprint) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
-            cols = [pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["key", "fp", "n", "bands"])
+            rows = []
+            for t in batch.column(1).cast(pa.binary()):
+                hashes = shingle_hashes(t.as_py() or b"", width)
+                s = np.unique(hashes)
+                rows.append((set_key(s), len(s), bands(s), fingerprint_of(hashes)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["key", "fp", "n", "bands", "sim"])
 
     rows = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key struct<doc_id:long,h:long,row:long>, fp long, n long, bands array<long>")
+    return rows.mapInArrow(run, "key struct<doc_id:long,h:long,row:long>, fp long, n long, bands array<long>, sim long")
 
 
 def text_hash():
@@ -102,6 +110,17 @@ def band_edges(rows: DataFrame) -> DataFrame:
     return keys.repartition(n, "key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def trie_edges(rows: DataFrame) -> DataFrame:
+    """(a, b) stars over the keys whose fingerprints the trie links, and over those of one
+    fingerprint."""
+    keys = staged(rows.select("fp", "sim").distinct(), "keys")
+    least = staged(keys.groupBy("sim").agg(F.min("fp").alias("least")), "least")
+    same = keys.join(least, "sim").filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    of = lambda c: least.select(F.col("sim").alias(c), F.col("least").alias(f"_{c}"))
+    linked = star_edges(least.select(F.col("sim").alias("fp")), BUDGET).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.unionByName(linked)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(h, set) of the texts whose hash is in ``wanted`` (h long) and, by the map's size, a few others."""
     at = F.shiftrightunsigned("h", 20).bitwiseAND(_MAP - 1)
@@ -178,7 +197,7 @@ def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id's (null ids only where
     there is no other), of repeated ids the text with the smallest hash."""
     rows = staged(prints(docs, width), "prints")
-    near = components(band_edges(rows))
+    near = components(trie_edges(rows).unionByName(band_edges(rows)))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
     one = rows.groupBy("fp").agg(F.min("key.h").alias("h"), F.min("n").alias("n"))
     groups = staged(one.join(near.withColumnRenamed("node", "fp"), "fp"), "groups")

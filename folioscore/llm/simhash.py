@@ -65,7 +65,10 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, width: int) -> int:
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)

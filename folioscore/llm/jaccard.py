@@ -36,7 +36,7 @@ from .simhash import Forest, components, fingerprint_of, one_of_each, row_key, s
 LEAST = (4, 5)
 BUDGET = 4
 BANDS, ROWS = 48, 5
-GROUP = 500_000
+GROUP = 100_000
 #: Bits of the map that spares most other texts their hashing; its size is fixed.
 _MAP = 1 << 23
 _SLICE = 2048

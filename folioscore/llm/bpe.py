@@ -26,6 +26,7 @@ equal doc_ids or texts and extra columns change nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -125,15 +126,47 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def write_dictionaries(docs: DataFrame, tokenizer_path: str) -> str:
-    """Write each block's dictionary (word, ids, piece) and return the folder."""
+    """Write each block's dictionary (word, ids, piece) and return the folder. A file is moved
+    to its block's folder when it is whole; one of a task that ran again says the same again."""
     spark = docs.sparkSession
     out = new_path(spark, "block-dictionaries")
     words = block_words(docs, tokenizer_path).groupBy("word").agg(F.collect_list("block").alias("blocks"))
     found = word_table(words, tokenizer_path).select(F.explode("blocks").alias("block"), "word", "ids", "piece")
-    found.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").write.partitionBy("block").parquet(out)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done = None, [], []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            block = table["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and block[lo] != now:
+                    done.append(_write_dictionary(out, now, held))
+                    held = []
+                now = int(block[lo])
+                held.append(table.slice(lo, hi - lo).drop_columns(["block"]))
+        if held:
+            done.append(_write_dictionary(out, now, held))
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["words"])
+        tidy()
+
+    found.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(write, "words long").agg(F.sum("words")).collect()
     return out
 
 
+def _write_dictionary(folder: str, block: int, parts: list[pa.Table]) -> int:
+    import pyarrow.parquet as pq
+
+    store, root = filesystem(folder)
+    place, name = f"{root}/block={block}", f"{uuid.uuid4().hex}.parquet"
+    store.create_dir(place, recursive=True)
+    table = pa.concat_tables(parts)
+    with store.open_output_stream(f"{place}/.{name}.part") as f:
+        pq.write_table(table, f)
+    store.move(f"{place}/.{name}.part", f"{place}/{name}")
+    return len(table)
+
+
 @lru_cache(maxsize=2)
 def _piece_list(tokenizer_path: str) -> dict[int, bytes]:
     return {i: piece_bytes(p) for p, i in load_tokenizer(tokenizer_path).get_vocab(with_added_tokens=True).items()}

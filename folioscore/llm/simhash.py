@@ -19,9 +19,9 @@ pair of parts is a unit of its own, so a unit's size is bounded. A unit sends no
 pairs but a star for each of its components (every member to the smallest), so a
 dense group costs no more rows than it has members. Components are then found by
 alternating large-star and small-star steps over those edges, each step written
-to the shared folder. Minima are written before they are joined to their members:
-both sides are plain shuffles then, so that the members of a hub (or the copies of one
-fingerprint) are split among tasks.
+to the shared folder. Minima are dealt or written before they are joined to their
+members: both sides are plain shuffles then, so that the members of a hub (or the copies of
+one fingerprint) are split among tasks.
 
 Rows: a null text has no words. A null doc_id can't be a component's smallest id
 unless nothing else is there. Repeated rows are each returned. Extra columns are
@@ -228,6 +228,12 @@ def star_edges(fps: DataFrame, budget: int) -> DataFrame:
     return filled.repartition(n, *unit).sortWithinPartitions(*unit).select(F.col("t").cast("int"), "key", "i", "j", "fp").mapInArrow(run, "a long, b long")
 
 
+def _spread(minima: DataFrame) -> DataFrame:
+    """``minima`` (a, m) dealt by m: a join by a shuffles them once more, plainly, where it
+    would otherwise take the aggregate's own partitions, which can't be split."""
+    return minima.repartition(shuffle_partitions(minima.sparkSession), "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b long) but the roots: the smallest
     node that chains of edges reach. Large-star and small-star steps in turn, until
@@ -236,13 +242,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
-        large = staged(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "edges")
-        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        low = _spread(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(_spread(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         old, edges = edges, staged(small, "edges")
-        for done in (old, low, large, least):
-            dropped(done)
+        dropped(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -229,9 +229,9 @@ def star_edges(fps: DataFrame, budget: int) -> DataFrame:
 
 
 def _spread(minima: DataFrame) -> DataFrame:
-    """``minima`` (a, m) dealt by m: a join by a shuffles them once more, plainly, where it
-    would otherwise take the aggregate's own partitions, which can't be split."""
-    return minima.repartition(shuffle_partitions(minima.sparkSession), "m")
+    """``minima`` (a, m) dealt by a hash of a of its own: a join by a shuffles them once more,
+    plainly, where it would otherwise take the aggregate's partitions, which can't be split."""
+    return minima.repartition(shuffle_partitions(minima.sparkSession), F.xxhash64("a"))
 
 
 def components(edges: DataFrame) -> DataFrame:

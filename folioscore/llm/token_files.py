@@ -40,6 +40,8 @@ _LEN = struct.Struct("<QI")
 _CRC = struct.Struct("<I")
 INDEX_SCHEMA = "doc_id long, shard int, path string, record long, offset long, length long, n_tokens long"
 READ_BYTES = 8 << 20
+#: Texts encoded together: the more, the fewer times a word is looked up.
+GROUP_BYTES = 2 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -116,7 +118,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str | None = No
         sink, offset, record = None, 0, 0
         try:
             for batch in batches:
-                for lo, hi in text_groups(batch.column(1)):
+                for lo, hi in text_groups(batch.column(1), GROUP_BYTES):
                     ids, at = enc.encode(batch.column(1).slice(lo, hi - lo))
                     rows = []
                     for k, doc_id in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):

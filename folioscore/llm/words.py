@@ -23,7 +23,7 @@ LETTER, DIGIT, SIGN, SPACE, OUTSIDE = range(5)
 #: Texts are cut in groups of about so many bytes, which bounds the arrays' size.
 GROUP_BYTES = 1 << 20
 #: Distinct words that one generation of an encoder's memory holds.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -133,12 +133,12 @@ def _cut(data: bytes, text_at: np.ndarray, specials: tuple[str, ...]) -> tuple[n
     return np.append(at[starts], len(data)), np.searchsorted(starts, text_char)
 
 
-def text_groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``GROUP_BYTES`` each."""
+def text_groups(texts: pa.Array, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``group_bytes`` each."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     ends, lo = np.cumsum(sizes), 0
     while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GROUP_BYTES)))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + group_bytes)))
         yield lo, hi
         lo = hi
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitslice, bpe, edits, mixing, quality, quotes, secrets, simhash, token_files
+from . import ann, bitslice, bpe, content_sort, divergence, edits, mixing, quality, quotes, secrets, simhash, token_files
 from .common import staged, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,8 +73,16 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=3, ranks=200)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op4_token_counts, op5_quality, op6_exact_top_k, op7_secrets, op8_simhash, op9_mixing, op10_quotation_linking)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe_encode_decode, op3_nearest_neighbours, op4_token_counts, op5_quality, op6_exact_top_k, op7_secrets, op8_simhash, op9_mixing, op10_quotation_linking, op11_divergence, op12_exact_dedup)}
 
 
 OP6_SQL = """
@@ -125,5 +133,32 @@ FROM c LEFT JOIN links ON c.conv_id = links.conv_id AND c.turn = links.turn LEFT
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+x AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT *, CAST(1 + (1000000000 * CAST(n + 1 AS HUGEINT)) // CAST(sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source) AS HUGEINT) AS BIGINT) AS p FROM x),
+l AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY lang, term),
+q AS (SELECT lang, term, CAST(1 + (1000000000 * CAST(n + 1 AS HUGEINT)) // CAST(sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang) AS HUGEINT) AS BIGINT) AS q FROM l),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+alone AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM alone))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c FROM documents),
+k AS (SELECT doc_id, c, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY c) AS group_size FROM d WINDOW w AS (PARTITION BY c ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(c) AS text_sha256 FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": OP6_SQL, "op10_quotation_linking": OP10_SQL}
+    return {"op6_exact_top_k": OP6_SQL, "op10_quotation_linking": OP10_SQL, "op11_divergence": OP11_SQL, "op12_exact_dedup": OP12_SQL}

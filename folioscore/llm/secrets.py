@@ -143,24 +143,27 @@ def _per_encoding(enc: Column, values: dict[str, object]) -> Column:
 
 def measured(span: Column) -> Column:
     """The span with n, encoding, each character's number in its alphabet (xs) and the sum
-    of squared counts (sq)."""
-    enc = encoding(span["m"])
-    folded = F.when(enc == "hex", F.lower(span["m"])).otherwise(span["m"])
-    alphabet = _per_encoding(enc, {k: a for k, (_, a) in ALPHABETS.items()})
-    chars = F.split(folded, "")
-    xs = F.transform(chars, lambda c: (F.call_function("instr", alphabet, c) - 1).cast("double"))
-    sq = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow((F.length(folded) - F.length(F.replace(folded, c, F.lit("")))).cast("double"), F.lit(2.0)))
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["m"].alias("m"), enc.alias("enc"), F.length(span["m"]).cast("double").alias("n"), _per_encoding(enc, {k: float(len(a)) for k, (_, a) in ALPHABETS.items()}).alias("size"), xs.alias("xs"), sq.alias("sq"))
+    of squared counts (sq). What doesn't depend on a character is made once for the span."""
+
+    def numbered(enc: Column, alphabet: Column, folded: Column) -> Column:
+        chars = F.split(folded, "")
+        xs = F.transform(chars, lambda c: (F.call_function("instr", alphabet, c) - 1).cast("double"))
+        sq = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow((F.length(folded) - F.length(F.replace(folded, c, F.lit("")))).cast("double"), F.lit(2.0)))
+        size = _per_encoding(enc, {k: float(len(a)) for k, (_, a) in ALPHABETS.items()})
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["m"].alias("m"), enc.alias("enc"), F.length(span["m"]).cast("double").alias("n"), size.alias("size"), xs.alias("xs"), sq.alias("sq"))
+
+    letters = {k: a for k, (_, a) in ALPHABETS.items()}
+    fold = lambda enc: F.when(enc == "hex", F.lower(span["m"])).otherwise(span["m"])
+    return let(encoding(span["m"]), lambda enc: let(_per_encoding(enc, letters), lambda alphabet: let(fold(enc), lambda folded: numbered(enc, alphabet, folded))))
 
 
 def summed(s: Column) -> Column:
     """Sums over a measured span's numbers: of deviations' squares (var) and neighbours'
     products (lag), runs about the middle, and how many are above it."""
-    mean = F.aggregate(s["xs"], F.lit(0.0), lambda a, x: a + x) / s["n"]
     begin = F.struct(*[F.lit(0.0).alias(k) for k in ("var", "lag", "runs", "high")], F.lit(None).cast("double").alias("last"))
 
-    def step(a: Column, x: Column) -> Column:
-        high, before = x >= s["size"] / 2, a["last"] >= s["size"] / 2
+    def step(a: Column, x: Column, mean: Column, middle: Column) -> Column:
+        high, before = x >= middle, a["last"] >= middle
         return F.struct(
             (a["var"] + (x - mean) * (x - mean)).alias("var"),
             (a["lag"] + F.coalesce((x - mean) * (a["last"] - mean), F.lit(0.0))).alias("lag"),
@@ -169,7 +172,8 @@ def summed(s: Column) -> Column:
             x.alias("last"),
         )
 
-    return F.aggregate(s["xs"], begin, step)
+    mean = F.aggregate(s["xs"], F.lit(0.0), lambda a, x: a + x) / s["n"]
+    return let(F.struct(mean.alias("mean"), (s["size"] / 2).alias("middle")), lambda c: F.aggregate(s["xs"], begin, lambda a, x: step(a, x, c["mean"], c["middle"])))
 
 
 def battery(s: Column, t: Column) -> Column:

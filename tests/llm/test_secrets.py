@@ -176,3 +176,15 @@ def test_many_spans_in_one_text(spark):
     out = {r["doc_id"]: r["text"] for r in S.redacted(df).collect()}
     assert out == {0: "\n".join(["é [SECRET]"] * 100_000), 1: "plain"}
     assert time.time() - began < 120
+
+
+def test_work_follows_a_runs_length(spark):
+    """A million random characters in one run are one span, found in seconds."""
+    import time
+
+    r, signs = random.Random(3), S.ALPHABETS["base64"][1]
+    for n, most in ((100_000, 60), (1_000_000, 120)):
+        began = time.time()
+        text = "image: " + "".join(r.choices(signs, k=n)) + " end"
+        (row,) = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert [tuple(s) for s in row["spans"]] == [("random", 7, 7 + n)] and time.time() - began < most

@@ -7,11 +7,11 @@ with N its counts' sum and V the number of kept terms; the divergence of p from
 floor((p - q)^2 / q). All of it is exact.
 
 Counting. Each task adds up the terms of its own rows (``local_counts``), which are
-written once. From these, count-min sketches of document frequencies are filled by each
+written once, a row for each term. From these, count-min sketches of document frequencies are filled by each
 task and merged. Their cells stop at ``least``, so two bits hold one, and a sum of cells
 never falls below a term's document frequency: a term whose estimate is below ``least``
 is impossible, and its rows go before anything is shuffled. The rest are counted exactly.
-The sketch is sized by an estimate of the number of terms, to at most ``ROWS * WIDEST``
+The sketch is sized by the number of those rows, to at most ``ROWS * WIDEST``
 cells (25 MB): beyond that it discards less and the counts stay exact.
 
 Pairs. With z(s) for a group's p of a term it doesn't have, the sum of f(p_s, p_t) over
@@ -43,11 +43,12 @@ LEAST, RANKS, PARTS = 3, 200, 1_000_000_000
 #: Of the sketch: rows, cells of a row at least and at most, and cells of a block.
 ROWS, NARROWEST, WIDEST, BLOCK = 3, 1 << 16, 1 << 25, 1 << 16
 #: Terms that a task counts before it writes them, and bytes of a text taken at once.
-HELD, PIECE = 300_000, 1 << 20
+HELD, PIECE = 500_000, 1 << 20
 #: Copies of the groups of a language, so that its histograms are dealt to so many tasks.
 SALT = 32
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+_OWN = pa.struct([("source", pa.string()), ("n", pa.int64())])
+_COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("own", pa.list_(_OWN))])
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
@@ -60,34 +61,42 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def local_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents, added up inside a task."""
+def _rows(lang: str, docs: Counter, own: dict[str, Counter]) -> pa.RecordBatch:
+    """A row for each term of a language that a task has counted."""
+    at = {w: i for i, w in enumerate(docs)}
+    sizes = [len(n) for n in own.values()]
+    term = np.fromiter((at[w] for n in own.values() for w in n), np.int64, sum(sizes))
+    count = np.fromiter((c for n in own.values() for c in n.values()), np.int64, sum(sizes))
+    order = np.argsort(term, kind="stable")
+    source = pa.array(list(own)).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[order]))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(at)))))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([source, pa.array(count[order])], fields=list(_OWN)))
+    words = pa.array(list(at), pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), words, pa.array(list(docs.values()), pa.int64()), lists], schema=_COUNTS)
+
 
-    def rows(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            words = list(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words)), pa.array([source] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[w] for w in words], pa.int64())], schema=_COUNTS
-            )
+def local_counts(docs: DataFrame) -> DataFrame:
+    """(lang, term, docs, own): documents and each source's occurrences, added up inside a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                n, documents = held.setdefault((lang, source), (Counter(), Counter()))
-                before, own = len(n), set()
+                documents, own = held.setdefault(lang, (Counter(), {}))
+                n = own.setdefault(source, Counter())
+                before, seen = len(n), set()
                 for words in terms(text.as_py()):
                     n.update(words)
-                    own.update(words)
-                documents.update(own)
+                    seen.update(words)
+                documents.update(seen)
                 size += len(n) - before
                 if size >= HELD:
-                    yield from rows(held)
+                    yield from (_rows(x, *held[x]) for x in held if held[x][0])
                     held, size = {}, 0
-        yield from rows(held)
+        yield from (_rows(x, *held[x]) for x in held if held[x][0])
 
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*named).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return docs.select(*named).mapInArrow(run, "lang string, term string, docs long, own array<struct<source:string,n:long>>")
 
 
 def cells(h: np.ndarray, width: int) -> np.ndarray:
@@ -153,12 +162,10 @@ def estimates(bits: bytes, width: int, h: np.ndarray) -> np.ndarray:
 
 def possible(counts: DataFrame, least: int = LEAST, width: int | None = None) -> DataFrame:
     """The rows of ``counts`` whose term may be in ``least`` (at most 3) documents of its language."""
-    spark = counts.sparkSession
     hashed = counts.withColumn("h", F.xxhash64("lang", "term"))
     if width is None:
-        distinct = hashed.agg(F.approx_count_distinct("h").alias("v")).first()["v"]
-        width = min(WIDEST, max(NARROWEST, 1 << (4 * distinct).bit_length()))
-    shared = spark.sparkContext.broadcast(sketch(hashed, width, least))
+        width = min(WIDEST, max(NARROWEST, 1 << counts.count().bit_length()))
+    shared = counts.sparkSession.sparkContext.broadcast(sketch(hashed, width, least))
 
     @F.pandas_udf("boolean")
     def stays(h):
@@ -171,9 +178,12 @@ def possible(counts: DataFrame, least: int = LEAST, width: int | None = None) ->
 
 def kept_terms(local: DataFrame, least: int = LEAST, width: int | None = None) -> DataFrame:
     """(lang, source, term, n, total, leads): exact occurrences in the source and in the
-    language, of the terms in at least ``least`` documents of it; one source's row leads."""
-    exact = possible(local, least, width).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    language, of the terms in at least ``least`` documents of it; one source's row leads.
+    A row for each term and task is shuffled, once: sums and windows are by the same key."""
     of_term = Window.partitionBy("lang", "term")
+    dealt = possible(local, least, width).repartition("lang", "term")
+    each = dealt.select("lang", "term", F.posexplode("own").alias("i", "o"), "docs").select("lang", "term", "o.*", F.when(F.col("i") == 0, F.col("docs")).otherwise(0).alias("docs"))
+    exact = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     everywhere = exact.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("total"), F.sum("docs").over(of_term).alias("docs"), (F.col("source") == F.min("source").over(of_term)).alias("leads"))
     return everywhere.filter(F.col("docs") >= least).drop("docs")
 
@@ -181,7 +191,8 @@ def kept_terms(local: DataFrame, least: int = LEAST, width: int | None = None) -
 def share(count: Column, size: Column, v: Column) -> Column:
     """1 + floor(10^9 (count + 1) / (size + v)), of whole numbers of any size."""
     whole = lambda c: c.cast("decimal(20,0)")
-    return 1 + F.call_function("div", whole(count + 1) * F.lit(PARTS).cast("decimal(10,0)"), whole(size + v))
+    wide = F.call_function("div", whole(count + 1) * F.lit(PARTS).cast("decimal(10,0)"), whole(size + v))
+    return 1 + F.when(count < PARTS, F.call_function("div", (count + 1) * F.lit(PARTS).cast("long"), size + v)).otherwise(wide)
 
 
 def apart(p: str, q: str) -> str:

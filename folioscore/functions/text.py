@@ -111,6 +111,11 @@ def html_table_texts(html: Column) -> Column:
     return U.html_text_nodes(html)
 
 
+def html_table_texts_of_each(htmls: Column) -> Column:
+    """T-09, of each text of an array."""
+    return U.html_text_nodes_of_each(htmls)
+
+
 def edge_trimmed_words(text: Column) -> Column:
     """T-10: heading signs off the text's start, words without signs at their ends."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^#+\s*", "")

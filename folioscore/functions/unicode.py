@@ -93,6 +93,12 @@ def html_text_nodes(s: pd.Series) -> pd.Series:
     return s.map(lambda t: [x for x in html_texts(t) if len(x) > 1 or x.isdigit()])
 
 
+@F.pandas_udf(T.ArrayType(_TEXTS))
+def html_text_nodes_of_each(s: pd.Series) -> pd.Series:
+    """``html_text_nodes`` of each of a row's texts; none for null ones."""
+    return s.map(lambda texts: None if texts is None else [[x for x in html_texts(t) if len(x) > 1 or x.isdigit()] for t in texts])
+
+
 def _strict(text: str | None) -> bool:
     try:
         json.loads(text)

@@ -20,13 +20,16 @@ SECTIONS = {
     "EMP-DESC": "work_experience_description",
 }
 POLICIES = ("skip", "soft", "penalize")
-#: The prediction schema; every field has an empty default.
-RESUME = (
-    "struct<personal_info:struct<full_name:string,email:string,phone:string,location:string,github:string,linkedin:string,address:string,identification_number:string>,"
-    "skills:array<string>,work_experience:array<struct<company:string,role:string,start_date:string,end_date:string,employment_description:string,location:string>>,"
-    "education:struct<degrees:array<struct<institution:string,degree:string,start_date:string,end_date:string,location:string>>,"
-    "certifications:array<struct<name:string,institution:string,date_obtained:string,license:string>>>>"
-)
+#: The prediction schema: a name stands for a text, a list of one for any number of them. Every field has an empty default.
+RESUME = {
+    "personal_info": dict.fromkeys(("full_name", "email", "phone", "location", "github", "linkedin", "address", "identification_number"), "text"),
+    "skills": ["text"],
+    "work_experience": [dict.fromkeys(("company", "role", "start_date", "end_date", "employment_description", "location"), "text")],
+    "education": {
+        "degrees": [dict.fromkeys(("institution", "degree", "start_date", "end_date", "location"), "text")],
+        "certifications": [dict.fromkeys(("name", "institution", "date_obtained", "license"), "text")],
+    },
+}
 
 
 def gt_texts(items: DataFrame, key: list[str], page: str, section: str, order: str, text: str, exact: bool = True) -> DataFrame:
@@ -138,21 +141,56 @@ def compare_json_directories(gt_files: DataFrame, pred_files: DataFrame, empty_g
     return files, section_report(files.withColumnsRenamed({"avg_wer": "wer", "avg_semantic_similarity": "similarity"}), ["name"])
 
 
-def validated(raw: DataFrame, value: str = "value") -> DataFrame:
-    """G-23: ``raw`` with ``data`` (``RESUME``) and ``error``. Text that isn't one JSON value,
-    or has a number or flag where the schema has a text, is an error; what is missing is empty."""
-    text = F.col(value)
-    loose = F.from_json(text, RESUME, {"mode": "PERMISSIVE"})
-    odd = F.coalesce(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""').rlike(r"[:\[,]\s*(?:-?\d|true|false)"), F.lit(False))
-    blank = F.coalesce(F.trim(text) == "", F.lit(True))
-    error = F.when(blank, "blank").when(~U.is_strict_json(text), "not JSON").when(odd, "not a text").when(~F.ltrim(text).startswith("{"), "not an object")
-    s = lambda c: F.coalesce(c, F.lit(""))
-    filled = lambda row, names: F.struct(*[s(row[n]).alias(n) for n in names])
-    many = lambda col, names: F.coalesce(F.transform(col, lambda x: filled(x, names)), F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"))
-    data = F.struct(
-        filled(loose["personal_info"], ("full_name", "email", "phone", "location", "github", "linkedin", "address", "identification_number")).alias("personal_info"),
-        F.coalesce(loose["skills"], F.array().cast("array<string>")).alias("skills"),
-        many(loose["work_experience"], ("company", "role", "start_date", "end_date", "employment_description", "location")).alias("work_experience"),
-        F.struct(many(loose["education"]["degrees"], ("institution", "degree", "start_date", "end_date", "location")).alias("degrees"), many(loose["education"]["certifications"], ("name", "institution", "date_obtained", "license")).alias("certifications")).alias("education"),
-    )
-    return raw.withColumn("error", error).withColumn("data", F.when(F.col("error").isNull(), data))
+_FAULTS = "array<struct<path:string,type:string>>"
+#: An escaped half of a surrogate pair without its other half, which no text can hold.
+_HALF = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
+
+
+def sql_type(node: str | list | dict) -> str:
+    """The type of a schema like ``RESUME``."""
+    if isinstance(node, dict):
+        return f"struct<{','.join(f'{k}:{sql_type(v)}' for k, v in node.items())}>"
+    return f"array<{sql_type(node[0])}>" if isinstance(node, list) else "string"
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. A parser stops behind the first
+    value; whatever could close one of the two frames early is an error in the other."""
+    framed = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull()
+    return F.coalesce(framed("[", "]") & framed('{"value":', "}") & ~text.rlike(_HALF), F.lit(False))
+
+
+def checked(v: Column, node: str | list | dict, path: Column) -> tuple[Column, Column]:
+    """Faults (path, type) of a VARIANT against a schema's node, and its value as that node:
+    what is missing has its default, what the schema doesn't know is left out."""
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("missing"))
+    none = F.array().cast(_FAULTS)
+    fault = lambda name: F.array(F.struct(path.alias("path"), F.lit(name).alias("type"))).cast(_FAULTS)
+    if isinstance(node, dict):
+        inside = {k: checked(F.try_variant_get(v, f"$.{k}", "variant"), n, F.concat(path, F.when(path != "", F.lit(".")).otherwise(""), F.lit(k))) for k, n in node.items()}
+        faults = F.when(kind == "missing", none).when(kind.startswith("OBJECT"), F.concat(*[f for f, _ in inside.values()])).otherwise(fault("model_type"))
+        return faults, F.struct(*[d.alias(k) for k, (_, d) in inside.items()])
+    if isinstance(node, list):
+        items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+        of = lambda x, i: checked(x, node[0], F.concat(path, F.lit("."), i.cast("string")))
+        faults = F.when(kind == "missing", none).when(kind.startswith("ARRAY"), F.flatten(F.transform(items, lambda x, i: of(x, i)[0]))).otherwise(fault("list_type"))
+        return faults, F.transform(items, lambda x, i: of(x, i)[1])
+    return F.when(kind.isin("missing", "STRING"), none).otherwise(fault("string_type")), F.coalesce(F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), F.lit(""))
+
+
+def validated(raw: DataFrame, value: str = "value", schema: dict = RESUME) -> DataFrame:
+    """G-23: ``raw`` with ``data`` (of the schema), ``faults`` (path and type of each, in the
+    schema's order) and ``error`` (null, "blank", "not JSON", or the faults as text). A
+    text is checked node by node: a number, a flag, a null or a container where the schema
+    has a text, a list or an object of its own is a fault; missing fields have their defaults
+    and unknown ones are left out. An object that has a key twice isn't JSON, unless
+    ``spark.sql.variant.allowDuplicateKeys`` is set: then the last counts."""
+    blank = F.coalesce(F.regexp_replace(value, r"(?U)\s+", "") == "", F.lit(True))
+    rows = raw.select(F.struct(*raw.columns).alias("_row"), F.when(~blank, F.when(is_json(F.col(value)), F.try_parse_json(value))).alias("_v"), blank.alias("_blank"))
+    faults, data = checked(F.col("_v"), schema, F.lit(""))
+    told = F.array_join(F.transform("_f", lambda f: F.concat_ws(": ", F.nullif(f["path"], F.lit("")), f["type"])), "; ")
+    rows = rows.withColumns({"_f": F.when(F.col("_v").isNotNull(), faults), "_d": data})
+    error = F.when(F.col("_blank"), "blank").when(F.col("_v").isNull(), "not JSON").when(F.size("_f") > 0, told)
+    kept = [F.col("_row")[c].alias(c) for c in raw.columns if c not in ("error", "faults", "data")]
+    rows = rows.withColumn("_e", error)
+    return rows.select(*kept, F.col("_e").alias("error"), F.coalesce("_f", F.array().cast(_FAULTS)).alias("faults"), F.when(F.col("_e").isNull(), F.col("_d")).alias("data"))

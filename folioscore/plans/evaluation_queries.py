@@ -148,10 +148,10 @@ f AS (SELECT policy, CAST(conv_id AS VARCHAR) AS name, section, round_even(CASE
   round_even(CASE WHEN none THEN CASE policy WHEN 'soft' THEN 1.0 ELSE 0.0 END ELSE CAST(pl AS DOUBLE) / gl END, 4) AS avg_semantic_similarity, gt AS gt_tokens, pt AS pred_tokens, round_even(least(1.0, CAST(pt AS DOUBLE) / greatest(1, gt)), 4) AS brevity_penalty FROM x)"""
 
 
-def _each_policy(spark, sf, measure) -> DataFrame:
+def _each_policy(spark, sf, compared) -> DataFrame:
     out = None
     for policy in S.POLICIES:
-        rows = measure(_truth_files(spark, sf), _predicted_files(spark, sf), policy, lambda g, p: F.length(p) / F.length(g), True)
+        rows = compared(_truth_files(spark, sf), _predicted_files(spark, sf), policy, lambda g, p: F.length(p) / F.length(g), True)
         rows = (rows[1] if isinstance(rows, tuple) else rows).withColumn("policy", F.lit(policy))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -434,7 +434,7 @@ def _vision_engine():
     return call
 
 
-@register("q_page_stage", "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'ok' ELSE 'error' END AS status, CASE event_id % 4 WHEN 0 THEN ['List skills', event_id || ':' || event_type] END AS skills, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'RuntimeError: the model is away' WHEN 3 THEN 'not a text' ELSE '' END AS error FROM events")
+@register("q_page_stage", "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'ok' ELSE 'error' END AS status, CASE event_id % 4 WHEN 0 THEN ['List skills', event_id || ':' || event_type] END AS skills, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'RuntimeError: the model is away' WHEN 3 THEN 'personal_info.email: string_type' ELSE '' END AS error FROM events")
 def q_page_stage(spark, sf):
     """U-08, T-24, G-23, SNK-07: images and a prompt, answers in prose, failures, wrong types."""
     images = table(spark, sf, "events").select("event_id", F.concat(F.col("event_id").cast("string"), F.lit(":"), "event_type").cast("binary").alias("image"))

@@ -77,6 +77,23 @@ def q_dotsocr(spark, sf):
     return _counts(vendors.dotsocr(_texts(_turns(spark, sf), F.transform("turns", item))))
 
 
+_TRIMMED = r"list_filter(list_transform(string_split_regex({0}, '\s+'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}_À-ÿ]+|[^\p{{L}}\p{{N}}_À-ÿ]+$', '', 'g')), lambda w: w <> '')"
+
+
+@register(
+    "q_dotsocr_tables",
+    rf"""SELECT CAST(conv_id % 50 AS VARCHAR) AS page_id, CAST(sum(len({_TRIMMED.format("text")}) + CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS words, CAST(count(*) AS BIGINT) AS lines,
+md5(string_agg(CASE WHEN turn % 2 = 0 THEN concat_ws('|', nullif(array_to_string({_TRIMMED.format("text")}, '|'), ''), '7') ELSE nullif(array_to_string({_TRIMMED.format("text")}, '|'), '') END, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""",
+)
+def q_dotsocr_tables(spark, sf):
+    """SRC-07: tables and texts on a page, and several files of one stem, each with its own words."""
+    cell = lambda t: F.concat(F.lit(" <table><tr><td>"), t, F.lit("</td><td>7</td><td>x</td></tr></table>"))
+    text = lambda t: F.when(t["turn"] % 2 == 0, cell(t["text"])).otherwise(t["text"])
+    item = lambda t: F.struct(F.array(*[F.lit(float(x)) for x in (0, 0, 9, 9)]).alias("bbox"), F.lit("Table").alias("category"), text(t).alias("text"))
+    files_ = _texts(_turns(spark, sf), F.transform("turns", item)).withColumn("page_id", (F.col("page_id").cast("long") % 50).cast("string"))
+    return vendors.dotsocr(files_).select("page_id", F.size("words").cast("long").alias("words"), F.size("lines").cast("long").alias("lines"), F.md5(F.array_join("words", "|")).alias("digest"))
+
+
 @register("q_tesseract", "SELECT CAST(l_orderkey AS VARCHAR) AS page_id, CAST(count(*) AS BIGINT) AS words, CAST(sum(l_partkey % 90 + l_quantity) AS DOUBLE) AS x2, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem GROUP BY l_orderkey")
 def q_tesseract(spark, sf):
     item = F.struct(F.col("l_returnflag").alias("text"), F.lit(90).alias("confidence"), F.struct((F.col("l_partkey") % 90).alias("left"), F.lit(1).alias("top"), F.col("l_quantity").alias("width"), F.lit(5).alias("height")).alias("bbox"), F.lit(1).alias("block_num"), F.col("l_linenumber").alias("line_num"), F.lit(1).alias("word_num"))
@@ -193,13 +210,60 @@ def q_markdown_pages(spark, sf):
     return _turns(spark, sf).select("page_id", F.size(lines).cast("long").alias("lines"), F.md5(F.array_join(lines, "|")).alias("digest"))
 
 
-@register("q_validated", "SELECT CAST(count(*) FILTER (event_id % 4 = 0) AS BIGINT) AS ok, CAST(count(*) FILTER (event_id % 4 = 1) AS BIGINT) AS not_text, CAST(count(*) FILTER (event_id % 4 = 2) AS BIGINT) AS not_json, CAST(count(*) FILTER (event_id % 4 = 3) AS BIGINT) AS blank FROM events")
+#: Answers of a model about a turn's text, and what the schema finds in each: null, or the
+#: faults; {0} is the text as JSON.
+_ANSWERS = [
+    ('{"skills": [{0}, "x"], "personal_info": {"email": {0}}}', None),
+    ('{"extra": {"deep": [1, null]}, "skills": [{0}]}', None),
+    ('{"work_experience": [{"company": {0}, "role": "r", "years": 3}, {}], "education": {"degrees": [{"degree": {0}}], "certifications": [{"license": {0}}]}}', None),
+    ("{}", None),
+    (' {"education": {}} ', None),
+    ('{"skills": {0}}', "skills: list_type"),
+    ('{"skills": null}', "skills: list_type"),
+    ('{"personal_info": null, "skills": [{0}, 5, null, ["x"]]}', "personal_info: model_type; skills.1: string_type; skills.2: string_type; skills.3: string_type"),
+    ('{"personal_info": [{0}]}', "personal_info: model_type"),
+    ('{"personal_info": {"email": {"a": {0}}, "phone": 5, "github": true}}', "personal_info.email: string_type; personal_info.phone: string_type; personal_info.github: string_type"),
+    ('{"work_experience": {"company": {0}}}', "work_experience: list_type"),
+    ('{"work_experience": [{"company": {0}}, {0}, {"role": 1.5}]}', "work_experience.1: model_type; work_experience.2.role: string_type"),
+    ('{"education": []}', "education: model_type"),
+    ('{"education": {"degrees": [{"degree": null}], "certifications": {0}}}', "education.degrees.0.degree: string_type; education.certifications: list_type"),
+    ("{0}", "model_type"),
+    ("[{0}]", "model_type"),
+    ("null", "model_type"),
+    ('{"skills": [{0}]} and more', "not JSON"),
+    ('{"skills": [{0}]}]', "not JSON"),
+    ('{"skills": [{0}],}', "not JSON"),
+    ("skills: {0}", "not JSON"),
+    (" ", "blank"),
+]
+
+
+def _answer_sql() -> str:
+    def text(t: str) -> str:
+        return "'" + t.replace("'", "''").replace("{0}", "' || j || '") + "'"
+
+    values = " ".join(f"WHEN {i} THEN {text(v)}" for i, (v, _) in enumerate(_ANSWERS))
+    errors = " ".join(f"WHEN {i} THEN " + ("NULL" if e is None else f"'{e}'") for i, (_, e) in enumerate(_ANSWERS))
+    all_texts = lambda path: f"coalesce(list_aggregate(json_extract_string(v, '$.{path}'), 'string_agg', ','), '')"
+    return f"""WITH t AS (SELECT conv_id, turn, (3 * conv_id + turn) % {len(_ANSWERS)} AS k, CAST(to_json(text) AS VARCHAR) AS j FROM conversations),
+a AS (SELECT *, CASE k {values} END AS v, CASE k {errors} END AS error FROM t), g AS (SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN v ELSE '{{}}' END AS v FROM a)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN md5(concat_ws('|', {all_texts('skills[*]')}, coalesce(json_extract_string(v, '$.personal_info.email'), ''), {all_texts('work_experience[*].company')}, {all_texts('education.degrees[*].degree')}, {all_texts('education.certifications[*].license')})) END AS digest,
+  CASE WHEN error IS NULL THEN CAST(coalesce(json_array_length(v, '$.work_experience'), 0) AS BIGINT) END AS jobs FROM g"""
+
+
+@register("q_validated", _answer_sql())
 def q_validated(spark, sf):
-    kind = F.col("event_id") % 4
-    good = F.to_json(F.struct(F.array(F.col("event_type"), F.lit("1, 2")).alias("skills")))
-    value = F.when(kind == 0, good).when(kind == 1, '{"personal_info": {"email": 5}}').when(kind == 2, F.concat(good, F.lit(" and more"))).otherwise(" ")
-    v = S.validated(table(spark, sf, "events").select(value.alias("value")))
-    return v.agg(F.count_if(F.col("error").isNull() & (F.size("data.skills") == 2)).alias("ok"), *[F.count_if(F.col("error") == e).alias(n) for e, n in (("not a text", "not_text"), ("not JSON", "not_json"), ("blank", "blank"))])
+    """G-23: answers that the schema takes, with defaults and unknown fields, and many that it doesn't."""
+    j = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    k = (3 * F.col("conv_id") + F.col("turn")) % len(_ANSWERS)
+    filled = lambda v: F.concat(*[x for i, part in enumerate(v.split("{0}")) for x in ([j] if i else []) + [F.lit(part)]])
+    value = F.coalesce(*[F.when(k == i, filled(v)) for i, (v, _) in enumerate(_ANSWERS)])
+    v = S.validated(table(spark, sf, "conversations").select("conv_id", "turn", value.alias("value")))
+    joined = lambda items, f: F.array_join(F.filter(F.transform(items, f), lambda x: x != ""), ",")
+    school = F.col("data.education")
+    digest = F.md5(F.concat_ws("|", F.array_join("data.skills", ","), "data.personal_info.email", joined(F.col("data.work_experience"), lambda x: x["company"]), joined(school["degrees"], lambda x: x["degree"]), joined(school["certifications"], lambda x: x["license"])))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    return v.select("conv_id", "turn", "error", good(digest).alias("digest"), good(F.size("data.work_experience").cast("long")).alias("jobs"))
 
 
 @register("q_pred_sections", f"SELECT conv_id, 'skills' AS section, CAST(sum({_WORDS.replace('text', 'x')}) AS BIGINT) AS words FROM (SELECT conv_id, regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g') AS x FROM conversations) GROUP BY conv_id")

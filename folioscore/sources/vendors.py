@@ -87,12 +87,13 @@ def dotsocr(texts: DataFrame) -> DataFrame:
     """SRC-07: elements of boxes, texts and categories. Words of tables come from their text
     nodes; characters from the texts as they are, tags included."""
     parsed = texts.withColumn("_e", F.from_json("value", "array<struct<bbox:array<double>,text:string,category:string>>"))
-    # Tables' text nodes need a parser, which runs once for the page's tables together.
+    # Tables' text nodes need a parser, which takes a page's tables together, inside its row.
     is_table = lambda e: F.coalesce(F.regexp_replace(e["text"], r"(?U)^\s+", "").startswith("<table>"), F.lit(False))
-    exploded = parsed.select("page_id", F.posexplode_outer("_e").alias("pos", "e"))
-    words = exploded.select("page_id", "pos", F.when(is_table(F.col("e")), T.edge_trimmed_words(F.array_join(T.html_table_texts(F.when(is_table(F.col("e")), F.col("e.text"))), " "))).otherwise(T.edge_trimmed_words(F.col("e.text"))).alias("w"))
-    by_page = words.groupBy("page_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"])).alias("_w"))
-    return _page(parsed.join(by_page, "page_id", "left"), "dotsocr", F.transform("_e", lambda e, i: _line(i, e["text"], e["bbox"], None, e["category"])), _or_empty(F.col("_w")), _or_empty(F.flatten(F.transform("_e", lambda e: _chars(e["text"])))))
+    plain = F.transform("_e", lambda e: F.when(is_table(e), F.lit(None)).otherwise(T.edge_trimmed_words(e["text"])))
+    in_tables = F.transform(T.html_table_texts_of_each(F.transform("_e", lambda e: F.when(is_table(e), e["text"]))), lambda t: T.edge_trimmed_words(F.array_join(t, " ")))
+    parsed = parsed.withColumns({"_plain": plain, "_tables": F.when(F.exists("_e", is_table), in_tables)})
+    words = F.when(F.col("_tables").isNull(), F.col("_plain")).otherwise(F.zip_with("_plain", "_tables", lambda p, t: F.coalesce(p, t)))
+    return _page(parsed, "dotsocr", F.transform("_e", lambda e, i: _line(i, e["text"], e["bbox"], None, e["category"])), _or_empty(F.flatten(words)), _or_empty(F.flatten(F.transform("_e", lambda e: _chars(e["text"])))))
 
 
 def textract(texts: DataFrame) -> DataFrame:

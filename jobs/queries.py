@@ -66,7 +66,7 @@ def job2_layout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     items.filter("place.l_linenumber <> 2").select("page_id", "place", (F.col("x") + shift).alias("x"), "y", "w", "h", F.col("place.l_extendedprice").alias("score")).write.parquet(f"{folder}/predictions")
     table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_orderdate").alias("day")).write.parquet(f"{folder}/pages")
     for _ in range(2):
-        rows = layout_report.run(spark, f"{folder}/truth", f"{folder}/pages", f"{folder}/predictions", f"{folder}/measures", f"{folder}/report")
+        rows = layout_report.run(spark, f"{folder}/truth", f"{folder}/pages", f"{folder}/predictions", f"{folder}/metrics", f"{folder}/report")
     return rows.select("year", "month", F.col("page_id").alias("l_orderkey"), *[six(F.col(c)).alias(c) for c in rows.columns if c not in ("year", "month", "page_id")])
 
 

@@ -126,7 +126,7 @@ class Layout:
 
     def run(self, **more):
         p = self.path
-        rows = layout_report.run(self.spark, f"{p}/truth", f"{p}/pages", f"{p}/predictions", f"{p}/measures", f"{p}/report", **more).collect()
+        rows = layout_report.run(self.spark, f"{p}/truth", f"{p}/pages", f"{p}/predictions", f"{p}/metrics", f"{p}/report", **more).collect()
         return {r["page_id"]: (r["year"], r["month"], r["tp_50"], r["fp_50"], r["fn_50"]) for r in rows}
 
 
@@ -138,7 +138,7 @@ def test_months_are_replaced_and_others_stay(spark, tmp_path):
     job.predict(50.0)  # nothing is hit any more
     assert job.run(since="2024-02-10", until="2024-02-20") == whole | {2: (2024, 2, 0.0, 2.0, 3.0)}
     assert job.run(since="2024-01-01", until="2024-02-01") == whole | {1: (2024, 1, 0.0, 2.0, 3.0), 2: (2024, 2, 0.0, 2.0, 3.0)}
-    report = {(r["year"], r["month"]): (r["tp_50"], r["measured"], r["pages"]) for r in spark.read.parquet(f"{tmp_path}/report").collect()}
+    report = {(r["year"], r["month"]): (r["tp_50"], r["with_metrics"], r["pages"]) for r in spark.read.parquet(f"{tmp_path}/report").collect()}
     assert report == {(2023, 12): (2.0, 1, 1), (2024, 1): (0.0, 1, 1), (2024, 2): (0.0, 1, 2)}
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
 

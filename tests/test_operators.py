@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -225,11 +226,56 @@ def test_section_texts(spark):
     assert got == {"personal_info": "a b", "skills": "s1 2", "education": "d", "work_experience_info": "c r", "work_experience_description": "did"}
 
 
+def plain_validation(v, node, path=()):
+    """(faults, value) of parsed JSON, by plain recursion."""
+    if isinstance(node, dict):
+        if not isinstance(v, dict):
+            return [(".".join(path), "model_type")], None
+        inside = {k: plain_validation(v[k], n, (*path, k)) if k in v else ([], None) for k, n in node.items()}
+        empty = {k: [] if isinstance(n, list) else plain_validation({}, n)[1] if isinstance(n, dict) else "" for k, n in node.items()}
+        return [f for fs, _ in inside.values() for f in fs], {k: inside[k][1] if k in v else empty[k] for k in node}
+    if isinstance(node, list):
+        if not isinstance(v, list):
+            return [(".".join(path), "list_type")], None
+        items = [plain_validation(x, node[0], (*path, str(i))) for i, x in enumerate(v)]
+        return [f for fs, _ in items for f in fs], [x for _, x in items]
+    return ([], v) if isinstance(v, str) else ([(".".join(path), "string_type")], None)
+
+
 def test_validation(spark):
-    rows = ["", '{"skills": ["a"]} trailing', '{"personal_info": {"full_name": 3}}', '{"skills": ["a 1"]}', "[]", None, '{"personal_info": {"email": "1: 2, 3"}}']
+    r = random.Random(23)
+
+    def value(node, depth=0):
+        if r.random() < 0.12:
+            return r.choice(["t", 5, 1.5, True, None, [], {}, ["x"], {"email": "e"}, [{}], [None]])
+        if isinstance(node, dict):
+            return {k: value(n, depth + 1) for k, n in node.items() if r.random() < 0.6} | ({"unknown": value("text")} if r.random() < 0.2 else {})
+        return [value(node[0], depth + 1) for _ in range(r.randint(0, 3))] if isinstance(node, list) else r.choice(["", "a 1", "é\n", "1: 2, 3", "x"])
+
+    known = [value(S.RESUME) for _ in range(400)]
+    rows = [(i, json.dumps(v, ensure_ascii=i % 2 == 0), "mine") for i, v in enumerate(known)]
+    got = S.validated(spark.createDataFrame(rows, "i int, value string, error string"))
+    assert got.columns == ["i", "value", "error", "faults", "data"]
+    for row in got.collect():
+        faults, data = plain_validation(known[row["i"]], S.RESUME)
+        assert [tuple(f) for f in row["faults"]] == faults and (row["error"] is None) == (not faults)
+        assert row["data"] == (None if faults else data) or row["data"].asDict(recursive=True) == data
+    assert sum(bool(plain_validation(v, S.RESUME)[0]) for v in known) > 50
+
+
+def test_one_json_value_and_nothing_else(spark):
+    good = ['{"a": 1}', " [1, 2] ", "null", '"x]}"', "-0.5e3", "true", '{"a": "\\ud83d\\ude00"}', '"\\\\ud800"', "[[], {}]", '"\\\\\\ud83d\\ude00"']
+    bad = ["", " ", "1, 2", '{"a": 1} more', '{"a": 1}]', '{"a": 1}}', "1] x", '1} x', '1, "b": 2', "1], [2", "]", "}", "[1,]", '{"a": 1,}', "{'a': 1}", "01", "nul", '"a\nb"', '"\\ud800"', '"\\ude00"', '"\\\\\\ud800 x"', '{"a" 1}', "[1", '"', "// x\n1", "[1]]", '{"x": 1}, {"y": 2}', '1 "x"']
+    df = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string").select("t", S.is_json(F.col("t")).alias("ok"))
+    assert {r["t"]: r["ok"] for r in df.collect()} == dict.fromkeys(good, True) | dict.fromkeys(bad, False) | {None: False}
+    assert "Python" not in S.validated(df.withColumnRenamed("t", "value"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validation_of_odd_texts(spark):
+    rows = ["", None, "\u2003\n", '{"skills": ["a"]} trailing', "[]", '{"personal_info": {"full_name": 3}}', '{"skills": ["a 1"]}']
     got = S.validated(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
-    assert [r["error"] is None for r in got] == [False, False, False, True, False, False, True]
-    assert got[3]["data"]["skills"] == ["a 1"] and got[3]["data"]["personal_info"]["email"] == "" and got[3]["data"]["education"]["degrees"] == []
+    assert [r["error"] for r in got] == ["blank", "blank", "blank", "not JSON", "model_type", "personal_info.full_name: string_type", None]
+    assert got[6]["data"]["skills"] == ["a 1"] and got[6]["data"]["personal_info"]["email"] == "" and got[6]["data"]["education"]["degrees"] == []
 
 
 def test_public_measures(spark):

@@ -45,6 +45,20 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes, unless it has a bound that is as low.
+    Spark's own bound is a number of rows, which whole texts of any length can make any size,
+    in the executor's memory outside its heap as in the worker's."""
+    now = "".join(c for c in spark.conf.get(_BATCH_SETTING) if c.isdigit())
+    if not now or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI or a plain path."""
     from pyarrow import fs

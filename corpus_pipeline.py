@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscore.llm import bpe, jaccard, mixing, quality, secrets
-from folioscore.llm.common import dropped, staged, table
+from folioscore.llm.common import bounded_batches, dropped, staged, table
 from folioscore.llm.queries import BYTE_BPE, QUALITY_CUT
 
 
@@ -32,6 +32,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents scored below the cut go. A null text counts as an empty
     one; repeated rows are judged alike; columns of any name are kept as they are."""
+    bounded_batches(spark)
     model = quality.train(quality.counted(docs), table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     kept = quality.score(rows, model, "_score").filter(F.col("_score") >= QUALITY_CUT)
@@ -43,6 +44,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingles, and chains of such, one stays: the smallest doc_id's (a null id only where
     there is no other), at a tie of ids the smallest hash of text and row. Null, empty and
     blank texts are copies of each other."""
+    bounded_batches(spark)
     return jaccard.deduplicated(docs, width=5)
 
 
@@ -65,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: doc_id, n_tokens, ids and the text decoded from them, of every row (a null text:
     no ids, an empty text)."""
+    bounded_batches(spark)
     coded = bpe.encode_decode(docs, public_tokenizers.path(BYTE_BPE))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 

@@ -1,7 +1,8 @@
-"""Layout: lines from fragments, matches of boxes, average precision.
+"""Layout: lines from fragments, matches of boxes, average precision, overlaps.
 
 State lives inside a page, so pages are arrays and the kernels are Arrow-batched
-UDFs over them; no box pair of two pages ever meets and nothing is exploded."""
+UDFs over them; no box pair of two pages ever meets. ``overlaps`` alone takes boxes as rows
+and joins them by place, for pages of any size."""
 
 from __future__ import annotations
 
@@ -73,6 +74,50 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
+#: Boxes on a page up to which all its pairs cost less than a grid.
+FEW = 64
+
+
+def overlaps(boxes: DataFrame, page: list[str], key: str, box: str = "box", few: int = FEW) -> DataFrame:
+    """R-08: page, key, box, key2, box2 of every two boxes (x, y, w, h) of a page that share
+    area, each pair once (key < key2; keys are unique in a page, boxes without area share none).
+
+    A grid for each power of two: a box is at home in the cells it touches (four at most) of the
+    grid whose cells are as large as itself, and asks in the cells it touches of that grid and of
+    the coarser ones that have boxes. So a box costs some rows for each grid, whatever its
+    size and whatever else is on its page, and the join's keys are places, not pages. Two
+    boxes that meet in several cells count where their overlap's upper left corner is. Pages
+    of at most ``few`` boxes are joined by page instead, which gives the same pairs."""
+    x, y, w, h = (F.col(box)[i] for i in range(4))
+    level = F.ceil(F.log2(F.greatest(w, h))).cast("int")
+    sized = boxes.filter((w > 0) & (h > 0)).select(*page, F.col(key).alias("_k"), F.col(box).alias("_b"), level.alias("_own"))
+    sizes = sized.groupBy(*page).agg(F.count("*").alias("_n"))
+    sized = sized.join(sizes, page)
+    small, sized = sized.filter(F.col("_n") <= few), sized.filter(F.col("_n") > few)
+    levels = sized.agg(F.collect_set("_own").alias("_levels"))  # one row: a double has some 2,000 exponents
+
+    def placed(rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        size, b = F.pow(F.lit(2.0), F.col("_l")), F.col("_b")
+        reach = lambda i: F.sequence(F.floor(b[i] / size), F.floor((b[i] + b[i + 2]) / size))
+        at = rows.withColumn("_cx", F.explode(reach(0))).withColumn("_cy", F.explode(reach(1)))
+        return at.select(*page, "_l", "_cx", "_cy", *[F.col(c).alias(n) for c, n in zip(("_k", "_b", "_own"), names, strict=True)])
+
+    home = placed(sized.withColumn("_l", F.col("_own")), ("_k1", "_b1", "_own1"))
+    asking = sized.join(F.broadcast(levels)).withColumn("_l", F.explode(F.filter("_levels", lambda v: v >= F.col("_own"))))
+    met = home.join(placed(asking, ("_k2", "_b2", "_own2")), [*page, "_l", "_cx", "_cy"])
+    met = met.filter((F.col("_own2") < F.col("_own1")) | ((F.col("_own2") == F.col("_own1")) & (F.col("_k2") < F.col("_k1"))))
+    a, b, size = F.col("_b1"), F.col("_b2"), F.pow(F.lit(2.0), F.col("_l"))
+    corner = [F.greatest(a[i], b[i]) for i in (0, 1)]
+    share = [corner[i] < F.least(a[i] + a[i + 2], b[i] + b[i + 2]) for i in (0, 1)]
+    once = (F.floor(corner[0] / size) == F.col("_cx")) & (F.floor(corner[1] / size) == F.col("_cy"))
+    both = [small.select(*page, F.col("_k").alias(f"_k{i}"), F.col("_b").alias(f"_b{i}")) for i in (1, 2)]
+    columns = [*page, "_k1", "_b1", "_k2", "_b2"]
+    found = met.filter(share[0] & share[1] & once).select(*columns).unionByName(both[0].join(both[1], page).filter((F.col("_k2") < F.col("_k1")) & share[0] & share[1]).select(*columns))
+    turned = F.col("_k2") < F.col("_k1")
+    pick = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
+    return found.select(*page, pick("_k2", "_k1").alias(key), pick("_b2", "_b1").alias(box), pick("_k1", "_k2").alias(f"{key}2"), pick("_b1", "_b2").alias(f"{box}2"))
+
+
 def greedy_match(ious: np.ndarray, least: float) -> list[tuple[int, int]]:
     """K-11: pairs by overlap, the greatest first, ties in row order; each box once."""
     i, j = np.nonzero(ious >= least)

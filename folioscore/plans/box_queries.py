@@ -81,11 +81,13 @@ o AS (SELECT l_orderkey, CASE WHEN p[3] * p[4] + q[3] * q[4] - i > 0 THEN i / (p
 SELECT l_orderkey, CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (iou >= 0.5) AS BIGINT) AS over_half, floor(max(iou) * 1e6 + 0.5) / 1e6 AS best FROM o GROUP BY l_orderkey""",
 )
 def q_iou_pairs(spark, sf):
-    # A theta join within a page: equal keys, and an order that takes each pair once.
+    """R-08, G-06: pairs that share no area have an overlap of 0 and are counted, not joined."""
     b = _items(spark, sf).select("l_orderkey", F.struct("l_partkey", "l_suppkey", "l_linenumber").alias("k"), "b")
-    pairs = b.join(b.select("l_orderkey", F.col("k").alias("k2"), F.col("b").alias("b2")), "l_orderkey").filter("k < k2")
-    iou = pairs.select("l_orderkey", G.iou(F.col("b"), F.col("b2")).alias("iou"))
-    return iou.groupBy("l_orderkey").agg(F.count("*").alias("pairs"), F.count_if(F.col("iou") >= 0.5).alias("over_half"), six(F.max("iou")).alias("best"))
+    iou = L.overlaps(b, ["l_orderkey"], "k", "b").select("l_orderkey", G.iou(F.col("b"), F.col("b2")).alias("iou"))
+    found = iou.groupBy("l_orderkey").agg(F.count_if(F.col("iou") >= 0.5).alias("over_half"), F.max("iou").alias("best"))
+    sizes = b.groupBy("l_orderkey", "k").agg(F.count("*").alias("c")).groupBy("l_orderkey").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    pairs = ((F.col("n") * F.col("n") - F.col("same")) / 2).cast("long").alias("pairs")
+    return sizes.filter("n * n > same").join(found, "l_orderkey", "left").select("l_orderkey", pairs, F.coalesce("over_half", F.lit(0)).alias("over_half"), six(F.coalesce("best", F.lit(0.0))).alias("best"))
 
 
 def _pages(spark, sf):

@@ -321,3 +321,34 @@ def test_hooks(spark):
     images = spark.createDataFrame([("i",), ("j",)], "k string")
     boxes = [spark.createDataFrame([("i", [[1]])], "k string, boxes array<array<int>>")]
     assert I.reading_inputs(images, boxes, "k").count() == 1 and I.reading_inputs(images, boxes, "k", "error").filter("error is not null").count() == 1
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_overlaps_against_all_pairs(spark, few):
+    r = random.Random(8)
+    rows, side = [], lambda: r.choice([0.0, -1.0, r.random() * 0.01, r.random(), r.random() * 8, 2.0, 64.0, 300.0])
+    for p in range(4):
+        rows += [(p, "x", k, [r.choice([r.uniform(-50, 50), float(r.randint(-3, 3))]), r.uniform(-20, 20), side(), side()]) for k in range((3, 40, 90, 150)[p])]
+    rows += [(7, "x", k, [1.0, 1.0, 2.0, 2.0]) for k in range(70)] + [(8, "x", 0, [0.0, 0.0, 1.0, 1.0]), (8, "x", 1, [1.0, 0.0, 1.0, 1.0]), (9, "x", 0, None)]
+    want = set()
+    for p, _, k, a in rows:
+        for p2, _, k2, b in rows:
+            if p == p2 and k < k2 and all(max(a[i], b[i]) < min(a[i] + a[i + 2], b[i] + b[i + 2]) for i in (0, 1)) and min(a[2], a[3], b[2], b[3]) > 0:
+                want.add((p, k, k2))
+    found = L.overlaps(spark.createDataFrame(rows, "p int, name string, k int, box array<double>"), ["p"], "k", few=few)
+    assert found.columns == ["p", "k", "box", "k2", "box2"]
+    got = [(x["p"], x["k"], x["k2"]) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    boxes = {(p, k): b for p, _, k, b in rows}
+    assert all(x["box"] == boxes[x["p"], x["k"]] and x["box2"] == boxes[x["p"], x["k2"]] for x in found.collect())
+
+
+def test_overlaps_of_one_page_of_many_boxes(spark):
+    """A page of 50,000 boxes side by side and one around them all: rows in proportion to boxes."""
+    n = 50_000
+    small = spark.range(n).select(F.lit(1).alias("p"), F.col("id").alias("k"), F.array((F.col("id") % 250) * 3.0, F.floor(F.col("id") / 250) * 3.0, F.lit(3.5), F.lit(2.0)).alias("box"))
+    around = spark.createDataFrame([(1, n, [-1.0, -1.0, 1000.0, 1000.0])], "p int, k long, box array<double>")
+    found = L.overlaps(small.unionByName(around), ["p"], "k")
+    assert found.count() == n + 200 * 249
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan

@@ -1,4 +1,9 @@
-"""The few text steps Spark has no built-in function for, as Arrow-batched UDFs."""
+"""The few text steps Spark has no built-in function for, as Arrow-batched UDFs.
+
+Normal forms are decided in the JVM for nearly all texts: a text of characters that no
+normal form changes is its own, and marks go by a table from character to character. Only
+texts with other characters reach a UDF. Ranges and table are generated from
+``unicodedata``, so they are those of the Python that runs the UDFs."""
 
 from __future__ import annotations
 
@@ -6,6 +11,8 @@ import ast
 import json
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,16 +26,85 @@ _CID = re.compile(r"\(cid:\d+\)")
 _DELETED = re.compile(r'[\[\]",]')
 
 
+#: Asked first of each character, since the ranges of a class are asked one by one.
+_BEYOND = r"[^\x00-\x7F]"
+
+
+def _code_points():
+    return (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def class_of(test: Callable[[int], bool], longest: int | None = None) -> str:
+    """A regular expression's ranges of the code points that pass; with ``longest`` those below
+    U+0530 (Latin, Greek, Cyrillic) and that many of the longest others, which are enough where passing is only a short cut."""
+    ranges: list[list[int]] = []
+    for c in _code_points():
+        if test(c):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    if longest is not None:
+        rest = sorted((r for r in ranges if r[0] >= 0x530), key=lambda r: r[0] - r[1])[:longest]
+        ranges = [r for r in ranges if r[0] < 0x530] + sorted(rest)
+    return "".join(rf"\x{{{a:x}}}-\x{{{z:x}}}" for a, z in ranges)
+
+
+@lru_cache(maxsize=1)
+def _inert() -> str:
+    """Characters that NFKC leaves alone next to any others: their own form, no combining
+    mark, and never the second part of a composition."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in _code_points())
+    second = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")}
+    second |= set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # Hangul vowels and final consonants
+    return class_of(lambda c: not unicodedata.combining(chr(c)) and c not in second and unicodedata.is_normalized("NFKC", chr(c)), longest=12)
+
+
+@lru_cache(maxsize=1)
+def _unmarked() -> tuple[str, str, str]:
+    """For ``strip_marks``: characters with another character for each, then marks, which have
+    none; and the ranges of those that become several or keep a place in an order of marks."""
+    one, other, marks, several = [], [], [], set()
+    for c in _code_points():
+        if unicodedata.category(chr(c)) == "Mn" and unicodedata.normalize("NFD", chr(c)) == chr(c):
+            marks.append(chr(c))
+            continue
+        left = _without_marks(chr(c))
+        if len(left) > 1 or unicodedata.combining(chr(c)) and unicodedata.category(chr(c)) != "Mn" or any(unicodedata.combining(x) for x in left):
+            several.add(c)
+        elif not left:
+            marks.append(chr(c))
+        elif left != chr(c):
+            one.append(chr(c))
+            other.append(left)
+    return "".join(one + marks), "".join(other), class_of(several.__contains__)
+
+
+def _without_marks(t: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+
+
 @F.pandas_udf(_TEXT)
-def nfkc(s: pd.Series) -> pd.Series:
-    """NFKC form."""
-    return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 @F.pandas_udf(_TEXT)
-def strip_marks(s: pd.Series) -> pd.Series:
+def _strip_marks(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else _without_marks(t))
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC form."""
+    own = ~text.rlike(rf"[{_BEYOND}&&[^{_inert()}]]")
+    return F.coalesce(F.when(own, text), _nfkc(F.when(~own, text)))
+
+
+def strip_marks(text: Column) -> Column:
     """NFD form without combining marks."""
-    return s.map(lambda t: None if t is None else t if t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+    before, after, several = _unmarked()
+    plain = ~text.rlike(rf"[{_BEYOND}&&[{several}]]")
+    return F.coalesce(F.when(is_ascii(text), text).when(plain, F.translate(text, before, after)), _strip_marks(F.when(~plain, text)))
 
 
 @F.pandas_udf(_TEXTS)

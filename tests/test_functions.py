@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioscore.functions import geometry as G
 from folioscore.functions import text as T
+from folioscore.functions import unicode as U
 
 
 def value(spark, col, **cols):
@@ -140,3 +143,25 @@ def test_orders(spark):
     first = lambda v: value(spark, G.first_label(F.col("v")), v=(v, labels))
     assert first((["a", "b"],)) == "a" and first(([],)) == T.NO_LABEL and first((None,)) == T.MISSING_LABEL
     assert value(spark, T.reordered_words(F.col("t"), F.col("o")), t=(["a b", None, "c"], "array<string>"), o=([2, 9, 1, 0], "array<int>")) == ["c", "a", "b"]
+
+
+def test_normal_forms_of_every_character(spark):
+    """Each code point alone, between letters, and behind each of some others, as unicodedata has it."""
+    import unicodedata
+
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rnd = random.Random(4)
+    texts = [*points, *(f"a{c}e" for c in points), *(rnd.choice(points) + c for c in points), *("".join(rnd.choices(points, k=12)) for _ in range(20_000))]
+    texts += [b + m for b in "aeEnoucçéᄀ가한かは" for m in "\u0300\u0301\u0302\u0303\u0308\u0327\u0323\u0345\u1161\u11a8\u3099"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", U.nfkc(F.col("t")).alias("n"), U.strip_marks(F.col("t")).alias("m"))
+    for r in df.toLocalIterator():
+        assert r["n"] == unicodedata.normalize("NFKC", r["t"]), r["t"].encode("unicode_escape")
+        assert r["m"] == "".join(c for c in unicodedata.normalize("NFD", r["t"]) if unicodedata.category(c) != "Mn"), r["t"].encode("unicode_escape")
+
+
+def test_common_letters_need_no_worker(spark):
+    """Texts of the Latin script's letters, and of others' that have no marks, are decided in the JVM."""
+    rows = ["Été, naïve, Größe, señor, Œuvre", "Привет, Ελλάδα", "漢字", "plain", ""]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    own = df.select(F.col("t").rlike(rf"[^{U._inert()}]").alias("odd"), F.col("t").rlike(rf"[{U._unmarked()[2]}]").alias("several")).collect()
+    assert not any(r["odd"] or r["several"] for r in own)

@@ -261,8 +261,9 @@ def q_written_files(spark, sf):
     """SNK-01 to SNK-06: a file for each key, read back."""
     path = scratch(spark, "written")
     rows = sinks.json_rows(table(spark, sf, "nation").withColumn("key", F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))), "key", F.struct("n_name", "n_regionkey"))
-    done = rows.transform(sinks.write_files, path).collect()  # one row for each of a folder's files
-    status = spark.createDataFrame([(r["key"], r["status"]) for r in done], "key string, status string")
+    told = scratch(spark, "written-status")
+    rows.transform(sinks.write_files, path).write.parquet(told)
+    status = spark.read.schema("key string, status string").parquet(told)
     read = files.whole_texts(spark, path).select(F.col("page_id").alias("key"), F.get_json_object("value", "$.n_name").alias("n_name"))
     return status.join(read, "key")
 
@@ -334,12 +335,16 @@ def q_norm_boxes(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", n[0].alias("n")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.col("n")[i].cast("int").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@register("q_unify_one_page", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, CASE WHEN count(*) = 1 THEN any_value(role) ELSE '[\"' || string_agg(role, '\",\"' ORDER BY turn) || '\"]' END AS role FROM conversations WHERE conv_id % 2 = 0 OR turn = 0 GROUP BY conv_id")
+#: Documents of one page each in odd conversations, of all turns in even ones.
+_ONE_PAGE = "CAST(conv_id AS VARCHAR) || CASE WHEN conv_id % 2 = 1 THEN '.' || CAST(turn AS VARCHAR) ELSE '' END"
+
+
+@register("q_unify_one_page", f"SELECT {_ONE_PAGE} AS doc, string_agg(text, ' ' ORDER BY turn) AS text, CASE WHEN count(*) = 1 THEN any_value(role) ELSE '[\"' || string_agg(role, '\",\"' ORDER BY turn) || '\"]' END AS role FROM conversations GROUP BY doc")
 def q_unify_one_page(spark, sf):
     """R-14: scalars of a document of one page stay scalars."""
-    c = table(spark, sf, "conversations").filter("conv_id % 2 = 0 or turn = 0").withColumn("lines", F.array("text"))
-    d = R.unify_documents(c, ["lines"], ["role"], "conv_id", "turn", one_page="scalar")
-    return d.select("conv_id", F.array_join("lines", " ").alias("text"), "role")
+    c = table(spark, sf, "conversations").select(F.expr(_ONE_PAGE.replace("VARCHAR", "STRING")).alias("doc"), "turn", "role", F.array("text").alias("lines"))
+    d = R.unify_documents(c, ["lines"], ["role"], "doc", "turn", one_page="scalar")
+    return d.select("doc", F.array_join("lines", " ").alias("text"), "role")
 
 
 @register("q_length_batches", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, TRUE AS sorted, TRUE AS bounded FROM documents")

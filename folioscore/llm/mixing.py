@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.binding import let
 from .common import shuffle_partitions, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,13 +53,15 @@ SEED = 20
 #: Blocks of a bucket, about, and buckets of a run.
 IN_BUCKET = 256
 RUN = 4096
-_GAP = r"[\x20\x09-\x0D]+"
+#: Words that one match of a text's cut takes at most (it must divide a block).
+RUN_WORDS = 64
+_WORD, _GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 
 
 def word_count(text: Column) -> Column:
     """Number of runs of anything but ASCII white space."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    return F.coalesce(F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(t, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
@@ -216,17 +219,27 @@ def mixed(mix: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of a plan that kept them, as the mix takes them: a row for each epoch of a
     text and shard that has blocks of it, with the words of those blocks in their order (the
     whole text, unchanged, where all are there), and ``epoch``, ``shard`` and the ``place`` of
-    its first block."""
-    per_copy = mix.taken.groupBy("row", "epoch", "shard").agg(F.sort_array(F.collect_list("block")).alias("_blocks"), F.min(F.struct("block", "place")).alias("_at"))
-    joined = per_copy.select("row", F.col("epoch").alias("_epoch"), F.col("shard").alias("_shard"), "_blocks", "_at").join(mix.rows.select("row", "size", "_all"), "row")
-    columns = mix.rows.schema["_all"].dataType.names
-    text = F.col("_all.text")
-    every = F.size("_blocks") == F.ceil(F.col("size") / block_words)
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+(?:" + _GAP + ")?"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_blocks", lambda b: F.slice("_w", b * block_words + 1, block_words))), "")
-    cut = joined.withColumn("_w", F.when(~every, words)).withColumn("_text", F.when(every, text).otherwise(part))
-    kept = [F.col("_text").alias("text") if c == "text" else F.col("_all")[c].alias(c) for c in columns if c not in ("epoch", "shard", "place")]
-    return cut.select(*kept, F.col("_epoch").alias("epoch"), F.col("_shard").alias("shard"), F.col("_at.place").alias("place"))
+    its first block.
+
+    A text is joined once, with all that shards take of it, and cut once, into runs of words
+    that make up blocks; each shard's part is put together from those. A text of any length
+    costs its own bytes and those of its parts, of which there are ``most`` times as many."""
+    take = F.struct("epoch", "shard", F.col("at.place").alias("place"), "blocks")
+    per_copy = mix.taken.repartition("row").groupBy("row", "epoch", "shard").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.min(F.struct("block", "place")).alias("at"))
+    joined = per_copy.groupBy("row").agg(F.collect_list(take).alias("_takes")).join(mix.rows.select("row", "size", "_all"), "row")
+    text, n_blocks = F.col("_all.text"), F.ceil(F.col("size") / block_words)
+    whole = lambda t: F.size(t["blocks"]) == n_blocks
+    run = max(n for n in range(1, RUN_WORDS + 1) if block_words % n == 0)
+    runs = F.when(F.exists("_takes", lambda t: ~whole(t)), F.regexp_extract_all(text, F.lit(rf"(?:{_WORD}+{_GAP}*+){{1,{run}}}"), F.lit(0)))
+    per_block = block_words // run
+    part = lambda own, t: F.array_join(F.flatten(F.transform(t["blocks"], lambda b: F.slice(own, b * per_block + 1, per_block))), "")
+    parts = let(runs, lambda own: F.transform("_takes", lambda t: F.struct(t["epoch"].alias("epoch"), t["shard"].alias("shard"), t["place"].alias("place"), F.when(whole(t), text).otherwise(part(own, t)).alias("text"))))
+    # The text itself isn't carried beside its parts.
+    columns = [c for c in mix.rows.schema["_all"].dataType.names if c not in ("epoch", "shard", "place")]
+    beside = {c: f"_{i}" for i, c in enumerate(columns) if c != "text"}
+    cut = joined.select(*[F.col("_all")[c].alias(k) for c, k in beside.items()], parts.alias("_parts"))
+    each = cut.select(*beside.values(), F.explode("_parts").alias("_part"))
+    return each.select(*[F.col(beside.get(c, "_part.text")).alias(c) for c in columns], "_part.epoch", "_part.shard", "_part.place")
 
 
 def laid_out(rows: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -162,3 +162,28 @@ def test_copies_and_blanks_in_any_number(spark):
     assert rows == 0 and mix.sizes.agg(F.max("copy")).collect()[0][0] == 3000
     total = sum(r["taken"] for r in got if r["doc_id"] == 1)
     assert abs(total - next(r["target"] for r in got if r["doc_id"] == 1)) <= 2
+
+
+def test_parts_are_the_words_of_their_blocks(spark):
+    """Numbered words, any white space between them, a text of 300,000 words in many shards."""
+    rng = np.random.default_rng(3)
+    gaps = [" ", "  ", "\n", "\t \r\n"]
+    text = lambda n: "".join(f"w{i}{gaps[int(rng.integers(4))]}" for i in range(n))
+    rows = [(i, "a" if i % 3 else "b", " " * (i % 2) + text(int(rng.integers(1, 700)))) for i in range(60)] + [(60, "a", text(300_000))]
+    for block_words in (48, 97):
+        df = frame(spark, rows)
+        mix = M.plan(df, shards=16, block_words=block_words, keep=True)
+        at, whole, seen = {(r["row"], r["epoch"], r["shard"]): [] for r in mix.taken.collect()}, {r[0]: r[2] for r in rows}, set()
+        for r in mix.taken.collect():
+            at[r["row"], r["epoch"], r["shard"]].append(r["block"])
+        of = {r["row"]: r["doc_id"] for r in mix.sizes.collect()}
+        want = {(of[row], e, s): sorted(b) for (row, e, s), b in at.items()}
+        for r in M.mixed(mix, block_words).collect():
+            key = r["doc_id"], r["epoch"], r["shard"]
+            seen.add(key)
+            words = whole[key[0]].split()
+            assert r["text"].split() == [w for b in want[key] for w in words[b * block_words : (b + 1) * block_words]]
+            assert r["text"] in whole[key[0]] or len(want[key]) > 1
+            if len(want[key]) == -(-len(words) // block_words):
+                assert r["text"] == whole[key[0]]
+        assert seen == set(want)

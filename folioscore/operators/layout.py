@@ -1,17 +1,21 @@
 """Layout: lines from fragments, matches of boxes, average precision, overlaps.
 
-State lives inside a page, so pages are arrays and the kernels are Arrow-batched
-UDFs over them; no box pair of two pages ever meets. ``overlaps`` alone takes boxes as rows
+State lives inside a page, so pages are arrays; lines are a fold over them, matches an
+Arrow-batched UDF; no box pair of two pages ever meets. ``overlaps`` alone takes boxes as rows
 and joins them by place, for pages of any size."""
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.binding import let
 
 LINES = "array<struct<text:string,box:array<double>>>"
 METRICS = ("TP", "FP", "FN", "Precision", "Recall", "F1", "mAP")
@@ -19,63 +23,124 @@ METRICS = ("TP", "FP", "FN", "Precision", "Recall", "F1", "mAP")
 LEVELS = np.arange(11) * 0.1
 
 
-def merge_lines(boxes: list | None, texts: list | None, y_tol: float = 0.6, bar_mode: str = "reference") -> list[dict]:
+_FOLD = f"struct<done:{LINES},parts:array<struct<x:double,k:int,t:string>>,middles:double,heights:double,box:array<double>>"
+
+
+def _stripped(text: Column) -> Column:
+    """Without the white space around it, the four separator controls included."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def merged_lines(boxes: Column, texts: Column, y_tol: float = 0.6, bar_mode: str = "reference") -> Column:
     """K-09: fragments (x, y, w, h) in order of their middle height join the last line while
     they are near its mean middle. ``bar_mode`` "reference" takes texts that are a bar out
-    of the texts only, which shifts the pairs behind it; "aligned" takes box and text out."""
+    of the texts only, which shifts the pairs behind it; "aligned" takes box and text out.
+
+    One fold over the sorted fragments, with the last line's sums beside the lines that are
+    done; means are running sums over counts. Null arrays: no lines; a null text reads None; a
+    fragment without numbers is a line."""
     if bar_mode not in ("reference", "aligned"):
         raise ValueError(f"bar_mode is reference or aligned, not {bar_mode!r}")
-    boxes = [] if boxes is None else [np.array(b, float) for b in boxes]
-    texts = [] if texts is None else [str(t) for t in texts]
+    is_bar = lambda t: _stripped(t) == "|"
+    boxes = F.coalesce(boxes.cast("array<array<double>>"), F.array().cast("array<array<double>>"))
+    texts = F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.coalesce(t.cast("string"), F.lit("None")))
     if bar_mode == "reference":
-        texts = [t for t in texts if t.strip() != "|"]
-    pairs = list(zip(boxes, texts, strict=False))
+        texts = F.filter(texts, lambda t: ~is_bar(t))
+    pairs = F.slice(F.zip_with(boxes, texts, lambda b, t: F.struct(b.alias("b"), t.alias("t"))), F.lit(1), F.least(F.size(boxes), F.size(texts)))
     if bar_mode == "aligned":
-        pairs = [p for p in pairs if p[1].strip() != "|"]
-    pairs.sort(key=lambda p: p[0][1] + p[0][3] / 2)
-    lines: list[list] = []
-    for box, text in pairs:
-        middle = box[1] + box[3] / 2
-        if lines and abs(middle - np.mean(lines[-1][0])) <= max(box[3], np.mean(lines[-1][1])) * y_tol:
-            line = lines[-1]
-            line[0].append(middle)
-            line[1].append(box[3])
-            line[2].append((box[0], len(line[2]), text))
-            old = line[3]
-            x, y = np.minimum(old[:2], box[:2])
-            far = np.maximum(old[:2] + old[2:], box[:2] + box[2:])
-            line[3] = np.array([x, y, far[0] - x, far[1] - y])
-        else:
-            lines.append([[middle], [box[3]], [(box[0], 0, text)], box])
-    return [{"text": " ".join(t.strip() for _, _, t in sorted(parts, key=lambda p: p[:2])), "box": box.tolist()} for _, _, parts, box in lines]
-
-
-def lines_udf(y_tol: float = 0.6, bar_mode: str = "reference"):
-    @F.pandas_udf(LINES)
-    def run(boxes: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([merge_lines(b, t, y_tol, bar_mode) for b, t in zip(boxes, texts, strict=True)])
+        pairs = F.filter(pairs, lambda p: ~is_bar(p["t"]))
+    at = lambda b, i: F.get(b, F.lit(i))
+    placed = F.array_sort(F.transform(pairs, lambda p, k: F.struct((at(p["b"], 1) + at(p["b"], 3) / 2).alias("middle"), k.alias("k"), p["b"].alias("b"), p["t"].alias("t"))))
 
-    return run
+    def closed(acc: Column) -> Column:
+        return F.struct(F.array_join(F.transform(F.array_sort(acc["parts"]), lambda x: _stripped(x["t"])), " ").alias("text"), acc["box"].alias("box"))
+
+    def around(a: Column, b: Column) -> Column:
+        low = [F.least(at(a, i), at(b, i)) for i in (0, 1)]
+        far = [F.greatest(at(a, i) + at(a, i + 2), at(b, i) + at(b, i + 2)) for i in (0, 1)]
+        return F.array(*low, *[f - x for f, x in zip(far, low, strict=True)])
+
+    def step(acc: Column, f: Column) -> Column:
+        n, h = F.size(acc["parts"]), at(f["b"], 3)
+        near = F.abs(f["middle"] - F.try_divide(acc["middles"], n)) <= F.greatest(h, F.try_divide(acc["heights"], n)) * y_tol
+
+        def after(near: Column) -> Column:
+            part = F.array(F.struct(at(f["b"], 0).alias("x"), F.when(near, n).otherwise(0).alias("k"), f["t"].alias("t")))
+            added = lambda old, new: F.when(near, old + new).otherwise(new)
+            done = F.when(near | (n == 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(closed(acc))))
+            parts = F.when(near, F.concat(acc["parts"], part)).otherwise(part)
+            box = F.when(near, around(acc["box"], f["b"])).otherwise(f["b"])
+            return F.struct(done.alias("done"), parts.alias("parts"), added(acc["middles"], f["middle"]).alias("middles"), added(acc["heights"], h).alias("heights"), box.alias("box")).cast(_FOLD)
+
+        return let(F.coalesce(near, F.lit(False)), after)
+
+    none = F.lit(None)
+    start = F.struct(F.array().alias("done"), F.array().alias("parts"), none.alias("middles"), none.alias("heights"), none.alias("box")).cast(_FOLD)
+    return F.aggregate(placed, start, step, lambda acc: F.when(F.size(acc["parts"]) > 0, F.concat(acc["done"], F.array(closed(acc)))).otherwise(acc["done"]))
 
 
 def build_line_columns(df: DataFrame, text_col: str, box_col: str, input_mode: str = "xywh", y_tol: float = 0.6, bar_mode: str = "reference") -> DataFrame:
     """K-10: adds text_in_line and bbox_in_line."""
     boxes = F.transform(box_col, G.xyxy_to_xywh) if input_mode == "xyxy" else F.col(box_col)
-    lined = df.withColumn("_lines", lines_udf(y_tol, bar_mode)(boxes, F.col(text_col)))
+    lined = df.withColumn("_lines", merged_lines(boxes, F.col(text_col), y_tol, bar_mode))
     return lined.withColumns({"text_in_line": F.transform("_lines", lambda x: x["text"]), "bbox_in_line": F.transform("_lines", lambda x: x["box"])}).drop("_lines")
 
 
-def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """G-06 for all pairs of one page, boxes x, y, w, h."""
-    lo = np.maximum(a[:, None, :2], b[None, :, :2])
-    hi = np.minimum(a[:, None, :2] + a[:, None, 2:], b[None, :, :2] + b[None, :, 2:])
-    inter = np.maximum(hi - lo, 0).prod(-1)
-    union = np.maximum(a[:, 2:], 0).prod(-1)[:, None] + np.maximum(b[:, 2:], 0).prod(-1)[None] - inter
+#: Boxes on a page up to which all its pairs cost less than a grid or a sweep.
+FEW = 64
+#: Pairs of boxes that are compared at a time.
+_AT_ONCE = 1 << 20
+
+
+def _starting_inside(a: np.ndarray, b: np.ndarray) -> tuple[tuple, tuple]:
+    """For intervals (start, end) ``a`` and ``b``: the order of all starts of ``b``, and the range
+    there of those in [start, end) of each of ``a``; then the same for starts of ``a`` in (start,
+    end) of each of ``b``, as two such triples. Each two that share some length are in one range."""
+    by_b, by_a = np.argsort(b[:, 0], kind="stable"), np.argsort(a[:, 0], kind="stable")
+    in_a = np.searchsorted(b[by_b, 0], a[:, 0], "left"), np.searchsorted(b[by_b, 0], a[:, 1], "left")
+    in_b = np.searchsorted(a[by_a, 0], b[:, 0], "right"), np.searchsorted(a[by_a, 0], b[:, 1], "left")
+    return (by_b, *in_a), (by_a, *in_b)
+
+
+def _members(order: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owner, member) of all ranges of ``order``, about ``_AT_ONCE`` at a time."""
+    n = np.maximum(end - first, 0)
+    total = np.cumsum(n)
+    for k in np.split(np.arange(len(n)), np.searchsorted(total, np.arange(_AT_ONCE, n.sum(), _AT_ONCE))):
+        m = n[k]
+        yield np.repeat(k, m), order[np.arange(m.sum()) + np.repeat(first[k] - np.cumsum(m) + m, m)]
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """G-06 of boxes along the last axis."""
+    inter = np.maximum(np.minimum(a[..., :2] + a[..., 2:], b[..., :2] + b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0).prod(-1)
+    union = np.maximum(a[..., 2:], 0).prod(-1) + np.maximum(b[..., 2:], 0).prod(-1) - inter
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
-#: Boxes on a page up to which all its pairs cost less than a grid.
-FEW = 64
+def meeting(gt: np.ndarray, pred: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """G-06 for one page: (i, j, overlap) of the boxes x, y, w, h that overlap by ``least`` or
+    more, by i, then j. Only boxes side by side on an axis are compared: of the two axes
+    the one with fewer such pairs. A ``least`` that needs no overlap takes all pairs, and so
+    do pages of few boxes, which a sweep would cost more; the result is the same."""
+    if len(gt) * len(pred) <= FEW * FEW:
+        whole = _overlap(gt[:, None], pred[None])
+        i, j = np.nonzero(whole >= least)
+        return i, j, whole[i, j]
+    if least > 0:
+        axes = [_starting_inside(*[np.stack([x[:, k], x[:, k] + x[:, k + 2]], 1) for x in (gt, pred)]) for k in (0, 1)]
+        of_gt, of_pred = min(axes, key=lambda axis: sum(int(np.maximum(e - f, 0).sum()) for _, f, e in axis))
+        pieces = itertools.chain(_members(*of_gt), ((i, j) for j, i in _members(*of_pred)))
+    else:
+        every = np.arange(len(pred))
+        pieces = _members(every, np.zeros(len(gt), np.int64), np.full(len(gt), len(pred)))
+    found = []
+    for i, j in pieces:
+        v = _overlap(gt[i], pred[j])
+        found.append((i[v >= least], j[v >= least], v[v >= least]))
+    i, j, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, i))
+    return i[order], j[order], v[order]
 
 
 def overlaps(boxes: DataFrame, page: list[str], key: str, box: str = "box", few: int = FEW) -> DataFrame:
@@ -118,10 +183,9 @@ def overlaps(boxes: DataFrame, page: list[str], key: str, box: str = "box", few:
     return found.select(*page, pick("_k2", "_k1").alias(key), pick("_b2", "_b1").alias(box), pick("_k1", "_k2").alias(f"{key}2"), pick("_b1", "_b2").alias(f"{box}2"))
 
 
-def greedy_match(ious: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """K-11: pairs by overlap, the greatest first, ties in row order; each box once."""
-    i, j = np.nonzero(ious >= least)
-    order = np.argsort(-ious[i, j], kind="stable")
+def greedy_match(i: np.ndarray, j: np.ndarray, overlap: np.ndarray) -> list[tuple[int, int]]:
+    """K-11: pairs of ``meeting`` by overlap, the greatest first, ties in row order; each box once."""
+    order = np.argsort(-overlap, kind="stable")
     rows, cols, out = set(), set(), []
     for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
         if a not in rows and b not in cols:
@@ -131,19 +195,20 @@ def greedy_match(ious: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def average_precision(ious: np.ndarray, scores: np.ndarray, least: float) -> float:
-    """K-12: 11-point average precision; equal scores are visited last place first. Each
-    prediction takes the best free ground truth at ``least`` or more, the first at a tie."""
-    n_gt, n_pred = ious.shape
+def average_precision(i: np.ndarray, j: np.ndarray, overlap: np.ndarray, n_gt: int, scores: np.ndarray) -> float:
+    """K-12: 11-point average precision over pairs of ``meeting``; equal scores are visited last
+    place first. Each prediction takes the best free ground truth it meets, the first at a tie."""
+    n_pred = len(scores)
     if not n_gt or not n_pred:
         return 0.0
-    order = np.argsort(scores, kind="stable")[::-1]
+    best_first = np.lexsort((i, -overlap, j))
+    ends = np.searchsorted(j[best_first], np.arange(n_pred + 1)).tolist()
+    met = i[best_first].tolist()
     free, hit = np.ones(n_gt, bool), np.zeros(n_pred)
-    for rank, p in enumerate(order):
-        own = np.where(free, ious[:, p], -1.0)
-        best = int(np.argmax(own))
-        if own[best] >= least:
-            hit[rank], free[best] = 1, False
+    for rank, p in enumerate(np.argsort(scores, kind="stable")[::-1].tolist()):
+        own = next((g for g in met[ends[p] : ends[p + 1]] if free[g]), None)
+        if own is not None:
+            hit[rank], free[own] = 1, False
     tp = np.cumsum(hit)
     precision, recall = tp / (np.arange(1, n_pred + 1) + 1e-8), tp / n_gt
     best_from = np.maximum.accumulate(precision[::-1])[::-1]
@@ -151,14 +216,20 @@ def average_precision(ious: np.ndarray, scores: np.ndarray, least: float) -> flo
     return float(np.where(at < n_pred, best_from[np.minimum(at, n_pred - 1)], 0.0).mean())
 
 
-def page_metrics(gt: np.ndarray, pred: np.ndarray, scores: np.ndarray, least: float) -> list[float]:
-    """K-13: TP, FP, FN, precision, recall, F1 and average precision at one threshold."""
-    ious = iou_matrix(gt, pred)
-    tp = len(greedy_match(ious, least))
-    fp, fn = len(pred) - tp, len(gt) - tp
-    p = tp / (tp + fp) if tp + fp else 0.0
-    r = tp / (tp + fn) if tp + fn else 0.0
-    return [float(tp), float(fp), float(fn), p, r, 2 * p * r / (p + r) if p + r else 0.0, average_precision(ious, scores, least)]
+def page_metrics(gt: np.ndarray, pred: np.ndarray, scores: np.ndarray, *thresholds: float) -> list[list[float]]:
+    """K-13: TP, FP, FN, precision, recall, F1 and average precision at each threshold; boxes
+    are compared once."""
+    i, j, overlap = meeting(gt, pred, min(thresholds))
+    out = []
+    for least in thresholds:
+        k = overlap >= least
+        pairs = i[k], j[k], overlap[k]
+        tp = len(greedy_match(*pairs))
+        fp, fn = len(pred) - tp, len(gt) - tp
+        p = tp / (tp + fp) if tp + fp else 0.0
+        r = tp / (tp + fn) if tp + fn else 0.0
+        out.append([float(tp), float(fp), float(fn), p, r, 2 * p * r / (p + r) if p + r else 0.0, average_precision(*pairs, len(gt), scores)])
+    return out
 
 
 def metrics_udf(thresholds: tuple[float, ...]):
@@ -174,7 +245,7 @@ def metrics_udf(thresholds: tuple[float, ...]):
                 continue
             g, p = (np.array([np.array(b, float) for b in x]) for x in (g, p))
             s = np.ones(len(p)) if s is None or len(s) != len(p) else np.array(s, float)
-            out.append([page_metrics(g, p, s, t) for t in thresholds])
+            out.append(page_metrics(g, p, s, *thresholds))
         return pd.Series(out)
 
     return run

@@ -112,26 +112,106 @@ def test_bleu(spark):
     assert one["p2"] == pytest.approx(25) and one["p3"] == pytest.approx(25)
 
 
-def test_lines():
-    boxes, texts = [[0, 0, 10, 10], [20, 2, 10, 10], [0, 20, 10, 10]], ["A", "B", "C"]
-    assert L.merge_lines(boxes, texts) == [{"text": "A B", "box": [0, 0, 30, 12]}, {"text": "C", "box": [0, 20, 10, 10]}]
-    assert L.merge_lines(boxes, ["A", "|", "B"]) == [{"text": "A B", "box": [0, 0, 30, 12]}]
-    assert [x["text"] for x in L.merge_lines(boxes, ["A", "|", "B"], bar_mode="aligned")] == ["A", "B"]
-    assert L.merge_lines(None, None) == [] and L.merge_lines([], ["a"]) == []
+def plain_lines(boxes, texts, bar_mode="reference"):
+    """K-09 fragment by fragment, with the mean of all middles and heights so far."""
+    boxes, texts = [list(map(float, b)) for b in boxes or []], list(texts or [])
+    if bar_mode == "reference":
+        texts = [t for t in texts if t.strip() != "|"]
+    pairs = [p for p in zip(boxes, texts) if bar_mode == "reference" or p[1].strip() != "|"]
+    lines = []
+    for b, t in sorted(pairs, key=lambda p: p[0][1] + p[0][3] / 2):
+        m = b[1] + b[3] / 2
+        if lines and abs(m - sum(lines[-1]["m"]) / len(lines[-1]["m"])) <= max(b[3], sum(lines[-1]["h"]) / len(lines[-1]["h"])) * 0.6:
+            last = lines[-1]
+            o = last["box"]
+            x, y = min(o[0], b[0]), min(o[1], b[1])
+            last["box"] = [x, y, max(o[0] + o[2], b[0] + b[2]) - x, max(o[1] + o[3], b[1] + b[3]) - y]
+        else:
+            lines.append(last := {"m": [], "h": [], "p": [], "box": b})
+        last["m"].append(m)
+        last["h"].append(b[3])
+        last["p"].append((b[0], len(last["p"]), t))
+    return [{"text": " ".join(t.strip() for _, _, t in sorted(x["p"])), "box": x["box"]} for x in lines]
+
+
+def lines_of(spark, pages, bar_mode="reference"):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "i int, boxes array<array<double>>, texts array<string>")
+    rows = df.select("i", L.merged_lines(F.col("boxes"), F.col("texts"), bar_mode=bar_mode).alias("l")).orderBy("i").collect()
+    return [[x.asDict() for x in r["l"]] for r in rows]
+
+
+def test_lines(spark):
+    boxes, texts = [[0.0, 0.0, 10.0, 10.0], [20.0, 2.0, 10.0, 10.0], [0.0, 20.0, 10.0, 10.0]], ["A", "B", "C"]
+    whole, barred, none, short = lines_of(spark, [(boxes, texts), (boxes, ["A", "|", "B"]), (None, None), ([], ["a"])])
+    assert whole == [{"text": "A B", "box": [0, 0, 30, 12]}, {"text": "C", "box": [0, 20, 10, 10]}]
+    assert barred == [{"text": "A B", "box": [0, 0, 30, 12]}]
+    assert [x["text"] for x in lines_of(spark, [(boxes, ["A", "|", "B"])], "aligned")[0]] == ["A", "B"]
+    assert none == [] and short == []
     with pytest.raises(ValueError):
-        L.merge_lines([], [], bar_mode="x")
+        L.merged_lines(F.col("boxes"), F.col("texts"), bar_mode="x")
+    # Without numbers or a text: a line of its own, the text None.
+    assert lines_of(spark, [([None, [1.0, 1.0, 2.0, 2.0]], ["a", None])])[0] == [{"text": "a", "box": None}, {"text": "None", "box": [1, 1, 2, 2]}]
+
+
+@pytest.mark.parametrize("bar_mode", ["reference", "aligned"])
+def test_lines_against_plain_ones(spark, bar_mode):
+    rng = random.Random(5)
+    page = lambda n: ([[rng.randrange(40) / 2, rng.randrange(12 * n) / 8, rng.randrange(9), rng.randrange(1, 9)] for _ in range(n)], [rng.choice(["a", " b\x1c", "|", " |\u2003", "c d", ""]) for _ in range(n + rng.randrange(-1, 2))])
+    pages = [page(n) for n in (1, 2, 5, 7, 7, 7, 20, 60) for _ in range(4)]
+    assert lines_of(spark, [([[float(v) for v in b] for b in bs], ts) for bs, ts in pages], bar_mode) == [plain_lines(*p, bar_mode) for p in pages]
+
+
+def test_lines_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([], "b array<array<double>>, t array<string>")
+    assert "Python" not in L.build_line_columns(df, "t", "b")._jdf.queryExecution().toString()
+
+
+def every_overlap(a, b):
+    """The matrix of G-06."""
+    lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, :2] + a[:, None, 2:], b[None, :, :2] + b[None, :, 2:])
+    inter = np.maximum(hi - lo, 0).prod(-1)
+    union = np.maximum(a[:, 2:], 0).prod(-1)[:, None] + np.maximum(b[:, 2:], 0).prod(-1)[None] - inter
+    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+
+
+@pytest.mark.parametrize("at_once", [3, 1 << 20])
+@pytest.mark.parametrize("least", [0.0, 1e-9, 0.3, 0.5])
+def test_meeting_boxes_are_those_of_the_matrix(monkeypatch, at_once, least):
+    monkeypatch.setattr(L, "_AT_ONCE", at_once)
+    monkeypatch.setattr(L, "FEW", at_once % 4)
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 4), (5, 0), (1, 1), (12, 9), (60, 70)):
+        for size in (6, 40):
+            a, b = (np.column_stack([rng.integers(0, 40, (k, 2)), rng.integers(-1, size, (k, 2))]).astype(float) for k in (n, m))
+            i, j, v = L.meeting(a, b, least)
+            whole = every_overlap(a, b)
+            want = np.nonzero(whole >= least)
+            assert i.tolist() == want[0].tolist() and j.tolist() == want[1].tolist() and v.tolist() == whole[want].tolist()
+
+
+def test_meeting_of_a_long_page_compares_few():
+    """A list of 40,000 lines, all in one column, against itself moved a little."""
+    gt = np.column_stack([np.zeros(40_000), np.arange(40_000) * 10.0, np.full(40_000, 100.0), np.full(40_000, 8.0)])
+    i, j, v = L.meeting(gt, gt + [1, 1, 0, 0], 0.5)
+    assert i.tolist() == j.tolist() == list(range(40_000)) and v.min() > 0.7
+
+
+def at_least(m, least):
+    i, j = np.nonzero(m >= least)
+    return i, j, m[i, j]
 
 
 def test_matching_and_precision():
-    assert L.greedy_match(np.array([[0.9, 0.8], [0.9, 0.1]]), 0.5) == [(0, 0)]
-    assert L.greedy_match(np.array([[0.6, 0.8], [0.9, 0.7]]), 0.5) == [(1, 0), (0, 1)]
+    assert L.greedy_match(*at_least(np.array([[0.9, 0.8], [0.9, 0.1]]), 0.5)) == [(0, 0)]
+    assert L.greedy_match(*at_least(np.array([[0.6, 0.8], [0.9, 0.7]]), 0.5)) == [(1, 0), (0, 1)]
     gt = np.array([[20.0 * i, 0, 10, 10] for i in range(10)])
-    assert L.average_precision(L.iou_matrix(gt, gt[:3]), np.ones(3), 0.5) == pytest.approx(3 / 11)
-    assert L.average_precision(L.iou_matrix(gt, gt), np.ones(10), 0.5) == pytest.approx(1)
+    ap = lambda pred: L.average_precision(*L.meeting(gt, pred, 0.5), len(gt), np.ones(len(pred)))
+    assert ap(gt[:3]) == pytest.approx(3 / 11)
+    assert ap(gt) == pytest.approx(1)
     # Equal scores are visited last first: the miss in front comes last.
     pred = np.vstack([[[500.0, 0, 1, 1]], gt])
-    assert L.average_precision(L.iou_matrix(gt, pred), np.ones(11), 0.5) == pytest.approx(1)
-    m = L.page_metrics(gt, pred, np.ones(11), 0.5)
+    assert ap(pred) == pytest.approx(1)
+    (m,) = L.page_metrics(gt, pred, np.ones(11), 0.5)
     assert m[:3] == [10, 1, 0] and m[4] == 1 and m[5] == pytest.approx(20 / 21)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.binding import let
 
 
 def keep_first(df: DataFrame, key: list[str], *order: str) -> DataFrame:
@@ -44,8 +46,7 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     stretches = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = [i / stretches for i in range(1, stretches)]
     bounds = df.agg(F.percentile_approx(order, at).alias("b")).collect()[0]["b"] if at else None  # one row
-    p = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    parts = df.withColumn("_p", p)
+    parts = df.withColumn("_p", bounds_below(sorted(set(bounds)), F.col(order)) if bounds else F.lit(0))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -53,6 +54,15 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return parts.join(F.broadcast(starts), "_p").withColumn(name, F.col("_b") + within).drop("_p", "_b")
 
 
+def bounds_below(bounds: list, value: Column) -> Column:
+    """How many of the sorted ``bounds`` are below ``value``: those at every step of about their
+    number's root are compared, then the one step in which the value falls."""
+    step = isqrt(len(bounds))
+    below = lambda some: F.size(F.filter(some, lambda b: b < value))
+    every, coarse = (F.array(*map(F.lit, b)) for b in (bounds, bounds[step - 1 :: step]))
+    return let(below(coarse), lambda c: c * step + below(F.slice(every, c * step + 1, F.lit(step))))
+
+
 def first_match(frames: list[DataFrame], key: list[str], *order: str) -> DataFrame:
     """R-05: each key's first row in the first frame that has it."""
     tagged = [f.withColumn("_f", F.lit(i)) for i, f in enumerate(frames)]

@@ -105,3 +105,23 @@ def label_maps(labels: list[str]) -> tuple[dict[int, str], dict[str, int]]:
     names = sorted(set(labels))
     names = names if "O" in names else ["O", *names]
     return dict(enumerate(names)), {n: i for i, n in enumerate(names)}
+
+
+def label_table(pages: DataFrame, labels: str, first_by: str | None = None) -> DataFrame:
+    """G-24: id, label of the distinct labels in the pages' arrays ``labels``, sorted, "O" put
+    first if it isn't there. With ``first_by`` only the labels of the first page under that
+    order count, as a map made from one row has it. Nulls are no labels; without any: "O"."""
+    if first_by:
+        pages = pages.select(F.col(labels).alias("_l"), F.col(first_by).alias("_o")).agg(F.min_by("_l", "_o").alias(labels))
+    found = pages.select(F.explode(labels).alias("label")).filter("label is not null").distinct()
+    # One row: a classifier's classes, combined before they are brought together.
+    names = found.agg(F.sort_array(F.collect_set("label")).alias("n"))
+    all_names = F.when(F.array_contains("n", "O"), F.col("n")).otherwise(F.concat(F.array(F.lit("O")), F.col("n")))
+    return names.select(F.posexplode(all_names).alias("id", "label"))
+
+
+def label_ids(pages: DataFrame, labels: str, table: DataFrame, name: str) -> DataFrame:
+    """``pages`` with an array of the labels' ids; null for labels that ``table`` hasn't got."""
+    ids = table.agg(F.map_from_entries(F.collect_list(F.struct("label", "id"))).alias("_ids"))  # one row
+    numbered = F.transform(labels, lambda x: F.when(x.isNotNull(), F.try_element_at("_ids", x)))
+    return pages.join(F.broadcast(ids)).withColumn(name, numbered).drop("_ids")

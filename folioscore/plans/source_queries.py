@@ -14,7 +14,7 @@ from ..operators import sections as S
 from ..operators import tokens as K
 from ..sources import files, ground_truth, sinks, vendors
 from .registry import register
-from .tables import table
+from .tables import scratch, table
 from .text_queries import ascii_only
 
 
@@ -178,6 +178,52 @@ def q_image_sizes(spark, sf):
     return files.image_sizes(found)
 
 
+@register(
+    "q_jpeg_sizes",
+    """SELECT CAST(p_partkey AS VARCHAR) AS page_id, CASE WHEN k = 0 THEN CAST(p_partkey % 4000 + 1 AS INTEGER) WHEN k = 4 THEN 7 ELSE 0 END AS width, CASE WHEN k = 0 THEN CAST(p_partkey % 3000 + 1 AS INTEGER) WHEN k = 4 THEN 9 ELSE 0 END AS height
+FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)""",
+)
+def q_jpeg_sizes(spark, sf):
+    """SRC-11: frame headers behind segments of any length; cut and other files are 0 x 0; of a
+    page's PNG and JPEG the PNG counts, readable or not."""
+    n, k, name = F.col("p_partkey"), F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    word = lambda c, digits=4: F.lpad(F.hex(c), digits, "0")
+    jpeg = F.concat(F.lit("FFD8FFE0"), word(n % 50 + 2), F.repeat(F.lit("A5"), (n % 50).cast("int")), F.lit("FFC0001108"), word(n % 3000 + 1), word(n % 4000 + 1), F.lit("03"), F.repeat(F.lit("00"), F.lit(20)))
+    file = lambda end, content: F.struct(F.concat(F.lit("/x/"), name, F.lit(end)).alias("path"), F.unhex(content).alias("content"))
+    both = F.when(k == 3, F.lit("4142")).otherwise(F.lit("89504E470D0A1A0A0000000D494844520000000700000009"))
+    made = F.when(k == 0, F.array(file(".jpg", jpeg))).when(k == 1, F.array(file(".jpeg", F.substring(jpeg, 1, 12)))).when(k == 2, F.array(file(".bmp", F.lit("424D0000")))).otherwise(F.array(file(".jpg", jpeg), file(".png", both)))
+    return files.image_sizes(table(spark, sf, "part").select(name.alias("page_id"), F.explode(made).alias("f")).select("page_id", "f.*"))
+
+
+@register("q_file_listing", "SELECT 'n' || c_nationkey AS folder, CAST(sum(length(c_name) + 1) AS BIGINT) AS length, md5(string_agg(c_name, chr(10) ORDER BY c_name) || chr(10)) AS digest FROM customer GROUP BY c_nationkey")
+def q_file_listing(spark, sf):
+    """SRC-12: files of nested folders with their lengths and contents."""
+    path = scratch(spark, "listing")
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("folder"), "c_name")
+    rows.repartition("folder").sortWithinPartitions("folder", "c_name").write.partitionBy("folder").text(path)
+    found = files.images(spark, path, recursive=True, glob="*.txt")
+    return found.select(F.regexp_extract("path", "folder=([^/]*)/", 1).alias("folder"), "length", F.md5("content").alias("digest"))
+
+
+@register(
+    "q_label_maps",
+    """WITH l AS (SELECT l_orderkey, 'flag' AS kind, l_returnflag AS label FROM lineitem UNION ALL SELECT l_orderkey, 'status', l_linestatus FROM lineitem UNION ALL SELECT l_orderkey, 'first', l_returnflag FROM lineitem),
+m AS (SELECT DISTINCT kind, label FROM l WHERE kind <> 'first' OR l_orderkey = (SELECT min(l_orderkey) FROM lineitem) UNION SELECT DISTINCT kind, 'O' FROM l),
+s AS (SELECT kind, label, row_number() OVER (PARTITION BY kind ORDER BY kind <> 'status' AND label = 'O' DESC, label) - 1 AS id FROM m)
+SELECT s.kind, CAST(s.id AS INTEGER) AS id, s.label, CAST((SELECT count(*) FROM l WHERE l.kind = s.kind AND l.label = s.label) AS BIGINT) AS n FROM s""",
+)
+def q_label_maps(spark, sf):
+    """G-24: maps from all pages' labels, "O" added or there already, and from the first page's
+    alone; how many labels each id stands for."""
+    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("flag"), F.collect_list("l_linestatus").alias("status"))
+    parts = []
+    for kind, column, first in (("flag", "flag", None), ("status", "status", None), ("first", "flag", "l_orderkey")):
+        names = K.label_table(pages, column, first)
+        used = K.label_ids(pages, column, names, "ids").select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+        parts.append(names.join(used, "id", "left").select(F.lit(kind).alias("kind"), "id", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("q_data_url", "SELECT page_id, md5('data:image/jpeg;base64,' || base64(encode(html))) AS digest FROM pages")
 def q_data_url(spark, sf):
     # The built-in breaks lines every 76 characters only where MIME asks for it.

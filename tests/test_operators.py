@@ -258,6 +258,25 @@ def test_report(spark):
     assert K.label_maps(["B", "A", "B"])[0] == {0: "O", 1: "A", 2: "B"}
 
 
+def test_label_tables(spark):
+    df = spark.createDataFrame([(2, ["B", "A", None]), (1, ["C"]), (3, []), (4, None)], "k int, l array<string>")
+    rows = lambda t: [tuple(r) for r in t.orderBy("id").collect()]
+    assert rows(K.label_table(df, "l")) == [(0, "O"), (1, "A"), (2, "B"), (3, "C")]
+    assert rows(K.label_table(df, "l", "k")) == [(0, "O"), (1, "C")]
+    assert rows(K.label_table(df.filter("k > 2"), "l")) == [(0, "O")]
+    with_o = spark.createDataFrame([(1, ["P", "O", "A"])], "k int, l array<string>")
+    assert rows(K.label_table(with_o, "l")) == [(0, "A"), (1, "O"), (2, "P")]
+    got = K.label_ids(df, "l", K.label_table(df, "l", "k"), "ids").orderBy("k").collect()
+    assert [r["ids"] for r in got] == [[1], [None, None, None], [], None]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 50, 199])
+def test_bounds_below(spark, n):
+    bounds = [3 * i for i in range(n)]
+    got = spark.range(-2, 3 * n + 3).select("id", R.bounds_below(bounds, F.col("id")).alias("c")).collect()
+    assert all(r["c"] == sum(b < r["id"] for b in bounds) for r in got)
+
+
 def test_relational(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "k string, o int, v string")
     assert {(r["k"], r["v"]) for r in R.keep_first(df, ["k"], "o").collect()} == {("a", "x"), ("b", "z")}

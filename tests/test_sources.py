@@ -193,3 +193,20 @@ def test_streaming_gives_the_batch_means(spark, tmp_path):
     got = {r["engine"]: r["wer"] for r in spark.table("means").collect()}
     want = {r["engine"]: r["wer"] for r in E.means(E.wer_cer(pred, gt), ["engine"], ["wer"]).collect()}
     assert got == pytest.approx(want)
+
+
+def test_windowed_means_close_behind_the_newest_row(spark, tmp_path):
+    """Windows come out once the watermark has passed them; a row behind it isn't counted."""
+    schema = "engine string, at timestamp, wer double, cer double"
+    rows = [[("e", "2024-01-01 00:01:00", 0.2, 0.1), ("e", "2024-01-01 00:09:00", 0.4, 0.3), ("f", "2024-01-01 00:02:00", 1.0, 1.0)], [("e", "2024-01-01 02:00:00", 0.0, 0.0)], [("e", "2024-01-01 00:03:00", 9.0, 9.0)], [("e", "2024-01-01 04:00:00", 0.0, 0.0)]]
+    (tmp_path / "in").mkdir()
+    stream = stream_pages.windowed_means(stream_pages.page_stream(spark, str(tmp_path / "in"), schema), "at")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("windows").start()
+    for batch in rows:
+        df = spark.createDataFrame(batch, "engine string, at string, wer double, cer double").withColumn("at", F.to_timestamp("at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    got = {(r["engine"], str(r["window"]["start"])): (r["wer"], r["cer"], r["pages"]) for r in spark.table("windows").collect()}
+    want = {("e", "2024-01-01 00:00:00"): (0.3, 0.2, 2), ("f", "2024-01-01 00:00:00"): (1.0, 1.0, 1), ("e", "2024-01-01 02:00:00"): (0.0, 0.0, 1)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

@@ -224,6 +224,43 @@ def q_label_maps(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register(
+    "q_parser_branches",
+    """SELECT CAST(c_custkey AS VARCHAR) AS page_id, c_name AS github, CASE WHEN c_custkey % 2 = 0 THEN 'li/' || c_name ELSE '' END AS linkedin, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name || '@x' END AS email,
+CAST(CASE WHEN c_custkey % 4 > 0 THEN 2 ELSE 1 END AS BIGINT) AS entries, 'I' || c_custkey % 5 || ';D;a, b;;2001;' AS school, CASE WHEN c_custkey % 4 > 0 THEN 'cert ' || c_custkey END AS certification, 'SQL|Python|L' || c_custkey % 3 AS skills FROM customer""",
+)
+def q_parser_branches(spark, sf):
+    """G-19: the last site of a kind in any case, the first e-mail or none, schools with a null
+    part, a certificate behind them, languages among the skills, repeats left out."""
+    n = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    site = lambda kind, url: F.struct(F.lit(kind).alias("Type"), url.alias("Url"))
+    sites = F.concat(F.array(site("GitHub", F.lit("old")), site("github", F.col("c_name"))), F.when(n % 2 == 0, F.array(site("LINKEDIN", text("li/", F.col("c_name"))))).otherwise(F.array().cast("array<struct<Type:string,Url:string>>")))
+    mail = F.when(n % 3 == 0, F.array().cast("array<struct<EmailAddress:string>>")).otherwise(F.array(F.struct(text(F.col("c_name"), "@x").alias("EmailAddress")), F.struct(F.lit("second").alias("EmailAddress"))))
+    degree = F.struct(F.lit("D").alias("DegreeName"), F.array(F.lit("a"), F.lit("b")).alias("Specialization"))
+    school = F.struct(F.struct(text("I", n % 5).alias("Name")).alias("Institution"), degree.alias("Degree"), F.lit(None).cast("struct<Name:string>").alias("SubInstitution"), F.lit("2001").alias("StartDate"))
+    spoken = F.array(*[F.struct(x.alias("Language")) for x in (text("L", n % 3), F.lit(""), F.lit("SQL"))])
+    root = F.struct(sites.alias("WebSite"), mail.alias("Email"), F.array(school).alias("SegregatedQualification"), F.when(n % 4 > 0, text("cert ", n)).alias("Certification"), F.lit("SQL  50%\n\nPython").alias("SkillBlock"), spoken.alias("LanguageKnown"))
+    texts = table(spark, sf, "customer").select(n.cast("string").alias("page_id"), F.to_json(F.struct(root.alias("ResumeParserData"))).alias("value"))
+    r, first = vendors.restructured(texts), F.col("resume.education")[0]
+    school = F.concat_ws(";", *[first[k] for k in ("institution", "degree", "specialization", "sub_institution", "start_date", "end_date")])
+    return r.select("page_id", *[F.col(f"resume.personal_info.{k}").alias(k) for k in ("github", "linkedin", "email")], F.size("resume.education").cast("long").alias("entries"), school.alias("school"), F.element_at("resume.education", -1)["certification"].alias("certification"), F.array_join("resume.skills", "|").alias("skills"))
+
+
+@register(
+    "q_list_words",
+    """SELECT conv_id, turn, concat_ws('|', nullif(t || ' q', ' q'), nullif(t, ''), CASE WHEN t = '' THEN 'q' END) AS as_list, CAST(2 * len(list_filter(string_split(t, ' '), lambda w: w <> '')) + 1 AS BIGINT) AS as_text
+FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM conversations)""",
+)
+def q_list_words(spark, sf):
+    """T-17: items of a list are normalised and stay items, spaces and all; a text is split again."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z\s]", ""), r"\s+", " "))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", t.alias("t"))
+    items = F.array(F.concat("t", F.lit("-q")), F.lit("--"), F.col("t"))
+    words = T.word_sequence(F.concat("t", F.lit("-q -- "), F.col("t")), False)
+    return c.select("conv_id", "turn", F.array_join(T.word_sequence(items, True), "|").alias("as_list"), F.size(words).cast("long").alias("as_text"))
+
+
 @register("q_data_url", "SELECT page_id, md5('data:image/jpeg;base64,' || base64(encode(html))) AS digest FROM pages")
 def q_data_url(spark, sf):
     # The built-in breaks lines every 76 characters only where MIME asks for it.

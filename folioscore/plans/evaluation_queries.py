@@ -219,6 +219,22 @@ def q_csv_ground_truth(spark, sf):
     return p.select("page_id", F.array_join("words", " ").alias("words"), F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b[0]).alias("x"))
 
 
+@register(
+    "q_list_cer",
+    f"""WITH {_CSV_RANKED}, p AS (SELECT l_orderkey, lower(string_agg(l_returnflag || l_partkey, '' ORDER BY n)) AS g, lower(string_agg(l_returnflag || l_partkey, '' ORDER BY n DESC)) AS h, lower('[' || string_agg(chr(39) || l_returnflag || l_partkey || chr(39), ',' ORDER BY n) || ']') AS raw FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, floor(levenshtein(g, h) / CAST(length(g) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS lists, floor(levenshtein(g, raw) / CAST(length(g) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS literal FROM p""",
+)
+def q_list_cer(spark, sf):
+    """K-02: lists of words against lists, and against a list's literal that was read as text,
+    brackets, quotes and commas counting as characters."""
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("flag"))
+    pages = table(spark, sf, "lineitem").select("l_orderkey", row.alias("r")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    words = F.transform("r", lambda x: F.concat(x["flag"], x["l_partkey"].cast("string")))
+    literal = F.concat(F.lit("['"), F.array_join("w", "', '"), F.lit("']"))
+    rates = pages.select("l_orderkey", words.alias("w")).select("l_orderkey", D.cer(F.col("w"), F.reverse("w"), True, True).alias("lists"), D.cer(F.col("w"), literal, True, False).alias("literal"))
+    return rates.select("l_orderkey", six(F.col("lists")).alias("lists"), six(F.col("literal")).alias("literal"))
+
+
 @register("q_csv_predictions", f"WITH {_CSV_RANKED} SELECT 'P' || l_orderkey AS filename, string_agg(l_returnflag || l_partkey, '|' ORDER BY n) AS words, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY l_orderkey")
 def q_csv_predictions(spark, sf):
     """SRC-02: a CSV of predictions with list columns."""

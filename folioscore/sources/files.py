@@ -86,8 +86,8 @@ def with_sizes(pages: DataFrame, sizes: DataFrame) -> DataFrame:
 
 #: An image's extensions in the order they are tried.
 EXTENSIONS = (".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".gif")
-#: Characters of a gram by which names are looked up, where a base name has as many.
-_GRAM = 3
+#: First characters of a sought name by which names' parts are chosen, and how many kinds are told apart.
+_HEAD, _KINDS = 3, 1 << 16
 
 
 def image_for_page(pages: DataFrame, listing: DataFrame) -> DataFrame:
@@ -95,20 +95,23 @@ def image_for_page(pages: DataFrame, listing: DataFrame) -> DataFrame:
     that of its document's name, else the first path of a file whose name contains the
     document's in any case; null without one. A document's name is the page's up to ``_page_``.
 
-    Equal names are equi-joins. Only what they leave is looked up by parts of names: a
-    document's rarest gram of ``_GRAM`` characters is joined to the files that have it."""
+    All are equi-joins. Only what equal names leave is looked up by parts of names: the parts as long
+    as a sought name that starts like them, each with its first path. How a sought name starts is
+    a hash of its first ``_HEAD`` characters, of ``_KINDS`` kinds, so the table of their lengths is small."""
     files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
     wanted = pages.select("page_id").filter("page_id is not null").distinct().withColumn("base", F.coalesce(X.cv_id(F.col("page_id")), F.col("page_id")))
-    tries = [F.struct(F.concat(F.col(c), F.lit(e)).alias("name"), F.lit(i * len(EXTENSIONS) + k).alias("rank")) for i, c in enumerate(("page_id", "base")) for k, e in enumerate(EXTENSIONS)]
-    exact = wanted.select("page_id", F.explode(F.array(*tries)).alias("t")).select("page_id", "t.*").join(files, "name").groupBy("page_id").agg(F.min_by("path", F.struct("rank", "path")).alias("image"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - _GRAM + 1)), lambda i: F.substring(c, i, _GRAM)))
-    heads = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda n: F.substring(c, i, n)))))
-    low = F.lower("name")
-    held = files.withColumn("low", low).select("path", "low", F.explode(heads(F.col("low"))).alias("gram"))
-    rest = wanted.join(exact, "page_id", "left_anti").withColumn("sought", F.lower("base")).filter("sought <> ''")
-    rarest = rest.select("page_id", "sought", F.explode(grams(F.col("sought"))).alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("page_id", "sought").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    loose = rarest.join(held, "gram").filter(F.contains("low", "sought")).groupBy("page_id").agg(F.min("path").alias("image"))
-    return pages.join(exact.unionByName(loose), "page_id", "left")
+    kind = F.array_position(F.array(*map(F.lit, EXTENSIONS)), F.regexp_extract("name", r"\.[^.]*\z", 0))
+    stems = files.withColumn("kind", kind).filter("kind > 0").withColumn("stem", F.regexp_replace("name", r"\.[^.]*\z", "")).groupBy("stem").agg(F.min(F.struct("kind", "path")).alias("file"))
+    tries = F.array(*[F.struct(F.col(c).alias("stem"), F.lit(i).alias("try")) for i, c in enumerate(("page_id", "base"))])
+    exact = wanted.select("page_id", F.explode(tries).alias("t")).select("page_id", "t.*").join(stems, "stem").groupBy("page_id").agg(F.min_by("file.path", F.struct("try", "file")).alias("image"))
+    rest = wanted.join(exact, "page_id", "left_anti").select("page_id", F.lower("base").alias("sought")).filter("sought <> ''")
+    start = lambda c: F.pmod(F.xxhash64(c), F.lit(_KINDS))
+    lengths = rest.groupBy(start(F.substring("sought", 1, _HEAD)).alias("start")).agg(F.collect_set(F.length("sought")).alias("lengths"))
+    low = files.select("path", F.lower("name").alias("low")).filter("low <> ''")
+    heads = low.select("path", "low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("i")).select("path", "low", "i", F.explode(F.array_distinct(F.array(*[F.expr(f"substring(low, i, {n})") for n in range(1, _HEAD + 1)]))).alias("head"))
+    found = heads.withColumn("start", start(F.col("head"))).join(F.broadcast(lengths), "start").select("path", "low", "i", F.explode("lengths").alias("n"))
+    parts = found.filter("i + n - 1 <= length(low)").groupBy(F.expr("substring(low, i, n)").alias("sought")).agg(F.min("path").alias("image"))
+    return pages.join(exact.unionByName(rest.join(parts, "sought").select("page_id", "image")), "page_id", "left")
 
 
 def reading_order_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -132,6 +132,17 @@ def test_image_for_page(spark):
     assert got["A_page_002"] == "/i/A.gif" and got["Cee_page_001"] == "/i/xx-cee-2.txt" and got["none"] is None
 
 
+def test_image_for_page_looks_up_whole_names(spark):
+    """Names of few kinds of grams: no row for two names that only have a gram in common."""
+    pages = [f"D{n}_page_001" for n in range(1000, 1300)]
+    listing = spark.createDataFrame([(f"/i/scan-d{n}x.PNG",) for n in range(1000, 1300)] + [("/i/png",)], "path string")
+    found = files.image_for_page(spark.createDataFrame([(p,) for p in [*pages, "png"]], "page_id string"), listing)
+    assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r["page_id"]: r["image"] for r in found.collect()}
+    first = lambda p: f"/i/scan-d{p[1:5]}x.PNG"
+    assert got == {p: first(p) for p in pages} | {"png": "/i/png"}
+
+
 def test_lines_payload_and_strict(spark, tmp_path):
     with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
         f.write(json.dumps({"source_boxes": [[1, 2, 3, 4]], "target_index": [1], "source_texts": ["a"], "target_texts": ["a"]}) + "\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,8 +43,7 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """``df`` with places from 0 under ``order`` (unique). Rows are dealt by quantiles of
     ``order`` that are fixed before: counting the rows of a stretch and numbering them there
     go by the same bounds, whatever partitions either pass has."""
-    stretches = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = [i / stretches for i in range(1, stretches)]
+    at = quantiles(df.sparkSession)
     bounds = df.agg(F.percentile_approx(order, at).alias("b")).collect()[0]["b"] if at else None  # one row
     parts = df.withColumn("_p", bounds_below(sorted(set(bounds)), F.col(order)) if bounds else F.lit(0))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
@@ -54,6 +53,12 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return parts.join(F.broadcast(starts), "_p").withColumn(name, F.col("_b") + within).drop("_p", "_b")
 
 
+def quantiles(spark: SparkSession) -> list[float]:
+    """The shares at which a column is cut into one stretch for each shuffle partition."""
+    stretches = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return [i / stretches for i in range(1, stretches)]
+
+
 def bounds_below(bounds: list, value: Column) -> Column:
     """How many of the sorted ``bounds`` are below ``value``: those at every step of about their
     number's root are compared, then the one step in which the value falls."""
@@ -115,8 +120,17 @@ def unify_documents(df: DataFrame, lists: list[str], scalars: list[str], doc: st
     return grouped.select(doc, *[F.flatten(in_order(v)).alias(v) for v in lists], *[kept(v).alias(v) for v in scalars])
 
 
+#: Places that equal lengths are dealt to.
+_TIES = 1 << 20
+
+
 def length_batches(df: DataFrame, length: str, size: int) -> DataFrame:
-    """R-26: rows dealt by length, the longest first, in numbered batches of ``size`` within a partition."""
-    dealt = df.repartitionByRange(F.desc(length)).sortWithinPartitions(F.desc(length))
-    inside = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy(F.desc(length)))
-    return dealt.withColumn("batch", F.floor((inside - 1) / size))
+    """R-26: rows dealt by length, the longest first (null ones last), to a numbered ``part``, and
+    there to numbered batches of ``size``. Parts go by quantiles that are fixed before, equal
+    lengths by a hash of the row, so both numbers are the same whenever the rows are read."""
+    place = F.coalesce(-F.col(length).cast("long"), F.lit(1)) * _TIES + F.pmod(F.xxhash64(*df.columns), F.lit(_TIES))
+    placed, at = df.withColumn("_at", place), quantiles(df.sparkSession)
+    bounds = placed.agg(F.percentile_approx("_at", at).alias("b")).collect()[0]["b"] if at else None  # one row
+    dealt = placed.withColumn("part", bounds_below(sorted(set(bounds)), F.col("_at")) if bounds else F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("_at"))
+    return dealt.withColumn("batch", F.floor((inside - 1) / size)).drop("_at")

@@ -366,11 +366,11 @@ def q_unify_one_page(spark, sf):
 @register("q_length_batches", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, TRUE AS sorted, TRUE AS bounded FROM documents")
 def q_length_batches(spark, sf):
     """R-26: every row is in a batch, no batch is larger than asked for, and within a
-    partition lengths never rise from batch to batch."""
+    part lengths never rise from batch to batch."""
     docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"))
-    batches = R.length_batches(docs, "chars", 16).withColumn("p", F.spark_partition_id()).groupBy("p", "batch").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("chars").alias("low"), F.max("chars").alias("high"))
-    after = batches.select("p", (F.col("batch") - 1).alias("batch"), F.col("high").alias("next"))
-    joined = batches.join(after, ["p", "batch"], "left")
+    batches = R.length_batches(docs, "chars", 16).groupBy("part", "batch").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("chars").alias("low"), F.max("chars").alias("high"))
+    after = batches.select("part", (F.col("batch") - 1).alias("batch"), F.col("high").alias("next"))
+    joined = batches.join(after, ["part", "batch"], "left")
     return joined.agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.coalesce(F.min(F.col("low") >= F.col("next")), F.lit(True)).alias("sorted"), (F.max("n") <= 16).alias("bounded"))
 
 

@@ -304,6 +304,20 @@ def test_documents(spark):
     assert batches.count() == 4
 
 
+def test_length_batches_are_the_same_whenever_read(spark):
+    """Numbers are the rows' own, not the partitions' that they happen to be in; many equal lengths."""
+    rows = spark.range(3000, numPartitions=7).select("id", F.when(F.col("id") % 50 > 0, F.col("id") % 3 + F.when(F.col("id") % 11 == 0, F.col("id")).otherwise(0)).alias("n"))
+    read = lambda df: {r["id"]: (r["part"], r["batch"]) for r in R.length_batches(df, "n", 8).collect()}
+    first = read(rows)
+    assert len(first) == 3000 and read(rows.repartition(23)) == first
+    spans = R.length_batches(rows, "n", 8).groupBy("part", "batch").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    assert max(r["c"] for r in spans) == 8 and len({r["part"] for r in spans}) == 4
+    high = {(r["part"], r["batch"]): r["high"] for r in spans}
+    for r in spans:
+        after = high.get((r["part"], r["batch"] + 1))
+        assert after is None or r["low"] is None or r["low"] >= after
+
+
 def test_sections(spark):
     pairs = spark.createDataFrame([("f", "skills", "", "x"), ("f", "education", "a b", "a c"), ("g", "skills", "none", None)], "f string, section string, gt string, pred string")
     run = lambda p: {r["section"]: (r["similarity"], r["wer"]) for r in S.compare(pairs, p, lambda a, b: F.lit(0.25)).collect()}

@@ -304,6 +304,36 @@ def test_documents(spark):
     assert batches.count() == 4
 
 
+def test_band_of_the_matrix():
+    """A band gives the distance where it is within reach, and more than its reach elsewhere."""
+    rng = random.Random(5)
+    for _ in range(300):
+        a = [rng.choice("abc") for _ in range(rng.randint(3, 30))]
+        b = [x for x in a if rng.random() < 0.9] + [rng.choice("abc") for _ in range(rng.randint(0, 4))]
+        a, b = sorted((a, b), key=len)
+        known = D.levenshtein(a, b)
+        for reach in range(max(1, len(b) - len(a)), len(a)):
+            found = D._in_band(a, b, reach)
+            assert found == known if known <= reach else found > reach
+    long = "".join(rng.choice("abcdefgh ij") for _ in range(3000))
+    assert D.levenshtein(long, long.replace("ab", "x")) == 2 * long.count("ab")
+
+
+def test_lists_of_words(spark):
+    """Short lists in the JVM, others in Python, and both rates of one normalised text."""
+    rng = random.Random(6)
+    rows = [([rng.choice("uvwxyz") for _ in range(n)], [rng.choice("uvwxyz") for _ in range(m)]) for n, m in ((0, 0), (0, 3), (5, 7), (64, 60), (64, 65), (90, 20))]
+    rows.append((["a", None], ["a", "b"]))
+    out = spark.createDataFrame([*rows, (None, ["a"])], "a array<string>, b array<string>").select("a", "b", D.word_levenshtein(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r["d"] for r in out] == [D.levenshtein(a, b) for a, b in rows] + [None]
+    plan = spark.range(1).select(F.lit("Ab-c, d").alias("g"), F.lit("ab c").alias("h"))
+    g, h = F.col("g"), F.col("h")
+    both = D.rates(plan, g, h).select("wer", "cer", D.wer(g, h).alias("w"), D.cer(g, h).alias("c")).collect()[0]
+    assert (both["wer"], both["cer"]) == (both["w"], both["c"])
+    # The normal form is asked for once a text.
+    assert D.rates(spark.range(9).select(F.col("id").cast("string").alias("g")), g, F.concat(g, g))._jdf.queryExecution().optimizedPlan().toString().count("_nfkc(") == 2
+
+
 def test_length_batches_are_the_same_whenever_read(spark):
     """Numbers are the rows' own, not the partitions' that they happen to be in; many equal lengths."""
     rows = spark.range(3000, numPartitions=7).select("id", F.when(F.col("id") % 50 > 0, F.col("id") % 3 + F.when(F.col("id") % 11 == 0, F.col("id")).otherwise(0)).alias("n"))

@@ -232,20 +232,99 @@ def page_metrics(gt: np.ndarray, pred: np.ndarray, scores: np.ndarray, *threshol
     return out
 
 
+def _flat_boxes(pages: list) -> tuple[np.ndarray, np.ndarray]:
+    """The boxes of all pages one behind the other, and each page's number of them."""
+    sizes = np.fromiter((len(p) for p in pages), np.int64, len(pages))
+    rows = [b for p in pages for b in p]
+    return np.concatenate([np.zeros(0), *rows]).reshape(len(rows), 4), sizes
+
+
+def many_page_metrics(gt: list, pred: list, scores: list, thresholds: tuple[float, ...]) -> np.ndarray:
+    """``page_metrics`` of many small pages together: (pages, thresholds, METRICS). Each round
+    takes every page's next pair, so there are as many rounds as the fullest page has boxes."""
+    g, n_gt = _flat_boxes(gt)
+    p, n_pred = _flat_boxes(pred)
+    rank = np.fromiter(itertools.chain.from_iterable(scores), float, len(p))
+    pages, first_gt, first_pred = np.arange(len(gt)), np.cumsum(n_gt) - n_gt, np.cumsum(n_pred) - n_pred
+    of = np.repeat(pages, n_gt * n_pred)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n_gt * n_pred) - n_gt * n_pred, n_gt * n_pred)
+    every_i, every_j = first_gt[of] + place // n_pred[of], first_pred[of] + place % n_pred[of]
+    every_v = _overlap(g[every_i], p[every_j])
+    # Predictions by score, equal ones last place first, as they are visited.
+    own = np.repeat(pages, n_pred)
+    visit = np.lexsort((-np.arange(len(p)), -rank, own))
+    nth = np.empty(len(p), np.int64)
+    nth[visit] = np.arange(len(p)) - first_pred[own]
+    out = np.zeros((len(gt), len(thresholds), len(METRICS)))
+    widest = int(n_pred.max(initial=0))
+    for k, least in enumerate(thresholds):
+        keep = every_v >= least
+        i, j, v, page = every_i[keep], every_j[keep], every_v[keep], of[keep]
+        # K-11: of the pairs that are left, each page's best one is taken.
+        left = np.lexsort((j, i, -v, page))
+        used_g, used_p, tp = np.zeros(len(g), bool), np.zeros(len(p), bool), np.zeros(len(gt))
+        while len(left):
+            best = left[np.flatnonzero(np.diff(page[left], prepend=-1))]
+            used_g[i[best]], used_p[j[best]] = True, True
+            tp[page[best]] += 1
+            left = left[~(used_g[i[left]] | used_p[j[left]])]
+        # K-12: each page's next prediction takes the best ground truth that is free.
+        hit, free = np.zeros((len(gt), widest)), np.ones(len(g), bool)
+        order = np.lexsort((i, -v, nth[j]))
+        ends = np.searchsorted(nth[j][order], np.arange(widest + 1))
+        for n in range(widest):
+            turn = order[ends[n] : ends[n + 1]]
+            turn = turn[free[i[turn]]]
+            took = turn[np.unique(page[turn], return_index=True)[1]]
+            free[i[took]], hit[page[took], n] = False, 1
+        precision, recall = np.cumsum(hit, 1) / (np.arange(1, widest + 1) + 1e-8), np.cumsum(hit, 1) / n_gt[:, None]
+        precision[np.arange(widest) >= n_pred[:, None]] = 0
+        best_from = np.maximum.accumulate(precision[:, ::-1], 1)[:, ::-1] if widest else precision
+        levels = np.zeros((len(gt), len(LEVELS)))
+        for m, level in enumerate(LEVELS):
+            at = (recall < level).sum(1)
+            there = np.flatnonzero(at < n_pred)
+            levels[there, m] = best_from[there, at[there]]
+        fp, fn = n_pred - tp, n_gt - tp
+        pr, rc = tp / n_pred, tp / n_gt
+        f1 = np.divide(2 * pr * rc, pr + rc, out=np.zeros(len(gt)), where=pr + rc > 0)
+        out[:, k] = np.stack([tp, fp, fn, pr, rc, f1, levels.mean(1)], 1)
+    return out
+
+
+#: Pairs of boxes of small pages that are compared together.
+_PAIRS = 1 << 18
+
+
 def metrics_udf(thresholds: tuple[float, ...]):
     """(gt boxes in pixels, predicted boxes, scores) to one list of ``METRICS`` a threshold;
     null where either side has no boxes. Scores of another number than boxes count as 1."""
 
     @F.pandas_udf("array<array<double>>")
     def run(gt: pd.Series, pred: pd.Series, scores: pd.Series) -> pd.Series:
-        out = []
-        for g, p, s in zip(gt, pred, scores, strict=True):
+        out, few, pairs = [None] * len(gt), [], 0
+
+        def flush() -> None:
+            if few:
+                at, *pages = zip(*few, strict=True)
+                for row, m in zip(at, many_page_metrics(*pages, thresholds), strict=True):
+                    out[row] = list(m)
+                few.clear()
+
+        for row, (g, p, s) in enumerate(zip(gt, pred, scores, strict=True)):
             if g is None or p is None or not len(g) or not len(p):
-                out.append(None)
                 continue
-            g, p = (np.array([np.array(b, float) for b in x]) for x in (g, p))
             s = np.ones(len(p)) if s is None or len(s) != len(p) else np.array(s, float)
-            out.append(page_metrics(g, p, s, *thresholds))
+            if min(thresholds) > 0 and max(len(g), len(p)) <= FEW and not np.isnan(s).any():
+                few.append((row, g, p, s))
+                pairs += len(g) * len(p)
+                if pairs > _PAIRS:
+                    flush()
+                    pairs = 0
+                continue
+            g, p = (np.array([np.array(b, float) for b in x]) for x in (g, p))
+            out[row] = page_metrics(g, p, s, *thresholds)
+        flush()
         return pd.Series(out)
 
     return run

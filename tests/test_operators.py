@@ -334,6 +334,19 @@ def test_lists_of_words(spark):
     assert D.rates(spark.range(9).select(F.col("id").cast("string").alias("g")), g, F.concat(g, g))._jdf.queryExecution().optimizedPlan().toString().count("_nfkc(") == 2
 
 
+def test_metrics_of_many_pages_together():
+    """The very numbers of each page by itself, with ties, missed boxes and boxes found twice."""
+    rng = np.random.default_rng(7)
+    pages = []
+    for _ in range(300):
+        n = rng.integers(1, 9)
+        gt = np.c_[rng.integers(0, 30, (n, 2)), rng.integers(1, 30, (n, 2))].astype(float)
+        pred = np.concatenate([gt[rng.random(n) < 0.8] + rng.integers(0, 3, (1, 4)), gt[:1]])
+        pages.append((gt, pred[rng.permutation(len(pred))], rng.integers(0, 3, len(pred)).astype(float)))
+    together = L.many_page_metrics(*map(list, zip(*pages, strict=True)), (0.5, 0.75))
+    assert together.tolist() == [L.page_metrics(*p, 0.5, 0.75) for p in pages]
+
+
 def test_length_batches_are_the_same_whenever_read(spark):
     """Numbers are the rows' own, not the partitions' that they happen to be in; many equal lengths."""
     rows = spark.range(3000, numPartitions=7).select("id", F.when(F.col("id") % 50 > 0, F.col("id") % 3 + F.when(F.col("id") % 11 == 0, F.col("id")).otherwise(0)).alias("n"))

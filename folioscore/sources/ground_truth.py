@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..functions import unicode as U
-from ..functions.binding import let
+from ..functions.binding import bound, let
 from ..operators.relational import keep_first
 
 _BOX = "struct<x:double,y:double,width:double,height:double,w:double,h:double,X:double,Y:double,number:int>"
@@ -33,11 +33,13 @@ def boxes_of(literal: str):
     items = F.from_json(as_list, "array<string>")
 
     def one(item):
-        d = F.from_json(item, "map<string,double>")
-        low = F.transform_keys(d, lambda k, v: F.lower(k))
-        at = lambda *names: F.coalesce(*[F.try_element_at(low, F.lit(n)) for n in names], F.lit(0.0))
-        four = F.from_json(item, "array<double>")
-        return F.when(item.startswith("{"), F.array(at("x"), at("y"), at("width", "w"), at("height", "h"))).when(F.size(four) >= 4, F.slice(four, 1, 4))
+        def named(d):
+            at = lambda *names: F.coalesce(*[F.try_element_at(d, F.lit(n)) for n in names], F.lit(0.0))
+            return F.array(at("x"), at("y"), at("width", "w"), at("height", "h"))
+
+        low = F.transform_keys(F.from_json(item, "map<string,double>"), lambda k, v: F.lower(k))
+        first = lambda v: F.when(F.size(v) >= 4, F.slice(v, 1, 4))
+        return F.when(item.startswith("{"), let(low, named)).otherwise(let(F.from_json(item, "array<double>"), first))
 
     return F.coalesce(F.filter(F.transform(items, one), lambda b: b.isNotNull()), F.array().cast("array<array<double>>"))
 
@@ -67,10 +69,10 @@ def in_reading_order(rows: DataFrame, text: str = "transcription") -> DataFrame:
         "ro_label": _labels("label") if "label" in has else F.lit(None).cast("array<string>"),
         "ro_bio": U.literal_strings("bio") if "bio" in has else F.lit(None).cast("array<string>"),
     }
-    parsed = rows.withColumns({"_n": numbers} | {f"_{k}": v for k, v in values.items()})
+    parsed = bound(rows, _n=numbers, **{f"_{k}": v for k, v in values.items()})
     ordered = {k: F.when(F.col(f"_{k}").isNotNull(), G.by_reading_order(F.col("_n"), F.col(f"_{k}"))) for k in values}
     cut = F.greatest(*[F.coalesce(F.size(f"_{k}") != F.size("_n"), F.lit(False)) for k in values])
-    return parsed.withColumns(ordered | {"cut": cut}).withColumn("reading_order", G.renumbered(F.col("ro_boxes"))).drop("_n", *[f"_{k}" for k in values])
+    return bound(parsed, **ordered, cut=cut).withColumn("reading_order", G.renumbered(F.col("ro_boxes"))).drop("_n", *[f"_{k}" for k in values])
 
 
 def sections(pages: DataFrame, key: str = "page_id") -> DataFrame:

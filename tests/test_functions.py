@@ -165,3 +165,16 @@ def test_common_letters_need_no_worker(spark):
     df = spark.createDataFrame([(t,) for t in rows], "t string")
     own = df.select(F.col("t").rlike(rf"[^{U._inert()}]").alias("odd"), F.col("t").rlike(rf"[{U._unmarked()[2]}]").alias("several")).collect()
     assert not any(r["odd"] or r["several"] for r in own)
+
+
+def test_literals_that_are_json_as_well():
+    """Read as Python reads them, by the fast way where both agree, by Python's where they don't."""
+    import ast
+
+    both = ["[1, 2.5, -3e4]", "{'a': [1, 'b c']}", '["it\'s", "x"]', "[{'X': 1, 'y': 2}]", '{"a": 1, "a": 2}', "'é😀'", "0", "[]"]
+    for t in both:
+        assert U._as_json(t) == U._parsed(t) == ast.literal_eval(t)
+    only = ["(1, 2)", "['a' 'b']", "['" + "''a'" + "'']", "[b'a']", r"['it\'s']", r'["a\/b"]', r"['\x41']", "[True, None]", "[1_000]", "['null', 'true']"]
+    for t in only:
+        assert U._as_json(t) is None and U._parsed(t) == ast.literal_eval(t)
+    assert U._parsed("[true, null]") is None and U._parsed("NaN") is None and U._parsed("[1") is None and U._parsed("") is None

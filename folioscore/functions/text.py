@@ -93,17 +93,32 @@ def words_from_chars(chars: Column, line_box: Column) -> Column:
         box = F.when(F.size(acc["box"]) > 0, acc["box"]).otherwise(F.coalesce(line_box.cast("array<double>"), F.array(*[F.lit(0.0)] * 4)))
         return F.when(acc["word"] != "", F.concat(acc["out"], F.array(F.struct(acc["word"].alias("text"), box.alias("box"))))).otherwise(acc["out"])
 
-    def step(acc: Column, c: Column) -> Column:
-        gap = F.coalesce(c["text"], F.lit("")).rlike(r"(?U)^\s*$")
+    def read(c: Column) -> Column:
         own = F.when(c["x1"].isNotNull() & c["y1"].isNotNull() & c["x2"].isNotNull() & c["y2"].isNotNull(), F.array(c["x1"], c["y1"], c["x2"], c["y2"]).cast("array<double>"))
+        text = F.coalesce(c["text"], F.lit(""))
+        return F.struct(text.alias("text"), text.rlike(r"(?U)^\s*$").alias("gap"), own.alias("own"))
+
+    def step(acc: Column, c: Column) -> Column:
+        gap, own = c["gap"], c["own"]
         hull = F.when(own.isNull(), acc["box"]).when(F.size(acc["box"]) == 0, own).otherwise(F.array(F.least(acc["box"][0], own[0]), F.least(acc["box"][1], own[1]), F.greatest(acc["box"][2], own[2]), F.greatest(acc["box"][3], own[3])))
         return F.struct(
             F.when(gap, closed(acc)).otherwise(acc["out"]).alias("out"),
-            F.when(gap, F.lit("")).otherwise(F.concat(acc["word"], F.coalesce(c["text"], F.lit("")))).alias("word"),
+            F.when(gap, F.lit("")).otherwise(F.concat(acc["word"], c["text"])).alias("word"),
             F.when(gap, empty).otherwise(hull).alias("box"),
         )
 
-    return F.aggregate(chars, begin, step, closed)
+    # What is asked of a character is made once for each, not wherever the fold uses it.
+    return F.aggregate(F.transform(chars, read), begin, step, closed)
+
+
+def word_texts(texts: Column) -> Column:
+    """T-07 of characters' texts alone: one join and one split in place of a fold."""
+    known = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
+    glued = F.array_join(F.transform(known, lambda t: F.when(t.rlike(r"(?U)^\s*$"), _GLUE).otherwise(t)), "")
+    split = F.filter(F.split(glued, _GLUE), lambda w: w != "")
+    bare = F.transform(known, lambda t: F.struct(t.alias("text"), *[F.lit(None).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")]))
+    folded = F.transform(words_from_chars(bare, F.lit(None).cast("array<double>")), lambda w: w["text"])
+    return F.when(F.exists(known, lambda t: F.contains(t, F.lit(_GLUE))), folded).otherwise(split)
 
 
 def clean_b_tags(text: Column) -> Column:

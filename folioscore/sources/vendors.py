@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..functions.binding import bound
 from . import files
 
 _LINE = "struct<pos:int,text:string,box:array<double>,conf:double,category:string>"
@@ -47,12 +48,11 @@ def surya(texts: DataFrame) -> DataFrame:
     """SRC-04: lines with text and four numbers; words as given, else from characters."""
     lines = F.flatten(F.transform(F.filter(surya_pages(F.col("value")), lambda p: p.isNotNull()), lambda p: F.coalesce(p["text_lines"], F.array().cast(f"array<{_SURYA_LINE}>"))))
     kept = F.filter(lines, lambda x: (F.coalesce(T.clean_b_tags(x["text"]), F.lit("")) != "") & G.is_valid_box(x["bbox"]))
-    parsed = texts.withColumn("_l", kept)
+    parsed = bound(texts, _l=kept)
 
     def words(x: Column) -> Column:
         given = F.filter(F.transform(F.filter(x["words"], lambda w: (F.coalesce(w["text"], F.lit("")) != "") & G.is_valid_box(w["bbox"])), lambda w: T.clean_b_tags(w["text"])), lambda w: w != "")
-        chars = F.transform(x["chars"], lambda c: F.struct(T.clean_b_tags(c["text"]).alias("text"), *[F.when(F.coalesce(c["bbox_valid"], F.lit(True)) & G.is_valid_box(c["bbox"]), F.get(c["bbox"], F.lit(i))).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]))
-        return F.when(F.size(x["words"]) > 0, given).otherwise(_or_empty(F.transform(T.words_from_chars(chars, x["bbox"]), lambda w: w["text"])))
+        return F.when(F.size(x["words"]) > 0, given).otherwise(_or_empty(T.word_texts(F.transform(x["chars"], lambda c: T.clean_b_tags(c["text"])))))
 
     def characters(x: Column) -> Column:
         valid = F.filter(x["chars"], lambda c: F.coalesce(c["bbox_valid"], F.lit(True)) & G.is_valid_box(c["bbox"]) & (F.coalesce(T.clean_b_tags(c["text"]), F.lit("")) != ""))

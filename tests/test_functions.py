@@ -178,3 +178,12 @@ def test_literals_that_are_json_as_well():
     for t in only:
         assert U._as_json(t) is None and U._parsed(t) == ast.literal_eval(t)
     assert U._parsed("[true, null]") is None and U._parsed("NaN") is None and U._parsed("[1") is None and U._parsed("") is None
+
+
+def test_word_texts_are_those_of_the_fold(spark):
+    rng = random.Random(3)
+    rows = [([rng.choice(["a", "b c", "é", " ", "", "\t", "\u00a0", None, "\ue000"][: 9 - n % 2]) for _ in range(rng.randrange(9))],) for n in range(60)] + [(None,)]
+    chars = F.transform("t", lambda t: F.struct(t.alias("text"), *[F.lit(None).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")]))
+    folded = F.transform(T.words_from_chars(chars, F.lit(None).cast("array<double>")), lambda w: w["text"])
+    out = spark.createDataFrame(rows, "t array<string>").select(T.word_texts(F.col("t")).alias("a"), folded.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in out) and any(r["a"] for r in out)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as U
+from ..functions.binding import bound
 from . import edit_distance as D
 
 #: Annotation sections and the prediction sections they are compared with.
@@ -75,18 +76,19 @@ def compare(pairs: DataFrame, empty_gt: str = "skip", similarity: Callable[[Colu
     """R-24, K-03, K-14: rows with gt and pred, scored: wer, similarity (by a pluggable
     encoder; null without one) and token counts. Where the ground truth is empty and the
     prediction isn't, ``soft`` gives similarity 1 and wer 0, ``penalize`` 0 and 1."""
-    p = F.coalesce("pred", F.lit(""))
-    g = F.coalesce("gt", F.lit(""))
-    how = policy(g, p, empty_gt)
+    # Texts and words are made once a row, however often the measures ask for them.
+    texts = bound(pairs, _g=F.coalesce("gt", F.lit("")), _p=F.coalesce("pred", F.lit("")))
+    g, p = F.col("_g"), F.col("_p")
     fixed = 1.0 if empty_gt == "soft" else 0.0
     sim = similarity(g, p) if similarity else F.lit(None).cast("double")
-    scored = pairs.withColumn("_how", how).filter("_how <> 'skip'")
+    scored = bound(texts.withColumn("_how", policy(g, p, empty_gt)).filter("_how <> 'skip'"), _gw=T.split_words(g), _pw=T.split_words(p))
+    wer = D.error_rate(D.word_levenshtein(F.col("_gw"), F.col("_pw")), F.size("_gw"), F.size("_pw"))
     return scored.select(
         *[c for c in pairs.columns],
-        F.when(F.col("_how") == "ends", 1 - fixed).otherwise(D.section_wer(g, p)).alias("wer"),
+        F.when(F.col("_how") == "ends", 1 - fixed).otherwise(wer).alias("wer"),
         F.when(F.col("_how") == "ends", fixed).otherwise(F.when((F.trim(g) == "") | (F.trim(p) == ""), 0.0).otherwise(sim)).alias("similarity"),
-        F.size(T.split_words(g)).cast("long").alias("gt_tokens"),
-        F.size(T.split_words(p)).cast("long").alias("pred_tokens"),
+        F.size("_gw").cast("long").alias("gt_tokens"),
+        F.size("_pw").cast("long").alias("pred_tokens"),
     )
 
 

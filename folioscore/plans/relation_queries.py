@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as U
+from ..functions.binding import bound
 from ..operators import relational as R
 from ..operators import sections as S
 from ..operators import tokens as K
@@ -164,7 +165,7 @@ f AS (SELECT conv_id, role, round_even(avg(CAST(gt - pt AS DOUBLE) / gt), 4) AS
 SELECT role AS section, round_even(avg(s), 4) AS avg_semantic_similarity, round_even(avg(w), 4) AS avg_wer, CAST(sum(gt) AS BIGINT) AS gt_tokens, CAST(sum(pt) AS BIGINT) AS pred_tokens, round_even(least(1.0, CAST(sum(pt) AS DOUBLE) / greatest(1, sum(gt))), 4) AS brevity_penalty, CAST(count(*) AS BIGINT) AS files FROM f GROUP BY role""",
 )
 def q_section_report(spark, sf):
-    norm = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("section"), T.normalize_section(F.col("text")).alias("gt"))
+    norm = bound(table(spark, sf, "conversations").select("conv_id", F.col("role").alias("section"), "text"), gt=T.normalize_section(F.col("text"))).drop("text")
     pairs = norm.withColumn("pred", F.replace("gt", F.lit(" le "), F.lit(" ")))
     return S.section_report(S.compare(pairs, "soft", lambda g, p: F.length(p) / F.length(g)), ["conv_id"])
 

@@ -27,6 +27,19 @@ def plain_levenshtein(a, b):
     return row[-1]
 
 
+def test_words_are_numbered_row_by_row(monkeypatch):
+    """Nulls, empty lists and null words, in batches of a few words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "_WORDS", 3)
+    a = pa.array([["a", "b"], None, [], ["a", None, "c", "d"], ["z"]], pa.list_(pa.string()))
+    b = pa.array([["b", "a"], ["x"], None, ["a", None, "d"], []], pa.list_(pa.string()))
+    found = list(D.numbered(a.slice(0), b))
+    assert [(x is None, y is None) for x, y in found] == [(False, False), (True, False), (False, True), (False, False), (False, False)]
+    assert [None if x is None or y is None else D.levenshtein(x, y) for x, y in found] == [2, None, None, 1, 1]
+    assert list(map(len, D.numbered(a.slice(3), b.slice(3)))) == [2, 2]
+
+
 def plain_damerau(a, b):
     far, d, seen = len(a) + len(b), {}, {}
     d[-1, -1] = far

@@ -151,7 +151,7 @@ def q_empty_policy_exact(spark, sf):
 
 
 def _empty_policy(spark, sf, exact):
-    norm = table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_section(F.col("text"), exact=exact).alias("n"))
+    norm = bound(table(spark, sf, "conversations").select("conv_id", "turn", "text"), n=T.normalize_section(F.col("text"), exact=exact))
     pred = F.when(F.col("turn") % 4 == 2, "").otherwise(F.replace("n", F.lit(" le "), F.lit(" ")))
     pairs = norm.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("n")).alias("gt"), pred.alias("pred"))
     return S.compare(pairs, "penalize").select("conv_id", "turn", "wer", "gt_tokens", "pred_tokens")

@@ -10,12 +10,13 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions.binding import bound
 from ..sources import sinks
 from . import relational as R
 from . import sections as S
@@ -23,6 +24,8 @@ from . import tokens as K
 
 #: Fixed values of the document stage's token budget.
 BASE_TOKENS, PAGE_TOKENS, MOST_TOKENS = 4000, 2000, 12_000
+#: Rows whose payloads are Python objects at once.
+_ROWS = 1024
 _REGISTRY: dict[str, Callable[[], Callable]] = {}
 
 
@@ -42,27 +45,34 @@ def engine(name: str) -> Callable[[], Callable]:
     return _REGISTRY[name]
 
 
-def run(df: DataFrame, key: str, payload: list[str], factory: Callable[[], Callable[..., str]], threads: int = 1) -> DataFrame:
+def run(df: DataFrame, key: str, payload: list[str], factory: Callable[[], Callable[..., str]], threads: int = 1, keep: list[str] | None = None) -> DataFrame:
     """U-02 to U-10: key, status, data, error: ``factory()`` makes the engine, which takes
-    the payload columns by name and returns a text (JSON, say). Calls to a service overlap
-    on ``threads`` threads of a worker, so at most threads times the task slots are open."""
+    the payload columns by name (arrays as lists) and returns a text (JSON, say). Calls to a service
+    overlap on ``threads`` threads of a worker, so at most threads times the task slots are open.
+    Columns of ``keep`` go along, so that an answer needs no join to what was asked."""
+    kept = keep or []
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = factory()
 
-        def one(row: dict) -> tuple:
-            own = row.pop(key)
+        def one(values: tuple) -> tuple:
             try:
-                return own, "ok", call(**row), None
+                return "ok", call(**dict(zip(payload, values, strict=True))), None
             except Exception as e:  # noqa: BLE001  one row's fault is its own
-                return own, "error", None, f"{type(e).__name__}: {e}"
+                return "error", None, f"{type(e).__name__}: {e}"
 
         with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                yield pd.DataFrame(list(pool.map(one, pdf.to_dict("records"))), columns=["id", "status", "data", "error"])
+            for batch in batches:
+                columns = [batch.column(c) for c in payload]
+                for lo in range(0, batch.num_rows, _ROWS):
+                    asked = zip(*[c.slice(lo, _ROWS).to_pylist() for c in columns], strict=True)
+                    outcome = list(zip(*(pool.map(one, asked) if threads > 1 else map(one, asked)), strict=True))
+                    own = [batch.column(c).slice(lo, _ROWS) for c in (key, *kept)]
+                    yield pa.RecordBatch.from_arrays([own[0], *[pa.array(x, pa.string()) for x in outcome], *own[1:]], ["id", "status", "data", "error", *kept])
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, *payload).mapInPandas(work, f"id {kind}, status string, data string, error string")
+    kind = dict(df.dtypes)
+    more = "".join(f", `{c}` {kind[c]}" for c in kept)
+    return df.select(key, *[c for c in dict.fromkeys([*payload, *kept]) if c != key]).mapInArrow(work, f"id {kind[key]}, status string, data string, error string{more}")
 
 
 def document_payload(pages: DataFrame, image: str = "image", name: str = "filename") -> DataFrame:
@@ -136,14 +146,15 @@ def document_stage(images: DataFrame, prompt: str, factory: Callable[[], Callabl
 def token_labels(pages: DataFrame, factory: Callable[[], Callable[..., str]], labels: dict[int, str], key: str = "page_id", threads: int = 1) -> DataFrame:
     """U-04, U-05: key, word_no, word, label. Pages (key, words, boxes) are paired and go
     through a token classifier, whose answer is JSON: ``word_ids`` (the pair's number of each
-    sub-token, null for special ones) and ``logits``. Sub-tokens are pooled by word (K-15)."""
+    sub-token, null for special ones) and ``logits``. Sub-tokens are pooled by word (K-15) in their
+    page's row: no token is a row, and nothing is joined."""
     paired = pages.select(key, paired_inputs(F.col("words"), F.col("boxes")).alias("p"))
     inputs = paired.select(key, F.transform("p", lambda x: x["word"]).alias("words"), F.transform("p", lambda x: x["box"]).alias("boxes"))
-    answer = run(inputs, key, ["words", "boxes"], factory, threads).filter("status = 'ok'")
-    out = F.from_json("data", "word_ids array<int>, logits array<array<double>>")
-    tokens = answer.select(F.col("id").alias(key), F.explode(F.arrays_zip(out["word_ids"].alias("word_no"), out["logits"].alias("logits"))).alias("t")).select(key, "t.word_no", "t.logits")
-    words = inputs.join(answer.select(F.col("id").alias(key)), key, "left_semi").select(key, F.posexplode("words").alias("word_no", "word"))
-    return K.labels_by_word(K.mean_pool_argmax(tokens, [key], "word_no", "logits"), words, [key], "word_no", labels)
+    answer = run(inputs, key, ["words", "boxes"], factory, threads, keep=["words"]).filter("status = 'ok'")
+    out = bound(answer.select("id", "words", "data"), _o=F.from_json("data", "word_ids array<int>, logits array<array<double>>"))
+    pooled = out.select(F.col("id").alias(key), "words", K.pooled_labels(F.col("_o.word_ids"), F.col("_o.logits"), F.size("words")).alias("_l"))
+    rows = pooled.select(key, F.posexplode(F.arrays_zip("words", "_l")).alias("word_no", "_w"))
+    return rows.select(key, "word_no", F.col("_w.words").alias("word"), K.named_label(F.col("_w._l"), labels).alias("label"))
 
 
 def reading_order(images: DataFrame, boxes: list[DataFrame], factory: Callable[[], Callable[..., str]], key: str = "page_id", on_missing: str = "skip", threads: int = 1) -> DataFrame:

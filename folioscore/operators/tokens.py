@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 #: Fixed values of the reading-order model's inputs: most boxes, and its special ids.
 MAX_BOXES, CLS_ID, UNK_ID, EOS_ID, PAD_ID, NO_LABEL_ID = 510, 0, 3, 2, 1, -100
+#: Rows whose tokens are pooled together.
+_ROWS = 1024
 
 
 def mean_pool_argmax(df: DataFrame, key: list[str], word: str, logits: str) -> DataFrame:
@@ -22,8 +26,52 @@ def mean_pool_argmax(df: DataFrame, key: list[str], word: str, logits: str) -> D
 
 def labels_by_word(decoded: DataFrame, words: DataFrame, key: list[str], word: str, labels: dict[int, str]) -> DataFrame:
     """Every word with its label; a word that no sub-token stands for has label 0."""
+    return words.join(decoded, [*key, word], "left").select(*words.columns, named_label(F.col("label_id"), labels).alias("label"))
+
+
+def named_label(label_id: Column, labels: dict[int, str]) -> Column:
+    """The label of a number, of 0 without one."""
     names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    return words.join(decoded, [*key, word], "left").select(*words.columns, F.element_at(names, F.coalesce("label_id", F.lit(0))).alias("label"))
+    return F.element_at(names, F.coalesce(label_id, F.lit(0)))
+
+
+def _pooled(word_ids: pa.ListArray, logits: pa.ListArray, sizes: np.ndarray) -> pa.ListArray:
+    """``mean_pool_argmax`` of each row's tokens: for each of a row's words its label's number,
+    null without a token."""
+    ids = word_ids.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = np.arange(len(sizes))
+    row, other = (np.repeat(rows, pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)) for x in (word_ids, logits))
+    # Tokens up to the shorter of a row's two lists.
+    at, begin = np.arange(len(row)) - np.searchsorted(row, row), np.searchsorted(other, rows)
+    counts = np.bincount(other, minlength=len(sizes))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    used = (ids >= 0) & (ids < sizes[row]) & (at < counts[row])
+    token = np.full(len(other), -1)
+    token[begin[row[used]] + at[used]] = starts[row[used]] + ids[used]
+    lists = logits.flatten()
+    width = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    word, kind = np.repeat(token, width), np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+    real = (word >= 0) & values.is_valid().to_numpy(zero_copy_only=False)
+    word, kind, v = word[real], kind[real], values.fill_null(0.0).to_numpy(zero_copy_only=False)[real]
+    span = int(kind.max()) + 1 if len(kind) else 1
+    groups, own = np.unique(word * span + kind, return_inverse=True)
+    mean = np.bincount(own, weights=v, minlength=len(groups)) / np.bincount(own, minlength=len(groups))
+    best = np.lexsort((groups % span, -mean, np.isnan(mean), groups // span))
+    first = np.unique((groups // span)[best], return_index=True)
+    out, known = np.zeros(int(starts[-1]), np.int32), np.zeros(int(starts[-1]), bool)
+    out[first[0]], known[first[0]] = (groups % span)[best][first[1]], True
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out, pa.int32(), mask=~known))
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def pooled_labels(word_ids: pa.Array, logits: pa.Array, sizes: pa.Array) -> pa.Array:
+    """K-15 inside a row: of a page's sub-tokens (their words' numbers, null for special ones, and
+    their logits) and its number of words, the label's number of each word."""
+    n, parts = sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), []
+    for lo in range(0, len(n), _ROWS):
+        parts.append(_pooled(word_ids.slice(lo, _ROWS), logits.slice(lo, _ROWS), np.maximum(n[lo : lo + _ROWS], 0)))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
 def order_of(logits: list) -> list[int]:

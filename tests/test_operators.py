@@ -469,6 +469,42 @@ def test_public_measures(spark):
     assert {r["engine"]: round(r["p1"]) for r in E.corpus_bleu(pairs, ["engine"], ["page_id"]).collect()} == {"e1": 50, "e2": 100}
 
 
+def test_token_labels_inside_their_rows(spark):
+    """As the means by word have it; words without tokens, special tokens, places that no word has,
+    lists of other lengths, missing logits, an engine that fails. Only pages are shuffled."""
+    chance = random.Random(7)
+    answers = {}
+    for page in range(60):
+        n = chance.randrange(6)
+        ids = [chance.choice([None, *range(-1, n + 2)]) for _ in range(chance.randrange(14))]
+        logits = [[chance.choice([0.0, 1.0, 2.0]) for _ in range(chance.choice([1, 3]))] for _ in range(len(ids) + chance.choice([-1, 0, 1]) if ids else 0)]
+        answers[page] = (n, json.dumps({"word_ids": ids, "logits": logits}), list(zip(ids, logits, strict=False)))
+    answers[60] = (2, None, [])
+    answers[61] = (2, json.dumps({}), [])
+
+    def engine():
+        def call(words, boxes):
+            assert isinstance(words, list) and len(words) == len(boxes) > 0
+            text = answers[int(words[0].split("w")[0])][1]
+            if text is None:
+                raise RuntimeError
+            return text
+
+        return call
+
+    pages = spark.createDataFrame([(p, [f"{p}w{i}" for i in range(n)], [[1.0] * 4] * n) for p, (n, _, _) in answers.items()], "page_id long, words array<string>, boxes array<array<double>>")
+    labels = {0: "O", 1: "A", 2: "B"}
+    found = I.token_labels(pages, engine, labels)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for p, (n, text, tokens) in answers.items():
+        for w in range(n if text else 0):
+            own = [x for i, x in tokens if i == w]
+            means = {k: np.mean([x[k] for x in own if len(x) > k]) for k in range(3) if any(len(x) > k for x in own)}
+            want.add((p, w, f"{p}w{w}", labels[min(means, key=lambda k: (-means[k], k)) if means else 0]))
+    assert set(map(tuple, found.collect())) == want and len(want) > 60
+
+
 def test_hooks(spark):
     @I.register("echo")
     def make():

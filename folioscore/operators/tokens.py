@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..functions.binding import let
+
 #: Fixed values of the reading-order model's inputs: most boxes, and its special ids.
 MAX_BOXES, CLS_ID, UNK_ID, EOS_ID, PAD_ID, NO_LABEL_ID = 510, 0, 3, 2, 1, -100
 #: Rows whose tokens are pooled together.
@@ -117,7 +119,7 @@ def model_inputs(boxes: Column) -> Column:
 
 def padded(values: Column, size: Column, fill) -> Column:
     """K-18: ``values`` filled up to ``size``."""
-    return F.concat(values, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), size - F.size(values))))
+    return let(values, lambda v: F.concat(v, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), size - F.size(v)))))
 
 
 def training_labels(target_index: Column, size: Column) -> Column:

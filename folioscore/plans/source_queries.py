@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..functions.binding import bound, let
 from ..functions import unicode as U
 from ..operators import inference as I
 from ..operators import sections as S
@@ -372,10 +373,15 @@ def q_token_budget(spark, sf):
 @register("q_model_inputs", "SELECT l_orderkey, CAST(m + 2 AS INTEGER) AS ids, n > 510 AS clipped, CAST(m * (m - 1) / 2 - 200 - 100 * (n - m) AS BIGINT) AS labels FROM (SELECT l_orderkey, 60 * count(*) AS n, least(510, 60 * count(*)) AS m FROM lineitem GROUP BY l_orderkey)")
 def q_model_inputs(spark, sf):
     """K-18: pages with more boxes than the model takes are cut, their further targets masked."""
-    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.flatten(F.array_repeat(F.collect_list("l_linenumber"), 60)).alias("n"))
-    inputs = K.model_inputs(F.transform("n", lambda x: F.array(x, x, x, x)))
-    labels = K.training_labels(F.sequence(F.lit(1), F.size("n")), F.size("n") + 2)
-    return pages.select("l_orderkey", F.size(inputs["input_ids"]).alias("ids"), inputs["clipped"].alias("clipped"), F.aggregate(labels, F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"))
+    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("n"))
+    boxes = F.flatten(F.array_repeat(F.transform("n", lambda x: F.array(x, x, x, x)), 60))
+
+    def made(b):
+        inputs = K.model_inputs(b)
+        labels = K.training_labels(F.sequence(F.lit(1), F.size(b)), F.size(b) + 2)
+        return F.struct(F.size(inputs["input_ids"]).alias("ids"), inputs["clipped"].alias("clipped"), F.aggregate(labels, F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"))
+
+    return bound(pages, m=let(boxes, made)).select("l_orderkey", "m.ids", "m.clipped", "m.labels")
 
 
 @register("q_paired_inputs", "SELECT CAST(conv_id AS VARCHAR) AS page_id, CAST(count(*) FILTER (turn % 2 = 0) AS BIGINT) AS pairs FROM conversations GROUP BY conv_id")

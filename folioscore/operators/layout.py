@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -156,8 +156,7 @@ def overlaps(boxes: DataFrame, page: list[str], key: str, box: str = "box", few:
     x, y, w, h = (F.col(box)[i] for i in range(4))
     level = F.ceil(F.log2(F.greatest(w, h))).cast("int")
     sized = boxes.filter((w > 0) & (h > 0)).select(*page, F.col(key).alias("_k"), F.col(box).alias("_b"), level.alias("_own"))
-    sizes = sized.groupBy(*page).agg(F.count("*").alias("_n"))
-    sized = sized.join(sizes, page)
+    sized = sized.withColumn("_n", F.count("*").over(Window.partitionBy(*page)))
     small, sized = sized.filter(F.col("_n") <= few), sized.filter(F.col("_n") > few)
     levels = sized.agg(F.collect_set("_own").alias("_levels"))  # one row: a double has some 2,000 exponents
 

@@ -82,7 +82,9 @@ SELECT l_orderkey, CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (iou
 )
 def q_iou_pairs(spark, sf):
     """R-08, G-06: pairs that share no area have an overlap of 0 and are counted, not joined."""
-    b = _items(spark, sf).select("l_orderkey", F.struct("l_partkey", "l_suppkey", "l_linenumber").alias("k"), "b")
+    # Laid out by page once, as plain columns; what follows is by page and moves no row again.
+    rows = table(spark, sf, "lineitem").select(*_KEYS, "l_quantity").repartition("l_orderkey")
+    b = rows.select("l_orderkey", F.struct("l_partkey", "l_suppkey", "l_linenumber").alias("k"), _xywh().alias("b"))
     iou = L.overlaps(b, ["l_orderkey"], "k", "b").select("l_orderkey", G.iou(F.col("b"), F.col("b2")).alias("iou"))
     found = iou.groupBy("l_orderkey").agg(F.count_if(F.col("iou") >= 0.5).alias("over_half"), F.max("iou").alias("best"))
     sizes = b.groupBy("l_orderkey", "k").agg(F.count("*").alias("c")).groupBy("l_orderkey").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))

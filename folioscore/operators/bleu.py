@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 ORDER = 4
-#: Rows whose grams are numbered together.
-_ROWS = 256
+#: Most rows whose grams are numbered together, and their tokens unless one row alone has more.
+_ROWS, _TOKENS = 256, 1 << 16
 STATS = [f"{k}{n}" for n in range(1, ORDER + 1) for k in ("c", "t")]
 
 
@@ -47,9 +47,13 @@ def clipped_counts(ref: pa.ListArray, hyp: pa.ListArray) -> np.ndarray:
 
 @F.arrow_udf(ArrayType(LongType()))
 def _counts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    parts = []
-    for lo in range(0, len(ref), _ROWS):
-        parts.append(clipped_counts(ref.slice(lo, _ROWS), hyp.slice(lo, _ROWS)))
+    sizes = sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ref, hyp))
+    ends, parts, lo = np.cumsum(sizes), [], 0
+    while lo < len(ref):
+        most = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _TOKENS, side="right"))
+        hi = min(max(lo + 1, most), lo + _ROWS)
+        parts.append(clipped_counts(ref.slice(lo, hi - lo), hyp.slice(lo, hi - lo)))
+        lo = hi
     flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * ORDER, dtype=np.int32)), pa.array(flat))
 

@@ -469,6 +469,19 @@ def test_public_measures(spark):
     assert {r["engine"]: round(r["p1"]) for r in E.corpus_bleu(pairs, ["engine"], ["page_id"]).collect()} == {"e1": 50, "e2": 100}
 
 
+def test_bleu_counts_long_texts_apart(monkeypatch):
+    """Rows are numbered together up to a number of tokens; results are those of each row alone."""
+    import pyarrow as pa
+
+    calls, plain = [], B.clipped_counts
+    monkeypatch.setattr(B, "clipped_counts", lambda r, h: calls.append(len(r)) or plain(r, h))
+    texts = [[f"w{i * k % 97}" for i in range(n)] for k, n in ((1, 30_000), (2, 30_000), (3, 3), (5, 40_000), (7, 0))]
+    ref, hyp = pa.array([*texts, None], pa.list_(pa.string())), pa.array([t[1:] for t in texts] + [["a"]], pa.list_(pa.string()))
+    got = B._counts.func(ref, hyp).to_pylist()
+    assert len(calls) >= 3 and sum(calls) == len(ref)
+    assert got == [plain(ref.slice(i, 1), hyp.slice(i, 1))[0].tolist() for i in range(len(ref))]
+
+
 def test_token_labels_inside_their_rows(spark):
     """As the means by word have it; words without tokens, special tokens, places that no word has,
     lists of other lengths, missing logits, an engine that fails. Only pages are shuffled."""

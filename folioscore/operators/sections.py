@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as U
-from ..functions.binding import bound
+from ..functions.binding import bound, let
 from . import edit_distance as D
 
 #: Annotation sections and the prediction sections they are compared with.
@@ -42,19 +42,39 @@ def gt_texts(items: DataFrame, key: list[str], page: str, section: str, order: s
     return joined.select(*key, "section", T.normalize_section(F.col("_t"), exact).alias("gt"))
 
 
+def leaves(part: Column) -> Column:
+    """``flatten_json`` of an object or a list that holds texts and nulls only, in the JVM, for texts
+    of which letters and digits are kept; null for any other. Behind escapes (which are
+    signs or white space) a quote always begins or ends a text, and a name is one before a colon."""
+    bare = F.replace(F.replace(part, F.lit("\\\\"), F.lit(" ")), F.lit('\\"'), F.lit(" "))
+    bare = F.when(F.contains(bare, F.lit("\\")), F.regexp_replace(bare, r"\\(?:[bfnrt/]|u00[01][0-9a-fA-F])", " ")).otherwise(bare)
+
+    def read(pieces: Column) -> Column:
+        between = F.array_join(F.filter(pieces, lambda x, i: i % 2 == 0), " ")
+        plain = ~F.replace(between, F.lit("null"), F.lit("")).rlike(r"[^\[\]{}:,\s]")
+        texts = F.filter(pieces, lambda x, i: (i % 2 == 1) & ~F.startswith(F.ltrim(F.get(pieces, i + 1)), F.lit(":")))
+        return F.when(plain, F.array_join(texts, " "))
+
+    return F.when(part.rlike(r"^[\[{]") & framed(part), let(bare, lambda t: F.when(~F.contains(t, F.lit("\\")), let(F.split(t, '"'), read))))
+
+
 def pred_texts(preds: DataFrame, key: list[str], value: str = "value", exact: bool = True) -> DataFrame:
     """G-22: key, section, pred from JSON texts of any education or experience shape. Work
     experience splits into descriptions and the rest."""
-    part = lambda k: F.get_json_object(value, f"$.{k}")
-    work = part("work_experience")
+    flat = ("personal_info", "skills", "education")
+    parts = bound(preds.select(*key, F.col(value).alias("_value")), **{f"_{k}": F.get_json_object("_value", f"$.{k}") for k in (*flat, "work_experience")})
+    work = F.col("_work_experience")
     entries = F.from_json(F.when(F.startswith(F.ltrim(work), F.lit("{")), F.concat(F.lit("["), work, F.lit("]"))).otherwise(work), "array<map<string,string>>")
-    texts = lambda keep: F.array_join(F.flatten(F.transform(entries, lambda e: F.transform(F.map_values(F.map_filter(e, keep)), lambda v: F.coalesce(v, F.lit(""))))), " ")
-    sections = {k: U.flatten_json(part(k)) for k in ("personal_info", "skills", "education")}
+    # An object that has a key twice counts as JSON with this setting; its last value is Python's.
+    once = preds.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys") != "true"
+    read = bound(parts, _entries=entries, **{f"_{k}_t": leaves(F.col(f"_{k}")) if once else F.lit(None).cast("string") for k in flat})
+    texts = lambda keep: F.array_join(F.flatten(F.transform("_entries", lambda e: F.transform(F.map_values(F.map_filter(e, keep)), lambda v: F.coalesce(v, F.lit(""))))), " ")
+    sections = {k: F.coalesce(F.col(f"_{k}_t"), U.flatten_json(F.when(F.col(f"_{k}_t").isNull(), F.col(f"_{k}")))) for k in flat}
     sections["work_experience_info"] = texts(lambda k, v: k != "employment_description")
     sections["work_experience_description"] = texts(lambda k, v: k == "employment_description")
-    present = {k: part("work_experience" if k.startswith("work") else k).isNotNull() for k in sections}
+    present = {k: F.col("_work_experience" if k.startswith("work") else f"_{k}").isNotNull() for k in sections}
     rows = F.array(*[F.struct(F.lit(k).alias("section"), F.when(present[k], F.coalesce(t, F.lit(""))).alias("t")) for k, t in sections.items()])
-    return preds.select(*key, F.explode(rows).alias("r")).filter("r.t is not null").select(*key, "r.section", T.normalize_section(F.col("r.t"), exact).alias("pred"))
+    return read.select(*key, F.explode(rows).alias("r")).filter("r.t is not null").select(*key, "r.section", T.normalize_section(F.col("r.t"), exact).alias("pred"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -155,11 +175,16 @@ def sql_type(node: str | list | dict) -> str:
     return f"array<{sql_type(node[0])}>" if isinstance(node, list) else "string"
 
 
-def is_json(text: Column) -> Column:
-    """Whether a text is one JSON value and nothing else. A parser stops behind the first
+def framed(text: Column) -> Column:
+    """Whether a parser takes a text as one value and nothing else. It stops behind the first
     value; whatever could close one of the two frames early is an error in the other."""
-    framed = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull()
-    return F.coalesce(framed("[", "]") & framed('{"value":', "}") & ~text.rlike(_HALF), F.lit(False))
+    inside = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull()
+    return inside("[", "]") & inside('{"value":', "}")
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else."""
+    return F.coalesce(framed(text) & ~text.rlike(_HALF), F.lit(False))
 
 
 def checked(v: Column, node: str | list | dict, path: Column) -> tuple[Column, Column]:

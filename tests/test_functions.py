@@ -159,6 +159,23 @@ def test_normal_forms_of_every_character(spark):
         assert r["m"] == "".join(c for c in unicodedata.normalize("NFD", r["t"]) if unicodedata.category(c) != "Mn"), r["t"].encode("unicode_escape")
 
 
+def test_sections_of_every_character_need_no_worker(spark):
+    """Marks come off in the JVM, as unicodedata has it, where only letters and digits are kept."""
+    import re
+    import unicodedata
+
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rnd = random.Random(5)
+    texts = [*(f"a{c}e" for c in points), *(f"a{c}{rnd.choice(points)}" for c in points), *("".join(rnd.choices(points, k=12)) for _ in range(20_000))]
+    texts += [f"a{''.join(rnd.choices('\u0301\u0323\u0345\U0001d165\u302e\u09be', k=4))}e" for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("l"), T.normalize_section(F.col("t")).alias("n"))
+    assert "EvalPython" not in df._jdf.queryExecution().toString()
+    for r in df.toLocalIterator():
+        bare = "".join(c for c in unicodedata.normalize("NFD", r["l"]) if unicodedata.category(c) != "Mn")
+        # White space is Java's, which counts U+001C to U+001F as signs.
+        assert r["n"] == " ".join(re.sub(r"[^a-z0-9]+", " ", bare).split()), r["l"].encode("unicode_escape")
+
+
 def test_common_letters_need_no_worker(spark):
     """Texts of the Latin script's letters, and of others' that have no marks, are decided in the JVM."""
     rows = ["Été, naïve, Größe, señor, Œuvre", "Привет, Ελλάδα", "漢字", "plain", ""]

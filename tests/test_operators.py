@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioscore.functions import text as T
+from folioscore.functions import unicode as U
 from folioscore.operators import bleu as B
 from folioscore.operators import edit_distance as D
 from folioscore.operators import evaluate as E
@@ -332,6 +334,25 @@ def test_band_of_the_matrix():
     assert D.levenshtein(long, long.replace("ab", "x")) == 2 * long.count("ab")
 
 
+def test_long_lists_go_to_python_as_characters(spark, monkeypatch):
+    """A character for each word, or the words where two of them have the same character."""
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(200)}" for _ in range(600)]
+    rows = [(long, [w for i, w in enumerate(long) if i % 40]), (long, long[300:] + long[:290]), (["a", "b"], ["b"]), (long, None), (None, long), ([None, "a"] * 50, ["a", None] * 50), ([], long), (long, list(long))]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    a, b = F.col("a"), F.col("b")
+    want = [None if x is None or y is None else D.levenshtein(x, y) for x, y in rows]
+    known = [False, False, True, False, False, False, False, True]
+    for signs in (D._SIGNS, 0, 3):
+        monkeypatch.setattr(D, "_SIGNS", signs)
+        told = [r["t"] for r in df.select(D._told(a, b).alias("t")).collect()]
+        assert [r["d"] for r in df.select(D.word_levenshtein(a, b).alias("d")).collect()] == want
+        if signs == 0xFFFFF:
+            assert [t["known"] is not None for t in told] == known
+            assert all(t["x"] is t["y"] is None for t in told if t["known"] is not None) and [len(told[i]["x"]) for i in (0, 1, 6)] == [600, 600, 0]
+            assert all(t["a"] is t["b"] is None for t in told if t["x"] is not None or t["known"] is not None)
+
+
 def test_lists_of_words(spark):
     """Short lists in the JVM, others in Python, and both rates of one normalised text."""
     rng = random.Random(6)
@@ -395,6 +416,28 @@ def test_section_texts(spark):
     assert got == {"personal_info": "a b", "skills": "s1 2", "education": "d", "work_experience_info": "c r", "work_experience_description": "did"}
 
 
+def test_plain_answers_are_flattened_in_the_jvm(spark):
+    """As in Python, whatever the texts hold; other values aren't decided there."""
+    plain = ['{"a": "x, y: {z}", "b": {"c": ["d", "", null]}, "e": []}', '["a\\"b", "c\\\\", "\\n: d", "\\u0001e", ":"]', '{"q\\"": "é", "r": ": s"}', "[]", "{}", '["null", null, "nulls"]', '[{"a": "1"}, {"a": "2"}]', '["\\\\\\"", ":", {"k": ":v"}]']
+    other = ['["a", 2]', "[true]", "[1.50]", '{"a": "b"', '{"a": "b"} "c":', "text", "", "12", '["\\u00e9"]', '{"a": "x", "a": "y"}', '["a"] "b"', None]
+    df = spark.createDataFrame([(t,) for t in plain + other], "t string")
+    norm = lambda c: T.normalize_section(c)
+    got = df.select("t", norm(U.flatten_json("t")).alias("want"), S.leaves(F.col("t")).isNotNull().alias("known"), norm(S.leaves(F.col("t"))).alias("got")).collect()
+    assert [r["known"] for r in got] == [True] * len(plain) + [False] * len(other)
+    assert all(r["got"] == r["want"] for r in got if r["known"])
+    # Whole sections, with objects that have a key twice, whether or not the session counts them as JSON.
+    values = [f'{{"skills": {t}, "personal_info": {{"n": 1, "m": "é"}}}}' for t in plain if t] + ['{"skills": {"a": "x", "a": "y"}}', '{"skills": "free, text"}', '{"skills": "{\\"a\\": 1.50}"}', "no"]
+    preds = spark.createDataFrame(list(enumerate(values)), "k int, value string")
+    skills = df.sparkSession.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").select("k", F.get_json_object("v", "$.skills").alias("s")).filter("s is not null").select("k", norm(U.flatten_json("s")).alias("w")).collect()
+    for twice in ("false", "true"):
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", twice)
+        try:
+            found = {r["k"]: r["pred"] for r in S.pred_texts(preds, ["k"]).filter("section = 'skills'").collect()}
+        finally:
+            spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+        assert found == {r["k"]: r["w"] for r in skills}
+
+
 def plain_validation(v, node, path=()):
     """(faults, value) of parsed JSON, by plain recursion."""
     if isinstance(node, dict):

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.binding import bound
 from ..operators import bleu as B
 from ..operators import edit_distance as D
 from ..operators import evaluate as E
@@ -56,10 +57,10 @@ SELECT lang, CAST(count(*) AS BIGINT) AS lines, CAST(sum(n) AS BIGINT) AS chars,
 )
 def q_cer_by_lang(spark, sf):
     pairs = _lines(spark, sf)
-    g, h = (D._cer_text(F.col(c), False, False, False) for c in ("gt", "hyp"))
-    d = pairs.select("lang", g.alias("g"), h.alias("h")).withColumn("d", D.text_levenshtein(F.col("g"), F.col("h")))
-    rate = D.error_rate(F.col("d"), F.length("g"), F.length("h"))
-    return d.groupBy("lang").agg(F.count("*").alias("lines"), F.sum(F.length("g")).cast("long").alias("chars"), F.sum("d").cast("long").alias("edits"), six(F.avg(rate)).alias("cer"))
+    g, h = (T.lowered(F.col(c), exact=False) for c in ("gt", "hyp"))
+    d = bound(pairs.select("lang", g.alias("g"), h.alias("h")), d=D.text_distances(F.col("g"), F.col("h"), words=False)).select("lang", "d.*")
+    rate = D.error_rate(F.col("chars_apart"), F.col("chars_ref"), F.col("chars_hyp"))
+    return d.groupBy("lang").agg(F.count("*").alias("lines"), F.sum("chars_ref").cast("long").alias("chars"), F.sum("chars_apart").cast("long").alias("edits"), six(F.avg(rate)).alias("cer"))
 
 
 @register("q_wer_by_lang")

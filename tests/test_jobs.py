@@ -188,3 +188,14 @@ def test_rates_against_a_matrix(spark):
         for rate, cut in ((wer, words), (cer, signs)):
             g, p = cut(t), cut(h)
             assert rate == pytest.approx(levenshtein(g, p) / len(g) if g else float(bool(p)), abs=1e-12)
+
+
+def test_true_lines_are_normalised_once(spark):
+    """Before the join, not again for each engine that reads a line."""
+    truth = spark.createDataFrame([(1, "en", "ﬁne A-\nb. (cid:7)c")], "doc_id long, lang string, text string")
+    pred = spark.createDataFrame([(e, 1, n, t) for e in "xy" for n, t in enumerate(["fine a-\nb", "c c"])], "engine string, doc_id long, line int, text string").withColumn("arrived", F.current_timestamp())
+    out = score_predictions.scored(pred, truth, split_at="[.]")
+    assert sorted((r["engine"], r["line"], r["wer"], r["cer"]) for r in out.collect()) == [(e, *r) for e in "xy" for r in ((0, 0.0, 0.0), (1, 1.0, 1.0))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.index("Join LeftOuter")
+    assert plan[:joined].count("_nfkc(") == 1 == plan[joined:].count("_nfkc(")
